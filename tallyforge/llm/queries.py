@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bytebpe import op10_byte_bpe
 from .decontaminate import OP1_SQL, op1_decontaminate
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate,)}
+    return {f.__name__: f for f in (op1_decontaminate, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
