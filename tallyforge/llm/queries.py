@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bytebpe import op10_byte_bpe
 from .decontaminate import OP1_SQL, op1_decontaminate
+from .exactdedup import OP6_SQL, op6_exact_dedup
+from .tokencount import op4_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_decontaminate, op4_token_counts, op6_exact_dedup, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op6_exact_dedup": OP6_SQL}
