@@ -9,14 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from .bytebpe import op10_byte_bpe
 from .decontaminate import OP1_SQL, op1_decontaminate
 from .exactdedup import OP6_SQL, op6_exact_dedup
+from .neardup import OP9_SQL, op9_near_duplicates
 from .quality import op7_quality
 from .secrets import op3_secret_scan
 from .tokencount import op4_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_secret_scan, op4_token_counts, op6_exact_dedup, op7_quality, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_decontaminate, op3_secret_scan, op4_token_counts, op6_exact_dedup, op7_quality, op9_near_duplicates, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op6_exact_dedup": OP6_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op6_exact_dedup": OP6_SQL, "op9_near_duplicates": OP9_SQL}
