@@ -28,8 +28,8 @@ from .shared import table
 #: Bits of a word of the bitmap's lower level.
 WORD = 8
 _BIT = [1 << i for i in range(1 << WORD)]
-#: Pre-tokens whose ids a worker keeps; beyond that it forgets all and starts anew.
-CACHE = 400_000
+#: Pre-tokens whose ids a worker keeps (some 250 bytes each; beyond that it forgets all and starts anew), and the longest of them.
+CACHE, LONGEST = 1_500_000, 64
 #: Pre-tokens of a text that are encoded at once.
 SLICE = 1 << 16
 
@@ -127,10 +127,11 @@ class ByteBPE:
             except KeyError:
                 if len(known) > self.most:
                     known.clear()
+                long: dict[str, tuple[int, ...]] = {}
                 for p in part:
-                    if p not in known:
-                        known[p] = self.merge(p.encode())
-                yield list(chain.from_iterable(map(known.__getitem__, part)))
+                    if p not in known and p not in long:
+                        (known if len(p) <= LONGEST else long)[p] = self.merge(p.encode())
+                yield list(chain.from_iterable(known[p] if p in known else long[p] for p in part))
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(self.slices(text)))
