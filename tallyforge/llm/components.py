@@ -9,7 +9,7 @@ from .shared import settle
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(id, component) for every end of an edge (src, dst); component: the smallest id.
+    """(id, component) for every end of an edge (src, dst), of any type with an order; component: the smallest id.
 
     Each round, every node hooks onto the neighbour of least priority (itself
     included) and the graph is contracted along the hooks, until no edge is
@@ -20,8 +20,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     can be split where a hub is hot. Loops, repeated edges and edges with a
     null end are dropped; an empty table has no components.
     """
-    edges = settle(edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).where("src is not null and dst is not null and src <> dst").distinct(), "edges")
+    edges = settle(edges.select("src", "dst").where("src is not null and dst is not null and src <> dst").distinct(), "edges")
     nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    if edges.isEmpty():
+        return edges.select(F.col("src").alias("id"), F.col("dst").alias("component"))
     labels, turn = None, 0
     while turn == 0 or not edges.isEmpty():
         both = edges.union(edges.select("dst", "src"))
