@@ -14,11 +14,12 @@ from .quality import op7_quality
 from .secrets import op3_secret_scan
 from .tokencount import op4_token_counts
 from .urlfilter import OP5_SQL, op5_url_filter
+from .warc import OP8_SQL, op8_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_secret_scan, op4_token_counts, op5_url_filter, op6_exact_dedup, op7_quality, op9_near_duplicates, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_decontaminate, op3_secret_scan, op4_token_counts, op5_url_filter, op6_exact_dedup, op7_quality, op8_warc, op9_near_duplicates, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op5_url_filter": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op9_near_duplicates": OP9_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op5_url_filter": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op8_warc": OP8_SQL, "op9_near_duplicates": OP9_SQL}
