@@ -59,7 +59,7 @@ def split_line(c: Column) -> Column:
     """struct(key, value) of a line at its first bar, full-width colon or colon; null without both sides."""
     t = compact_ws(c)
     mark = F.when(F.contains(t, F.lit("|")), "|").when(F.contains(t, F.lit("：")), "：").when(F.contains(t, F.lit(":")), ":")
-    key, value = F.trim(F.substring_index(t, mark, 1)), F.trim(F.substr(t, F.instr(t, mark) + 1))
+    key, value = F.trim(F.call_function("substring_index", t, mark, F.lit(1))), F.trim(F.substr(t, F.instr(t, mark) + 1))
     return F.when(mark.isNotNull() & (key != "") & (value != ""), F.struct(key.alias("key"), value.alias("value")))
 
 

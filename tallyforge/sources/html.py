@@ -193,7 +193,8 @@ def add_form(els: Column, form: Column) -> Column:
 
 def definition_pairs(els: Column) -> Column:
     """Terms and descriptions of lists, paired by position; a longer side is cut."""
-    terms, values = (F.transform(F.filter(els, lambda e, t=t: e["tag"] == t), lambda e: e["text"]) for t in ("dt", "dd"))
+    terms = F.transform(F.filter(els, lambda e: e["tag"] == "dt"), lambda e: e["text"])
+    values = F.transform(F.filter(els, lambda e: e["tag"] == "dd"), lambda e: e["text"])
     return F.filter(F.transform(F.arrays_zip(terms.alias("key"), values.alias("value")), lambda p: F.struct(p["key"].alias("key"), p["value"].alias("value"))), lambda p: p["key"].isNotNull() & p["value"].isNotNull())
 
 

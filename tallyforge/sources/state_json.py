@@ -38,7 +38,7 @@ def load_state(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     now = c("schema_version") == VERSION
     p = doc.select(now.alias("now"), F.explode("products").alias("id", "r")).select("now", "id", "r.*")
     loc = F.coalesce(F.nullif("location", F.lit("")), "option")
-    listed = F.filter(F.transform("locations", F.trim), lambda x: x.isNotNull() & (x != ""))
+    listed = F.filter(F.transform("locations", lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
     fixed = F.when(c("locations").isNull(), F.when(F.coalesce(F.trim(loc), F.lit("")) != "", F.array(F.trim(loc)))).otherwise(F.when(F.size(listed) > 0, listed))
     p = p.withColumn("_l", F.when(c("now"), fixed).otherwise(c("locations")))
     p = p.withColumns(
