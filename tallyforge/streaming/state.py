@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.state import restock
+from ..operators.state import transitions
 
 OUTPUT = "key bigint, ts timestamp, seq bigint, previous boolean, available boolean, is_restock boolean"
 
@@ -37,20 +37,22 @@ def transitions_stream(observations: DataFrame) -> DataFrame:
     return observations.groupBy("key").transformWithStateInPandas(LastAvailability(), OUTPUT, "Append", "None")
 
 
-def fold_batches(observations: DataFrame, path: str):
-    """A sink for ``foreachBatch``: each micro-batch is folded into a state table of last availabilities under ``path``.
+def fold_batches(path: str):
+    """A sink for ``foreachBatch``: each micro-batch (key, ts, seq, available) is folded into a state table under ``path``.
 
-    A batch writes its own version of the state, so a repeated batch
-    overwrites itself and nothing else; alerts are keyed by the batch.
+    A key's earlier availability stands before its rows of the batch. A batch
+    writes its own version of the state and its own alerts (the restocks), so
+    a repeated batch overwrites itself and nothing else.
     """
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        last = batch.groupBy("key").agg(F.max_by("available", F.struct("ts", "seq")).alias("available"), F.min_by("available", F.struct("ts", "seq")).alias("first"))
-        old = spark.read.parquet(f"{path}/state/{batch_id - 1}") if batch_id else spark.createDataFrame([], "key bigint, available boolean")
-        j = old.withColumnRenamed("available", "before").join(last, "key", "full_outer")
-        j.select("key", F.when(F.col("first").isNull() & F.col("available").isNull(), F.col("before")).otherwise(F.col("available")).alias("available")).write.mode("overwrite").parquet(f"{path}/state/{batch_id}")
-        j.where(restock(F.col("before"), F.col("first"))).select("key", F.lit(batch_id).alias("batch")).write.mode("overwrite").parquet(f"{path}/alerts/{batch_id}")
+        rows = batch.select("key", "ts", "seq", "available")
+        if batch_id:
+            old = spark.read.parquet(f"{path}/state/{batch_id - 1}")
+            rows = rows.unionByName(old.select("key", F.lit(None).cast("timestamp").alias("ts"), F.lit(None).cast("bigint").alias("seq"), "available"))
+        rows.groupBy("key").agg(F.max_by("available", F.struct("ts", "seq")).alias("available")).write.mode("overwrite").parquet(f"{path}/state/{batch_id}")
+        transitions(rows, ["key"], ["ts", "seq"]).where("is_restock").select("key", "ts", "seq", F.lit(batch_id).alias("batch")).write.mode("overwrite").parquet(f"{path}/alerts/{batch_id}")
 
     return fold
 
