@@ -10,11 +10,12 @@ O(n log n), so one very long run without spaces is no hazard.
 from __future__ import annotations
 
 import base64
-import hashlib
 import functools
+import hashlib
+from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,8 @@ from .shared import table
 #: Bits of a word of the bitmap's lower level.
 WORD = 8
 _BIT = [1 << i for i in range(1 << WORD)]
-#: Pre-tokens whose ids a worker keeps (some 250 bytes each; beyond that it forgets all and starts anew), and the longest of them.
-CACHE, LONGEST = 1_500_000, 64
+#: Pre-tokens whose ids a worker keeps (some 200 bytes each; beyond that it forgets all and starts anew), and the longest of them.
+CACHE, LONGEST = 1_000_000, 64
 #: Pre-tokens of a text that are encoded at once.
 SLICE = 1 << 16
 
@@ -44,7 +45,7 @@ class ByteBPE:
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}  # ids as int32, packed
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """The ids of one pre-token."""
@@ -113,7 +114,7 @@ class ByteBPE:
             i = after[i]
         return tuple(out)
 
-    def slices(self, text: str) -> Iterator[list[int]]:
+    def slices(self, text: str) -> Iterator[np.ndarray]:
         """The ids of a text, some thousand pre-tokens at a time."""
         if len(text) <= SLICE:
             parts = iter([self.pattern.findall(text)])
@@ -123,18 +124,19 @@ class ByteBPE:
         known = self.known
         for part in parts:
             try:
-                yield list(chain.from_iterable(map(known.__getitem__, part)))
+                packed = b"".join(map(known.__getitem__, part))
             except KeyError:
                 if len(known) > self.most:
                     known.clear()
-                long: dict[str, tuple[int, ...]] = {}
+                long: dict[str, bytes] = {}
                 for p in part:
                     if p not in known and p not in long:
-                        (known if len(p) <= LONGEST else long)[p] = self.merge(p.encode())
-                yield list(chain.from_iterable(known[p] if p in known else long[p] for p in part))
+                        (known if len(p) <= LONGEST else long)[p] = array("i", self.merge(p.encode())).tobytes()
+                packed = b"".join(known[p] if p in known else long[p] for p in part)
+            yield np.frombuffer(packed, np.int32)
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(self.slices(text)))
+        return np.concatenate([np.zeros(0, np.int32), *self.slices(text)]).tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -158,7 +160,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, *, text: str = "text"
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = load(path, pattern)
         for texts in batches:
-            rows = (np.fromiter(chain.from_iterable(bpe.slices(t or "")), np.int32) for t in texts.to_pylist())
+            rows = (np.concatenate([np.zeros(0, np.int32), *bpe.slices(t.as_py() or "")]) for t in texts)
             yield pa.array(rows, pa.list_(pa.int32()))
 
     return docs.withColumn(into, encode.asNondeterministic()(F.col(text)))
@@ -194,7 +196,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str, *, text: str = "text",
             counts, ids_hex, text_hex = [], [], []
             for t in texts:
                 n, of_ids, of_text = 0, hashlib.sha256(), hashlib.sha256()
-                for ids in bpe.slices(t.as_py() or ""):
+                for packed in bpe.slices(t.as_py() or ""):
+                    ids = packed.tolist()
                     of_ids.update(((" " if n and ids else "") + " ".join(map(names.__getitem__, ids))).encode())
                     of_text.update(bpe.decode(ids))
                     n += len(ids)
