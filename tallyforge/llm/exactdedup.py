@@ -2,7 +2,7 @@
 
 Equal texts combine first within each task, then within salted groups of their
 digest, and last the salts' winners combine. Every stage groups by the digest
-and the content itself, so a digest alone never decides.
+and the text or its content itself, so a digest alone never decides.
 """
 
 from __future__ import annotations
@@ -24,17 +24,24 @@ def squeezed(text: Column) -> Column:
     return out
 
 
-def _combined(docs: DataFrame, row: Column, id_: str, text: str, salts: int) -> DataFrame:
-    """One row (digest, content, best, of, n) per distinct content; of: the ``row`` of the best."""
+def _combined(docs: DataFrame, row: Column, id_: str, text: str, salts: int, with_text: bool) -> DataFrame:
+    """One row (digest, best, of, text, n) per distinct content; of: the ``row`` of the best, text: its original text.
+
+    The first two stages group by the original text, which then needs no copy
+    beside its key; the last one by the content.
+    """
     best = F.struct((-F.char_length(F.coalesce(F.col(text), F.lit("")))).alias("less"), F.col(id_).isNull().alias("none"), F.col(id_).alias("id"))
     # Spark combines a task's rows before it shuffles them: the local stage.
     salted = (
-        docs.select(squeezed(F.col(text)).alias("content"), best.alias("best"), row.alias("of"), (F.spark_partition_id() % salts).alias("salt"))
-        .select(F.sha2("content", 256).alias("digest"), "content", "best", "of", "salt")
-        .groupBy("digest", "content", "salt")
+        docs.select(F.col(text).alias("text"), best.alias("best"), row.alias("of"), (F.spark_partition_id() % salts).alias("salt"))
+        .select(F.sha2(squeezed(F.col("text")), 256).alias("digest"), "text", "best", "of", "salt")
+        .groupBy("digest", "text", "salt")
         .agg(F.min_by("of", "best").alias("of"), F.min("best").alias("best"), F.count("*").alias("n"))
     )
-    return salted.groupBy("digest", "content").agg(F.min_by("of", "best").alias("of"), F.min("best").alias("best"), F.sum("n").alias("n"))
+    winner = F.struct("of", (F.col("text") if with_text else F.lit(None).cast("string")).alias("text"))
+    content = salted.select("digest", squeezed(F.col("text")).alias("content"), "best", winner.alias("of"), "n")
+    won = content.groupBy("digest", "content").agg(F.min_by("of", "best").alias("of"), F.min("best").alias("best"), F.sum("n").alias("n"))
+    return won.select("digest", "best", "of.of", "of.text", "n")
 
 
 def exact_dedup(docs: DataFrame, *, id_: str = "doc_id", text: str = "text", salts: int = SALTS) -> DataFrame:
@@ -45,8 +52,9 @@ def exact_dedup(docs: DataFrame, *, id_: str = "doc_id", text: str = "text", sal
     text stays, then that with the smallest id (a null id comes last); of rows
     that tie in both, any one. Columns may have any names.
     """
-    kept = _combined(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns)), id_, text, salts)
-    return kept.select(*(F.col("of").getField(c).alias(c) for c in docs.columns))
+    others = [c for c in docs.columns if c.lower() != text.lower()]
+    kept = _combined(docs, F.struct(*(F.col(f"`{c}`") for c in others)), id_, text, salts, True)
+    return kept.select(*(F.col("of").getField(c).alias(c) if c in others else F.col("text").alias(c) for c in docs.columns))
 
 
 def duplicate_report(docs: DataFrame, *, id_: str = "doc_id", text: str = "text", salts: int = SALTS) -> DataFrame:
@@ -58,7 +66,7 @@ def duplicate_report(docs: DataFrame, *, id_: str = "doc_id", text: str = "text"
     """
     names = ["keep_id", "group_size", "kept", "text_sha256"]
     digest = free_name(docs, "digest")
-    groups = _combined(docs.select(id_, text), F.lit(None).cast("int"), id_, text, salts).select(F.col("digest").alias(digest), F.struct(F.col("best.id").alias("keep_id"), "n").alias("group_"))
+    groups = _combined(docs.select(id_, text), F.lit(None).cast("int"), id_, text, salts, False).select(F.col("digest").alias(digest), F.struct(F.col("best.id").alias("keep_id"), "n").alias("group_"))
     joined = docs.withColumn(digest, F.sha2(squeezed(F.col(text)), 256)).join(groups, digest)
     return joined.select(
         *(F.col(f"`{c}`") for c in docs.columns if c.lower() not in names),
