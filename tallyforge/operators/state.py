@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -88,14 +89,16 @@ class Updated:
     summary: DataFrame
 
 
-def update_state(state: DataFrame, domains: DataFrame, products: DataFrame, runs: DataFrame, now: str, *, started_at: str | None = None, prune: bool = True, active: DataFrame | None = None, notify: bool = True) -> Updated:
+def update_state(state: DataFrame, domains: DataFrame, products: DataFrame, runs: DataFrame, now: str, *, started_at: str | None = None, prune: bool = True, active: DataFrame | None = None, notify: bool = True, settle: Callable[[DataFrame], DataFrame] = lambda df: df) -> Updated:
     """One run folded into the state.
 
     In order: domains no longer active go; domains of this run are recorded (a
     failed one keeps its last success, and its products stay untouched);
     products that a successful run no longer shows are pruned; products of
     successful runs are inserted or updated. One full outer join by id does
-    both, so nothing is read twice and no key is hot.
+    both, and no key is hot. ``settle`` keeps what several results need (the
+    shown products, the joined rows): it persists, checkpoints or writes a
+    table; by default Spark computes them for each result.
     """
     before = state
     if active is not None:
@@ -114,6 +117,7 @@ def update_state(state: DataFrame, domains: DataFrame, products: DataFrame, runs
     c = F.col
     some = lambda x: F.when(F.size(x) > 0, x)
     shown = shown.withColumns({"locations": F.coalesce(some(c("locations")), some(product_locations(c("locations"), c("location")))), "location_links": F.coalesce(some(c("location_links")), some(location_links(c("location_links"), c("locations"), c("location"), c("url"))))})
+    shown = settle(shown)
     kept = pruned(state, shown, runs) if prune else state
     placed = new_locations(shown, before).select("id", "is_new_location") if notify else None
     old = kept.select("id", F.struct(*(x for x in kept.columns if x != "id")).alias("old"))
@@ -133,6 +137,7 @@ def update_state(state: DataFrame, domains: DataFrame, products: DataFrame, runs
         .when(c("is_new") & F.coalesce(c("new.available"), F.lit(False)), "new")
         .when(c("is_restock") & ~c("old.last_notified_restock").eqNullSafe(at), "restock"),
     )
+    j = settle(j)
     field = lambda x: F.when(c("new").isNotNull(), c(f"new.{x}")).otherwise(c(f"old.{x}")).alias(x)
     slot = {"last_notified_new": "new", "last_notified_restock": "restock", "last_notified_new_location": "new_location"}
     new_products = j.select(

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,11 +70,15 @@ def assumed_stock(products: DataFrame, rules: Rules) -> DataFrame:
     return products.withColumn("available", F.when(known, True).otherwise(F.col("available")))
 
 
-def post_process(products: DataFrame, rules: Rules | None = None, listing: DataFrame | None = None) -> DataFrame:
-    """In this order, which matters: last row per id, noise, site rules, plans merged, cycles filled, stock assumed, noise, site rules again."""
+def post_process(products: DataFrame, rules: Rules | None = None, listing: DataFrame | None = None, settle: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """In this order, which matters: last row per id, noise, site rules, plans merged, cycles filled, stock assumed, noise, site rules again.
+
+    ``settle`` keeps the cleaned and the merged rows, so that later filters
+    aren't pushed through all their expressions.
+    """
     rules = rules or Rules()
     p = filters.without_noise(merge.last_per_key(products, ["id"]))
-    p = merge.merge_plans(cleaned(p, rules, listing))
+    p = settle(merge.merge_plans(settle(cleaned(p, rules, listing))))
     p = assumed_stock(merge.fill_cycle_defaults(p), rules)
     return cleaned(filters.without_noise(p), rules, listing)
 
@@ -103,7 +109,8 @@ def run(spark: SparkSession, pages: DataFrame, state_path: str, now: str, *, mod
     fetched = pages.select(F.lower(F.regexp_extract("url", "://([^/?#]*)", 1)).alias("domain"), "ok", "error", F.col("elapsed_ms").cast("bigint").alias("duration_ms"), meta.alias("meta"), F.xxhash64("url").alias("seq"))
     merged = merge.merge_runs(fetched)
     runs = merged.select("domain", "ok", "error", "duration_ms", F.struct("may_be_incomplete", "deadline_exceeded", "discovery_stop_reason", F.col("discovery_fetch_errors").cast("int").alias("discovery_fetch_errors")).alias("meta"), F.lit(0).cast("bigint").alias("seq"))
-    found = post_process(store_json.store_products(pages.where("ok")), rules)
+    keep = lambda df: df.persist(StorageLevel.DISK_ONLY)  # noqa: E731  lost blocks are computed again
+    found = post_process(keep(store_json.store_products(pages.where("ok"))), rules, settle=keep)
     active = targets.with_domain(all_targets).select("domain") if mode == "full" and all_targets is not None else None
-    done = state.update_state(old_products, old_domains, found, runs, now, prune=mode == "full", active=active)
+    done = state.update_state(old_products, old_domains, found, runs, now, prune=mode == "full", active=active, settle=keep)
     return Outcome(done.products, done.domains, alerts.messages(done.alerts, now), done.summary, report.dashboard_rows(done.products))
