@@ -30,7 +30,7 @@ RECALL = 0.9999
 #: Hash functions at most.
 HASHES = 128
 #: Classes of a block, and the bytes of its n-gram sets, about.
-BLOCK, BLOCK_BYTES = 512, 16 << 20
+BLOCK, BLOCK_BYTES = 128, 16 << 20
 
 SKETCH = T.StructType([T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 FOUND = T.StructType([T.StructField(c, T.LongType()) for c in ("id", "links", "linked", "root")])
