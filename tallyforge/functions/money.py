@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .text import compact_ws
+from .text import compact_ws, let
 
 _TOKENS = "|".join(re.escape(t) for t in sorted(fixed.CURRENCY_TOKENS, key=len, reverse=True))
 SYMBOL_FIRST = rf"(?iuU)({_TOKENS})\s*({fixed.AMOUNT})"
@@ -31,11 +31,21 @@ def currency_code(token: Column) -> Column:
 
 def extract_price(c: Column) -> Column:
     """struct(price, currency): the first symbol with an amount, else the first amount with a symbol; null fields without either."""
-    t = compact_ws(c)
-    first, second = t.rlike(SYMBOL_FIRST), t.rlike(AMOUNT_FIRST)
-    code = currency_code(F.when(first, F.regexp_extract(t, SYMBOL_FIRST, 1)).when(second, F.regexp_extract(t, AMOUNT_FIRST, 2)))
-    amount = normalize_amount(F.when(first, F.regexp_extract(t, SYMBOL_FIRST, 2)).when(second, F.regexp_extract(t, AMOUNT_FIRST, 1)))
-    return F.struct(F.when(code.isNotNull(), F.concat_ws(" ", amount, code)).alias("price"), code.alias("currency"))
+    # The first match is found once; its parts are then read from the match alone.
+    none = F.lit(None).cast("struct<token:string,amount:string>")
+
+    def read(pattern: str, token: int, amount: int):
+        return lambda m: F.when(m != "", F.struct(F.regexp_extract(m, pattern, token).alias("token"), F.regexp_extract(m, pattern, amount).alias("amount"))).otherwise(none)
+
+    def found(t: Column) -> Column:
+        first = let(F.regexp_extract(t, SYMBOL_FIRST, 0), read(SYMBOL_FIRST, 1, 2))
+        return F.coalesce(first, let(F.regexp_extract(t, AMOUNT_FIRST, 0), read(AMOUNT_FIRST, 2, 1)))
+
+    def told(m: Column) -> Column:
+        code = currency_code(m.token)
+        return F.struct(F.when(m.isNotNull(), F.concat(normalize_amount(m.amount), F.lit(" "), code)).alias("price"), code.alias("currency"))
+
+    return let(let(compact_ws(c), found), told)
 
 
 def price_value(c: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -28,6 +29,11 @@ def first_match(c: Column, pattern: str, group: int = 0) -> Column:
     return F.when(c.rlike(pattern), F.regexp_extract(c, pattern, group))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def compact_ws(c: Column) -> Column:
     """Unicode white space collapsed to single blanks and trimmed; null becomes empty."""
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), SPACE, " "))

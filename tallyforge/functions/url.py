@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .text import compact_ws, either, has_any, name_key
+from .text import compact_ws, either, has_any, let, name_key
 
 #: Scheme, authority, path, query, fragment: the generic pattern of RFC 3986.
 PARTS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
@@ -102,23 +102,23 @@ def first_param_int(url: Column, keys: list[str]) -> Column:
 
 def canonical_key(domain_: Column, url: Column, name: Column, variant: Column) -> Column:
     """The plan that a product row belongs to: by product id, else by page, else by name."""
-    scope = F.array_join(F.slice(F.filter(F.split(F.lower(path(url)), "/"), lambda x: x != ""), 1, 3), "/")
-    scoped = F.when(scope != "", F.concat(scope, F.lit("::"))).otherwise("")
-    at = F.concat(domain_, F.lit("::"))
-    by_id = F.coalesce(
-        *(
-            F.when(compact_ws(v) != "", F.concat(at, scoped, F.lit(f"{k}:"), compact_ws(v)))
-            for k in ("planid", "product_id", "pid", "id")
-            for v in [param(url, k, any_case=True)]
-        )
-    )
-    rp = F.lower(compact_ws(param(url, "rp", any_case=True)))
-    store = rp.startswith("/store/") & (F.size(F.filter(F.split(rp, "/"), lambda x: x != "")) >= 3)
-    bare = F.btrim(F.lower(path(url)), F.lit("/"))
-    n, v = name_key(name), name_key(variant)
-    by_url = F.concat(at, F.lit("url:"), normalize_for_id(url))
-    named = F.when((v != "") & (n != ""), F.concat(at, F.lit("name:"), v, F.lit(":"), n)).when(n != "", F.concat(at, F.lit("name:"), n)).otherwise(by_url)
-    return F.coalesce(by_id, F.when(store | ~bare.isin("", "cart.php", "index.php"), by_url).otherwise(named))
+    parts = F.struct(F.transform(pairs(query(url)), lambda p: F.struct(F.lower(p.k).alias("k"), p.v.alias("v"))).alias("q"), F.lower(path(url)).alias("path"), F.concat(domain_, F.lit("::")).alias("at"))
+
+    def of(u: Column) -> Column:
+        first = lambda key: F.get(F.filter(u.q, lambda p: (p.k == key) & (p.v != "")), F.lit(0)).v
+        scope = F.array_join(F.slice(F.filter(F.split(u.path, "/"), lambda x: x != ""), 1, 3), "/")
+        scoped = F.when(scope != "", F.concat(scope, F.lit("::"))).otherwise("")
+        ids = F.array(*(F.struct(F.lit(k).alias("k"), compact_ws(first(k)).alias("v")) for k in ("planid", "product_id", "pid", "id")))
+        by_id = let(F.get(F.filter(ids, lambda x: x.v != ""), F.lit(0)), lambda x: F.concat(u.at, scoped, x.k, F.lit(":"), x.v))
+        rp = F.lower(compact_ws(first("rp")))
+        store = rp.startswith("/store/") & (F.size(F.filter(F.split(rp, "/"), lambda x: x != "")) >= 3)
+        bare = F.btrim(u.path, F.lit("/"))
+        n, v = name_key(name), name_key(variant)
+        by_url = F.concat(u.at, F.lit("url:"), normalize_for_id(url))
+        by_name = F.when((v != "") & (n != ""), F.concat(u.at, F.lit("name:"), v, F.lit(":"), n)).when(n != "", F.concat(u.at, F.lit("name:"), n))
+        return F.coalesce(by_id, F.when(~store & bare.isin("", "cart.php", "index.php"), by_name), by_url)
+
+    return let(parts, of)
 
 
 def _any_in(c: Column, *words: str) -> Column:
