@@ -107,6 +107,81 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     return docs.withColumn(into, F.when(F.coalesce(maybe, F.lit(False)), told).otherwise(F.array().cast(kind)))
 
 
+def find_passages(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, *, text: str = "text", into: str = "passages") -> DataFrame:
+    """``docs`` with an array ``into`` of (start, end, license, dice): notices inside a line, and licences wrapped over several.
+
+    The windows of a template of n bigrams are all runs of the text's words,
+    over any lines, of at most n (2 - t) / t word pairs, repeats counted. Each
+    template keeps its best window that reaches the threshold t, of equal ones
+    the first and then the shortest. It counts unless another template is as
+    good a match for the same words and better or first by name, or the window
+    overlaps one that is better in this order. Places are words of the text,
+    from 0, end exclusive; passages are by place.
+
+    A best window begins and ends with a bigram of its template, so others are
+    never looked at; and only from bigrams that are followed by enough others
+    of the template in reach is anything counted. The work grows with the text.
+    """
+    kind = "array<struct<start:int,end:int,license:string,dice:double>>"
+    known = sorted({(name, tuple(g)) for name, t in templates if (g := template_bigrams(t))})
+    if not known:
+        return docs.withColumn(into, F.array().cast(kind))
+    reach = lambda n: math.floor(n * (2 - threshold) / threshold + 1e-9)
+    least = lambda n: math.ceil(n * threshold / (2 - threshold) - 1e-9)
+    every = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(name).alias("name"), F.lit(len(g)).alias("n"), F.lit(reach(len(g))).alias("reach"), F.lit(least(len(g))).alias("least"), F.array(*map(F.lit, g)).alias("grams")) for i, (name, g) in enumerate(known)))
+    inside = sorted({x for _, g in known for x in g})
+    let = lambda value, then: F.element_at(F.transform(F.array(value), then), 1)
+
+    low = F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER)
+    words, pairs = needed(templates, threshold)
+    tests = [F.contains(low, F.lit(w)) for w in words]
+    if pairs:
+        tests.append(low.rlike("|".join(g.replace(" ", "[^a-z0-9]+") for g in pairs)))
+    maybe = reduce(lambda a, b: a | b, tests)
+
+    def window(grams: Column, t: Column, first: Column) -> Column:
+        """The best window from one bigram on: (less, start, size), its size in bigrams."""
+        part = F.slice(grams, first + 1, t.reach)
+
+        def step(a: Column, x: Column) -> Column:
+            new = (F.array_position(part, x.g) == x.k + 1).cast("int")
+            hit = F.array_contains(t.grams, x.g)
+            d, h = a.d + new, a.h + F.when(hit, new).otherwise(0)
+            less = -2.0 * h / (d + t.n)
+            top = F.when(hit, F.least(a.top, F.struct(less.alias("less"), first.alias("start"), (x.k + 1).alias("size")))).otherwise(a.top)
+            return F.struct(d.alias("d"), h.alias("h"), top.alias("top"))
+
+        none = F.struct(F.lit(0.0).alias("less"), first.alias("start"), F.lit(0).alias("size"))
+        return F.aggregate(F.transform(part, lambda g, k: F.struct(g.alias("g"), k.alias("k"))), F.struct(F.lit(0).alias("d"), F.lit(0).alias("h"), none.alias("top")), step, lambda a: a.top)
+
+    def best(grams: Column, hits: Column, t: Column) -> Column:
+        """The best window of a template, or null."""
+        own = F.transform(F.filter(hits, lambda x: F.array_contains(t.grams, x.g)), lambda x: x.k)
+        near = lambda at: F.filter(at, lambda k, i: F.coalesce(F.get(at, i + t.least - 1) - k < t.reach, F.lit(False)))
+        top = F.array_min(F.transform(let(own, near), lambda k: window(grams, t, k)))
+        return F.struct(top["less"].alias("less"), t["name"].alias("name"), t.i.alias("i"), top.start.alias("start"), top["size"].alias("size"))
+
+    def first_of(grams: Column, m: Column) -> Column:
+        """Whether no other template is a better match for a window's words, or as good and first by name."""
+        part = F.array_distinct(F.slice(grams, m.start + 1, m["size"]))
+        scored = F.transform(every, lambda t: F.struct((-2.0 * F.size(F.array_intersect(part, t.grams)) / (F.size(part) + t.n)).alias("less"), t["name"].alias("name")))
+        return F.array_min(scored)["name"] == m["name"]
+
+    def passages(grams: Column) -> Column:
+        placed = F.transform(grams, lambda g, k: F.struct(g.alias("g"), k.alias("k")))
+        found = let(F.filter(placed, lambda x: x.g.isin(inside)), lambda hits: F.transform(every, lambda t: best(grams, hits, t)))
+        found = F.filter(found, lambda m: F.coalesce(m.less <= -threshold + 1e-12, F.lit(False)))
+        found = F.filter(F.array_sort(found), lambda m: first_of(grams, m))
+        apart = lambda a, b: (a.start >= b.start + b["size"]) | (b.start >= a.start + a["size"])
+        kept = F.aggregate(found, F.filter(found, lambda m: F.lit(False)), lambda a, m: F.when(F.forall(a, lambda o: apart(o, m)), F.array_append(a, m)).otherwise(a))
+        return F.array_sort(F.transform(kept, lambda m: F.struct(m.start.alias("start"), (m.start + m["size"] + 1).alias("end"), m["name"].alias("license"), (-m.less).alias("dice"))))
+
+    cut = F.filter(F.split(low, "[^a-z0-9]+"), lambda w: w != "")
+    grams = let(cut, lambda w: F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b)))
+    grams = F.filter(grams, lambda g: g.isNotNull())
+    return docs.withColumn(into, F.when(maybe, let(grams, passages)).otherwise(F.array().cast(kind)))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: its number of matches, its licences, and the best match."""
     docs = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "licenses")
@@ -120,6 +195,19 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_license_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its number of passages, inside lines or over several, their licences, and the best one."""
+    docs = find_passages(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "passages")
+    top = F.array_min(F.transform("passages", lambda m: F.struct((-m.dice).alias("less"), m.license.alias("license"))))
+    return docs.withColumn("top", top).select(
+        "doc_id",
+        F.size("passages").cast("long").alias("n_passages"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("passages", lambda m: m.license))), ",").alias("licenses"),
+        F.col("top.license").alias("best_license"),
+        F.round(-F.col("top.less"), 6).alias("best_dice"),
+    )
+
+
 def _sql() -> str:
     rows = ", ".join(f"({name!r}, [{', '.join(map(repr, template_bigrams(t)))}])" for name, t in TEMPLATES)
     return f"""

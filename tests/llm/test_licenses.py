@@ -2,7 +2,7 @@
 
 import re
 
-from tallyforge.llm.licenses import TEMPLATES, needed, scan_licenses, template_bigrams
+from tallyforge.llm.licenses import TEMPLATES, find_passages, needed, scan_licenses, template_bigrams
 
 
 def brute(text, templates=TEMPLATES, threshold=0.8):
@@ -40,3 +40,43 @@ def test_every_match_holds_a_needed_word():
                 part = " ".join(ws[a:b])
                 if brute(part):
                     assert any(w in part for w in words) or any(p in part for p in pairs)
+
+
+def brute_passages(text, templates=TEMPLATES, threshold=0.8):
+    """All windows of all templates, of every size in reach."""
+    words = re.findall("[a-z0-9]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+    grams = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+    known = [(name, set(template_bigrams(t))) for name, t in templates]
+    dice = lambda part, g: 2 * len(part & g) / (len(part) + len(g))
+    found = []
+    for name, g in known:
+        most = int(len(g) * (2 - threshold) / threshold + 1e-9)
+        best = min(((-dice(set(grams[i:j]), g), i, j - i) for i in range(len(grams)) for j in range(i + 1, min(i + most, len(grams)) + 1)), default=None)
+        if best and -best[0] >= threshold - 1e-12:
+            part = set(grams[best[1] : best[1] + best[2]])
+            if min((-dice(part, o), n) for n, o in known)[1] == name:
+                found.append((best[0], name, best[1], best[2]))
+    kept = []
+    for d, name, i, n in sorted(found):
+        if all(i >= k + m or k >= i + n for _, _, k, m in kept):
+            kept.append((d, name, i, n))
+    return sorted((i, i + n + 1, name, round(-d, 9)) for d, name, i, n in kept)
+
+
+def test_passages(spark):
+    mit = TEMPLATES[9][1]
+    wrapped = re.sub("((?:[^ ]+ ){9})", r"\1\n", mit)
+    filler = "some words about the use of a tool and the people of a town " * 12
+    texts = [
+        None, "", "x", f"{filler}\n\n{wrapped}\n\n{filler}", "Copyright 2024 Acme Corp. All rights reserved.", "This software is licensed under the MIT License. See LICENSE for details. It was released under the MIT license in May.",
+        "A tool. This work is licensed under the GNU General Public License,\nversion 3. The data: licensed under CC BY-NC 4.0. Enjoy.", "See it, licensed under the Apache\nLicense, Version 2.0, and all\nrights reserved otherwise",
+        f"{filler} {mit.replace('sell', 'very much sale').replace('Software', 'work', 2)} {filler}", "under cc by 4.0, under cc by", "work is licensed under the gnu general public license, version. " * 2 + "This work is licensed under the GNU General Public License, version 2",
+        "all rights reserved " * 9, mit[: len(mit) // 2] + filler, filler * 3,
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in find_passages(docs).collect()}
+    for i, t in enumerate(texts):
+        assert [(m.start, m.end, m.license, round(m.dice, 9)) for m in got[i].passages] == brute_passages(t), t
+    assert [m.license for m in got[3].passages] == ["MIT"] and got[3].passages[0].dice == 1.0
+    assert [m.license for m in got[4].passages] == ["all-rights-reserved"] and [m.license for m in got[6].passages] == ["GPL-3.0", "CC-BY-NC-4.0"]
+    assert find_passages(docs, []).where("size(passages) > 0").count() == 0
