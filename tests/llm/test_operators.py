@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import string
 
 import pytest
 
@@ -134,6 +135,17 @@ def test_guess_cost_is_the_least(texts):
     assert secrets.guess_cost("dragonzq") == pytest.approx(secrets._RANK["dragon"] + secrets.CUT_COST + cut_cost("zq"))
 
 
+def test_random_letters_are_no_words():
+    for t in ("pwd: KXqTzvWbPmHr", "auth_key=qTzXvWbKmPHrNd", "password is xkqjzvbwmpfh", "login: xkqjzvbwmpfh4k"):
+        assert [k for k, *_ in secrets.find_secrets(t)] == ["guess"], t
+    r = random.Random(7)
+    lower, upper = string.ascii_lowercase, string.ascii_letters
+    found = lambda chars, n: sum(bool(secrets.find_secrets("login: " + "".join(r.choice(chars) for _ in range(n)))) for _ in range(1000))
+    assert found(lower, 8) >= 920 and found(lower, 12) >= 980 and found(upper, 8) >= 930 and found(upper, 12) >= 995
+    for w in ("information", "Authentication", "required", "INFORMATION", "différence", "Übersetzung", "whatsoever"):
+        assert not secrets.find_secrets("login: " + w), w
+
+
 def test_token_counts(spark, docs):
     import public_tokenizers as P
     from tokenizers import Tokenizer
