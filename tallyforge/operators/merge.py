@@ -62,27 +62,21 @@ def merge_plans(products: DataFrame) -> DataFrame:
     and id. Stock is true if any row's is and false if all are. Lists and maps
     unite in input order, the first of a key winning; the commonest variant
     wins, the one seen first among equals. A row alone only has its locations
-    normalised. Members are gathered per plan: a plan's few listings, whose
-    number doesn't grow with the catalogue.
+    normalised. Of a plan's listings only its distinct entries are gathered,
+    after they were combined per entry: no more than the merged row holds.
     """
     c = F.col
     p = products.withColumn("key", url.canonical_key(c("domain"), c("url"), c("name"), c("variant_of")))
     p = p.withColumn("locs", product_locations(c("locations"), c("location"))).withColumn("links", location_links(c("location_links"), c("locations"), c("location"), c("url")))
     size = lambda x: F.coalesce(F.size(F.coalesce(c(x), F.create_map().cast("map<string,string>"))), F.lit(0))
     order = F.struct(availability.availability_rank(c("available")).alias("a"), (-text.name_quality(c("name"))).alias("b"), (-size("specs")).alias("c"), (-size("cycle_prices")).alias("d"), c("id").alias("e"), c("seq").alias("f"))
-    member = F.struct("seq", "billing_cycles", F.map_entries("cycle_prices").alias("prices"), "locs", F.map_entries("links").alias("links"), text.compact_ws(c("variant_of")).alias("variant"))
-    g = p.groupBy("key").agg(
+    base = p.groupBy("key").agg(
         F.min_by(F.struct(*products.columns), order).alias("base"),
         availability.any_in(c("available")).alias("available"),
         F.bool_or("is_special").alias("special"),
         F.count("*").alias("n"),
-        F.array_sort(F.collect_list(member)).alias("rows"),
     )
-    united = lambda field: F.flatten(F.array_compact(F.transform("rows", lambda r: r[field])))
-    g = g.withColumns({"cycles": F.array_distinct(united("billing_cycles")), "prices": _first_entries(united("prices")), "locs": _first_without_case(united("locs")), "links": _first_entries(united("links"))})
-    variants = F.filter(F.transform("rows", lambda r: r["variant"]), lambda v: v != "")
-    counted = F.transform(F.array_distinct(variants), lambda v: F.struct(F.size(F.filter(variants, lambda x: x == v)).alias("n"), (-F.array_position(variants, v)).alias("p"), v.alias("v")))
-    g = g.withColumn("variant", F.array_max(counted)["v"])
+    g = base.join(_united(p), base["key"].eqNullSafe(c("of")), "left")
     single = c("n") == 1
     some = lambda x: F.when(F.size(x) > 0, x)
     specs = F.coalesce(c("base.specs"), F.create_map().cast("map<string,string>"))
@@ -103,15 +97,35 @@ def merge_plans(products: DataFrame) -> DataFrame:
     return merged.orderBy("domain", availability.availability_rank(c("available")), F.lower(text.compact_ws(c("name"))), "id")
 
 
-def _first_entries(entries: Column) -> Column:
-    """A map of entries; the first of a key wins."""
-    keys = F.transform(entries, lambda e: e["key"])
-    return F.map_from_entries(F.filter(entries, lambda e, i: F.array_position(keys, e["key"]) == i + 1))
+def _united(p: DataFrame) -> DataFrame:
+    """Per plan ``of``: cycles, prices, locs and links in input order, the first of an entry winning, and the commonest variant.
 
+    Entries are combined per plan and entry first, so that a plan of any number of listings is one row per task and entry.
+    """
+    c = F.col
 
-def _first_without_case(values: Column) -> Column:
-    low = F.transform(values, F.lower)
-    return F.filter(values, lambda v, i: F.array_position(low, F.lower(v)) == i + 1)
+    def entries(kind: str, values: Column, entry: Column, value: Column) -> Column:
+        found = F.transform(values, lambda x, i: F.struct(F.lit(kind).alias("kind"), entry(x).cast("string").alias("entry"), value(x).cast("string").alias("value"), i.alias("place")))
+        return F.coalesce(found, F.array().cast("array<struct<kind:string,entry:string,value:string,place:int>>"))
+
+    pair = (lambda x: x["key"], lambda x: x["value"])
+    variant = text.compact_ws(c("variant_of"))
+    every = F.concat(
+        entries("cycle", c("billing_cycles"), lambda x: x, lambda x: x),
+        entries("price", F.map_entries("cycle_prices"), *pair),
+        entries("loc", c("locs"), F.lower, lambda x: x),
+        entries("link", F.map_entries("links"), *pair),
+        entries("variant", F.when(variant != "", F.array(variant)), lambda x: x, lambda x: x),
+    )
+    e = p.select(c("key").alias("of"), "seq", F.explode(every).alias("e")).select("of", "e.*", F.struct("seq", "e.place", "e.value").alias("at"))
+    e = e.groupBy("of", "kind", "entry").agg(F.min("at").alias("at"), F.count("*").alias("n"))
+    is_a = lambda kind, x: F.when(c("kind") == kind, x)
+    listed = lambda kind: F.array_sort(F.collect_list(is_a(kind, F.struct("at", "entry"))))
+    values = lambda x: F.transform(x, lambda r: r["at"]["value"])
+    pairs = lambda x: F.map_from_entries(F.transform(x, lambda r: F.struct(r["entry"].alias("key"), r["at"]["value"].alias("value"))))
+    first = F.min_by("entry", is_a("variant", F.struct((-c("n")).alias("n"), c("at.seq").alias("seq"), c("entry").alias("v"))))
+    g = e.groupBy("of").agg(listed("cycle").alias("cycles"), listed("price").alias("prices"), listed("loc").alias("locs"), listed("link").alias("links"), first.alias("variant"))
+    return g.withColumns({"cycles": values("cycles"), "prices": pairs("prices"), "locs": values("locs"), "links": pairs("links")})
 
 
 def fill_cycle_defaults(products: DataFrame) -> DataFrame:
@@ -121,9 +135,12 @@ def fill_cycle_defaults(products: DataFrame) -> DataFrame:
 
 def merge_runs(runs: DataFrame) -> DataFrame:
     """One run per domain: durations add up, one success is success, and the first three errors of a failure are told."""
-    failed = F.transform(F.array_sort(F.collect_list(F.when(~F.col("ok") & (F.coalesce("error", F.lit("")) != ""), F.struct("seq", "error")))), lambda e: e["error"])
-    g = runs.groupBy("domain").agg(F.bool_or("ok").alias("ok"), F.sum(F.coalesce("duration_ms", F.lit(0))).cast("bigint").alias("duration_ms"), failed.alias("errors"), *merged_meta())
-    told = F.when(F.size("errors") > 0, F.array_join(F.slice("errors", 1, 3), "; ")).otherwise("fetch failed")
+    failed = runs.where(~F.col("ok") & (F.coalesce("error", F.lit("")) != "")).select(F.col("domain").alias("of"), "seq", "error")
+    failed = top_per_key(failed, ["of"], [F.col("seq"), F.col("error")], 3).groupBy("of").agg(F.array_sort(F.collect_list(F.struct("seq", "error"))).alias("first"))
+    failed = failed.select("of", F.transform("first", lambda e: e["error"]).alias("errors"))
+    g = runs.groupBy("domain").agg(F.bool_or("ok").alias("ok"), F.sum(F.coalesce("duration_ms", F.lit(0))).cast("bigint").alias("duration_ms"), *merged_meta())
+    g = g.join(failed, F.col("domain").eqNullSafe(F.col("of")), "left")
+    told = F.when(F.size("errors") > 0, F.array_join("errors", "; ")).otherwise("fetch failed")
     return g.select("domain", "ok", F.when(~F.col("ok"), told).alias("error"), "duration_ms", "may_be_incomplete", "deadline_exceeded", "discovery_stop_reason", "discovery_fetch_errors").orderBy("domain")
 
 

@@ -49,6 +49,40 @@ def test_merge_does_not_depend_on_partitions(spark):
     assert merge.merge_plans(p.repartition(7, "id")).collect() == merge.merge_plans(p.coalesce(1)).collect()
 
 
+def test_merge_gathers_combined_entries(spark):
+    """Rows that repeat an entry, or tell a fourth error, are gone before any row is gathered."""
+    many = [{"id": f"p{i:03}", "location": f"L{i % 3}", "variant_of": f"v{i % 2}", "billing_cycles": [["Monthly"], ["Yearly", "Monthly"], None][i % 3], "cycle_prices": {"Monthly": f"${i}"}} for i in range(101)]
+    p = products(spark, *many)
+    got = merge.merge_plans(p).first()
+    assert (got.locations, got.variant_of, got.billing_cycles, got.cycle_prices) == (["L0", "L1", "L2"], "v0", ["Monthly", "Yearly"], {"Monthly": "$0"})
+    r = runs(spark, *(("a", False, f"e{i}", {}) for i in range(50)))
+    assert merge.merge_runs(r).first().error == "e0; e1; e2"
+    for df, most in ((merge.merge_plans(p), 3 + 3 + 1 + 2 + 2), (merge.merge_runs(r), 3)):
+        assert 0 < gathered(df) <= most
+
+
+def gathered(df):
+    """The rows that come to the first aggregate that collects a list."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().finalPhysicalPlan()
+    found, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        if "partial_collect_list" in node.verboseStringWithSuffix(1000):
+            found.append(rows_of(node.children().apply(0)))
+        if node.nodeName().startswith(("ShuffleQueryStage", "BroadcastQueryStage", "TableCacheQueryStage")):
+            todo.append(node.plan())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return max(found)
+
+
+def rows_of(node):
+    """The rows that a node gives, as its nearest counting node tells."""
+    while not node.metrics().contains("numOutputRows"):
+        node = node.plan() if "QueryStage" in node.nodeName() else node.children().apply(0)
+    return node.metrics().apply("numOutputRows").value()
+
+
 def test_first_last_mode(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 3, "z"), ("a", 4, "y")], "k string, seq long, v string")
     assert {tuple(r) for r in merge.first_per_key(df, ["k"]).collect()} == {("a", 1, "x"), ("b", 3, "z")}
