@@ -243,6 +243,13 @@ def price_to_float(spark, sf):
     return c.select("c_custkey", money.price_value(F.concat(F.lit("USD "), F.format_number("c_acctbal", 2), F.lit(" monthly"))).alias("value"))
 
 
+@query("SELECT c_custkey, abs(round(c_acctbal, 2)) AS value FROM customer")
+def price_to_float_signed(spark, sf):
+    """The same of all customers: the sign of an amount is no part of its first number."""
+    c = table(spark, sf, "customer")
+    return c.select("c_custkey", money.price_value(F.concat(F.lit("USD "), F.format_number("c_acctbal", 2), F.lit(" monthly"))).alias("value"))
+
+
 @query(r"""SELECT page_id, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS domain, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path FROM pages""")
 def url_domain(spark, sf):
     return table(spark, sf, "pages").select("page_id", url.domain(F.col("url")).alias("domain"), url.path(F.col("url")).alias("path"))

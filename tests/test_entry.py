@@ -45,3 +45,9 @@ def test_query_equals_sql(spark, name):
     names = [d[0] for d in cur.description]
     assert sorted(names) == sorted(df.columns)
     assert got == sorted(str([_plain(r[names.index(c)]) for c in sorted(names)]) for r in cur.fetchall())
+
+
+def test_signed_prices_are_run(spark):
+    customers = spark.read.parquet(f"{SF}/customer.parquet")
+    assert customers.where("c_acctbal < 0").count() > 0
+    assert plans.QUERIES["price_to_float_signed"][0](spark, SF).count() == customers.count()
