@@ -205,7 +205,11 @@ def near_classes(docs: DataFrame, *, id_: str = "doc_id", text: str = "text", n:
     Candidate classes are the connected components over shared bands. One is
     verified whole, in blocks of about ``block`` classes, each block against
     each; where its buckets together would send fewer rows than that, they are
-    verified bucket by bucket instead. Neither leaves a pair out.
+    verified bucket by bucket instead. Bucket by bucket only pairs that share a
+    band are found (of those at 0.8, all but 7 in 100,000 by default); a whole
+    component also gives its pairs that share none, so its n_links is exact
+    within the component. Pairs across components are never compared. Which way
+    is taken depends on the sizes, so n_links may differ by such pairs.
     """
     bands, rows = choose_bands(float(threshold), recall)
     sketched = sketch_texts(docs.select(F.col(id_).cast("long").alias("id"), F.col(text).alias("text")), bands, rows, n=n)
