@@ -2,7 +2,8 @@
 
 Within a pre-token, adjacent pairs wait in one bucket for each merge rank; a
 bucket holds linked-list positions, lowest first. A two-level bitmap tells the
-lowest rank that has a bucket by two find-first-set steps. Entries that a merge
+lowest rank that has a bucket by two find-first-set steps; its words are as
+wide as the vocabulary needs. Entries that a merge
 has made stale are skipped when they come up. A pre-token of n bytes costs
 O(n log n), so one very long run without spaces is no hazard.
 """
@@ -26,9 +27,8 @@ from pyspark.sql import types as T
 
 from .shared import table
 
-#: Bits of a word of the bitmap's lower level.
+#: Log of the fewest bits that a word of the bitmap has: 2 ** (2 * WORD) ranks fit two levels of such words.
 WORD = 8
-_BIT = [1 << i for i in range(1 << WORD)]
 #: Pre-tokens whose ids a worker keeps (some 200 bytes each; beyond that it forgets all and starts anew), and the longest of them.
 CACHE, LONGEST = 1_000_000, 64
 #: Pre-tokens of a text that are encoded at once.
@@ -39,9 +39,9 @@ class ByteBPE:
     """Encoder and decoder for a table of token bytes to ranks."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = CACHE):
-        if max(ranks.values(), default=0) >= 1 << (2 * WORD):
-            raise ValueError("too many ranks for two levels")
         self.ranks, self.pattern, self.most = ranks, regex.compile(pattern), cache
+        self.word = max(WORD, -(-max(ranks.values(), default=0).bit_length() // 2))
+        self.bit = [1 << i for i in range(1 << self.word)]
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
@@ -52,7 +52,8 @@ class ByteBPE:
         get = self.ranks.get
         if (whole := get(piece)) is not None:
             return (whole,)
-        n, mask, bit = len(piece), (1 << WORD) - 1, _BIT
+        n, wide, bit = len(piece), self.word, self.bit
+        mask = (1 << wide) - 1
         after, before, rank = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n
         buckets: dict[int, list[int]] = {}
         words: dict[int, int] = {}
@@ -64,14 +65,14 @@ class ByteBPE:
                     buckets[r].append(i)
                 else:
                     buckets[r] = [i]
-                    w = r >> WORD
+                    w = r >> wide
                     words[w] = words.get(w, 0) | bit[r & mask]
                     top |= bit[w]
         while top:
             w = (top & -top).bit_length() - 1
             word = words[w]
             low = word & -word
-            r = (w << WORD) + low.bit_length() - 1
+            r = (w << wide) + low.bit_length() - 1
             bucket = buckets[r]
             if len(bucket) > 1:
                 i = heappop(bucket)
@@ -95,7 +96,7 @@ class ByteBPE:
                         heappush(buckets[r], i)
                     else:
                         buckets[r] = [i]
-                        w = r >> WORD
+                        w = r >> wide
                         words[w] = words.get(w, 0) | bit[r & mask]
                         top |= bit[w]
             if h >= 0:
@@ -105,7 +106,7 @@ class ByteBPE:
                         heappush(buckets[r], h)
                     else:
                         buckets[r] = [h]
-                        w = r >> WORD
+                        w = r >> wide
                         words[w] = words.get(w, 0) | bit[r & mask]
                         top |= bit[w]
         out, i = [], 0
@@ -153,7 +154,8 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, *, text: str = "text"
     """``docs`` with a column ``into`` of token ids (array<int>).
 
     A null or empty text has no ids. Every row is encoded for itself, so
-    repeated rows and other columns stay as they are. No special tokens.
+    repeated rows and other columns stay as they are; one that is called like
+    ``into`` is replaced. No special tokens.
     """
 
     @F.arrow_udf(T.ArrayType(T.IntegerType(), False))
@@ -167,7 +169,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, *, text: str = "text"
 
 
 def decode_ids(docs: DataFrame, path: str, pattern: str, *, ids: str = "ids", into: str = "decoded") -> DataFrame:
-    """``docs`` with the bytes (binary) of its ids; null ids give null, none give empty bytes."""
+    """``docs`` with the bytes (binary) of its ids; null ids give null, none give empty bytes. A column called like ``into`` is replaced."""
 
     @F.arrow_udf(T.BinaryType())
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -185,7 +187,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str, *, text: str = "text",
     """``docs`` with the number of ids and the digests of the ids and of what they decode to.
 
     The same encoder and decoder as above; ids and bytes stay in the task, some
-    thousand pre-tokens at a time, and only digests leave it.
+    thousand pre-tokens at a time, and only digests leave it. A column called
+    like ``into`` is replaced.
     """
 
     @F.arrow_udf(ROUND_TRIP)

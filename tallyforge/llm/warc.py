@@ -164,12 +164,11 @@ class WarcReader(ds.DataSourceReader):
 
     def partitions(self) -> list[Spans]:
         fs, root = _filesystem(self.path)
-        spans = []
-        for manifest in _manifests(fs, root):
+        spans, one = [], fs.get_file_info(root)
+        for manifest in [] if one.is_file else _manifests(fs, root):
             for f in json.loads(fs.open_input_stream(manifest).read()):
                 spans += [(f"{root}/{f['name']}", a, b) for a, b in zip(f["starts"], [*f["starts"][1:], f["size"]], strict=True)]
         if not spans:  # archives of others
-            one = fs.get_file_info(root)
             files = [one] if one.is_file else fs.get_file_info(pafs.FileSelector(root, recursive=True))
             spans = [(f.path, 0, f.size) for f in sorted(files, key=lambda f: f.path) if f.is_file and f.path.endswith((".warc", ".warc.gz"))]
         most = max(self.split, sum(b - a for _, a, b in spans) // MOST)
@@ -207,26 +206,26 @@ class WarcReader(ds.DataSourceReader):
         at = start
         while at < end:
             f.seek(at)
-            head = f.read(PEEK)
-            if head[:2] == b"\x1f\x8b":
-                record = _Packed(f, at, head)
-            else:
-                blank = len(head) - len(head.lstrip(b"\r\n"))
-                if blank:
-                    at += blank
+            packed = f.read(2) == b"\x1f\x8b"
+            source = _Member(f, at) if packed else _Plain(f, at, end)
+            while (head := source.head()) is not None:
+                headers = _parsed(head)
+                if not headers.get("content-length", "").isdigit():
+                    raise ValueError(f"the record in or after byte {at} has no Content-Length")
+                size, row = int(headers["content-length"]), _row(headers)
+                if not all(_TESTS[kind](row.get(c), x) for kind, c, x in self.tests):
+                    source.skip(size)
                     continue
-                record = _Plain(f, at, head)
-            headers, begin = record.headers()
-            row = _row(headers)
-            if all(_TESTS[kind](row.get(c), x) for kind, c, x in self.tests):
                 if payloads and row["record_type"] != "revisit":
-                    row["payload"] = _payload(headers, record.block(begin, int(headers["content-length"])))
+                    row["payload"] = _payload(headers, source.take(size))
                     if self.verify and row.get("payload_digest") and row["payload_digest"] != base32_sha1(row["payload"]):
                         raise ValueError(f"{row['record_id']}: the payload doesn't have its digest")
                     if row["payload_length"] is None:
                         row["payload_length"] = len(row["payload"])
+                else:
+                    source.skip(size)
                 yield row
-            at = record.next(begin, int(headers["content-length"]))
+            at = source.end()
 
 
 def base32_sha1(data: bytes) -> str:
@@ -255,72 +254,101 @@ def _parsed(head: bytes) -> dict[str, str]:
 
 
 class _Plain:
-    """A record of an archive that isn't compressed."""
-
-    def __init__(self, f: pa.NativeFile, at: int, head: bytes):
-        self.f, self.at, self.data = f, at, head
-
-    def headers(self) -> tuple[dict[str, str], int]:
-        while (end := self.data.find(b"\r\n\r\n")) < 0:
-            if not (more := self.f.read(PEEK)):
-                raise ValueError(f"headers at byte {self.at} have no end")
-            self.data += more
-        return _parsed(self.data[:end]), end + 4
-
-    def block(self, begin: int, size: int) -> bytes:
-        have = self.data[begin : begin + size]
-        if len(have) < size:
-            self.f.seek(self.at + len(self.data))
-            have += self.f.read(size - len(have))
-        return have
-
-    def next(self, begin: int, size: int) -> int:
-        return self.at + begin + size
-
-
-class _Packed:
-    """A gzip member that holds one record."""
-
-    def __init__(self, f: pa.NativeFile, at: int, head: bytes):
-        self.f, self.at, self.skip = f, at, None
-        if head[3] & 4 and head[12:14] == b"sl":
-            self.skip = struct.unpack("<I", head[16:20])[0]
-        self.unpack, self.data, self.read = zlib.decompressobj(31), b"", len(head)
-        self.feed(head)
-
-    def feed(self, raw: bytes, keep: bool = True) -> None:
-        got = self.unpack.decompress(raw)
-        if keep:
-            self.data += got
-
-    def more(self, size: int, keep: bool = True) -> bool:
-        if self.unpack.eof:
-            return False
-        self.f.seek(self.at + self.read)
-        raw = self.f.read(size)
-        self.read += len(raw)
-        self.feed(raw, keep)
+    """The records of an archive that isn't compressed, from front to back; what is dropped isn't read."""
+
+    def __init__(self, f: pa.NativeFile, at: int, end: int):
+        self.f, self.at, self.last, self.data = f, at, end, b""
+
+    def more(self, size: int) -> bool:
+        """Read on; false at the end."""
+        self.f.seek(self.at + len(self.data))
+        raw = self.f.read(max(0, min(size, self.last - self.at - len(self.data))))
+        self.data += raw
         return bool(raw)
 
-    def headers(self) -> tuple[dict[str, str], int]:
-        while (end := self.data.find(b"\r\n\r\n")) < 0:
+    def head(self) -> bytes | None:
+        """The next record's headers, or None if there is no further one."""
+        while True:
+            blank = len(self.data) - len(self.data.lstrip(b"\r\n"))
+            self.drop(blank)
+            if self.data[:2] == b"\x1f\x8b":
+                return None  # a compressed part follows
+            if (end := self.data.find(b"\r\n\r\n")) >= 0:
+                return self.take(end + 4)[:-4]
             if not self.more(PEEK):
-                raise ValueError(f"headers at byte {self.at} have no end")
-        return _parsed(self.data[:end]), end + 4
+                if self.data:
+                    raise ValueError(f"headers at byte {self.at} have no end")
+                return None
 
-    def block(self, begin: int, size: int) -> bytes:
-        if self.skip:
-            self.more(self.skip - self.read if self.skip > self.read else 0)
-        while len(self.data) < begin + size and self.more(1 << 20):
+    def take(self, size: int) -> bytes:
+        while len(self.data) < size and self.more(size - len(self.data)):
             pass
-        return self.data[begin : begin + size]
+        if len(self.data) < size:
+            raise ValueError(f"the record at byte {self.at} is cut off")
+        out = self.data[:size]
+        self.drop(size)
+        return out
+
+    def drop(self, size: int) -> None:
+        self.at, self.data = self.at + size, self.data[size:]
+
+    def skip(self, size: int) -> None:
+        """Pass a payload."""
+        self.drop(size)
+
+    def end(self) -> int:
+        return self.at
 
-    def next(self, begin: int, size: int) -> int:
-        if self.skip:
-            return self.at + self.skip
-        while not self.unpack.eof and self.more(1 << 20, keep=False):
-            pass
-        return self.at + self.read - len(self.unpack.unused_data)
+
+class _Member(_Plain):
+    """The records of one gzip member.
+
+    A skip length tells where the member ends and how long its content is, so
+    that the last record's payload need not be unpacked to pass it.
+    """
+
+    def __init__(self, f: pa.NativeFile, at: int):
+        super().__init__(f, 0, 0)
+        self.begin, self.raw, self.size, self.content = at, 0, None, None
+        self.unpack = zlib.decompressobj(31)
+        self.need(f, 0, PEEK)
+
+    def need(self, f: pa.NativeFile, place: int, size: int) -> bool:
+        f.seek(self.begin + place)
+        raw = f.read(size)
+        if place == 0 and len(raw) > 24 and raw[3] & 4 and raw[12:14] == b"sl":
+            self.size, self.content = struct.unpack("<II", raw[16:24])
+        self.raw += len(raw)
+        self.data += self.unpack.decompress(raw)
+        return bool(raw)
+
+    def more(self, size: int) -> bool:
+        if self.content is not None and self.at >= self.content or self.unpack.eof:
+            return False
+        if not self.need(self.f, self.raw, max(size // 2, PEEK)):
+            raise ValueError(f"the gzip member at byte {self.begin} is cut off")
+        return True
+
+    def skip(self, size: int) -> None:
+        if self.content is not None and self.at + size <= self.content <= self.at + size + 4:
+            self.at, self.data = self.content, b""  # nothing but blank lines follows
+        else:
+            self.drop(size)
+
+    def drop(self, size: int) -> None:
+        while size > len(self.data):
+            self.at, size, self.data = self.at + len(self.data), size - len(self.data), b""
+            if not self.more(1 << 20):
+                raise ValueError(f"a record of the gzip member at byte {self.begin} is cut off")
+        super().drop(size)
+
+    def end(self) -> int:
+        if self.size is not None:
+            return self.begin + self.size
+        while not self.unpack.eof:
+            self.data = b""
+            self.more(1 << 20)
+        return self.begin + self.raw - len(self.unpack.unused_data)
 
 
 class Warc(ds.DataSource):
@@ -328,6 +356,9 @@ class Warc(ds.DataSource):
 
     The reader makes the columns of the schema it is given, by default SCHEMA;
     without the column payload no payload is decoded. Revisits have none.
+    Archives of others may be plain, or gzip with any number of records a
+    member; each of their files is one task, since nothing tells where a member
+    begins. A record without a Content-Length, or one cut off, is an error.
     """
 
     @classmethod
@@ -398,10 +429,17 @@ def read_archive(spark: SparkSession, path: str, columns: str = SCHEMA, **option
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per page, from archives written and read back; every payload is verified against its digest."""
+    """One row per page, from archives written and read back.
+
+    The record type is pushed down twice: of responses every payload is decoded
+    and verified against its digest; of revisits only the headers are parsed.
+    """
     path = new_path(spark, "warc")
     write_archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
-    back = read_archive(spark, path, "record_id string, record_type string, payload_digest string, refers_to string, payload_length bigint", verify="true")
+    headers = "record_id string, record_type string, payload_digest string, refers_to string, payload_length bigint"
+    responses = read_archive(spark, path, headers + ", payload binary", verify="true").where("record_type = 'response'")
+    revisits = read_archive(spark, path, headers).where("record_type = 'revisit'")
+    back = responses.withColumn("payload_length", F.octet_length("payload").cast("long")).drop("payload").unionByName(revisits)
     id_ = lambda c: F.nullif(F.regexp_extract(c, "^urn:x-page:(-?[0-9]+)$", 1), F.lit("")).cast("long")
     return back.select(id_("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", id_("refers_to").alias("refers_to"))
 

@@ -324,9 +324,49 @@ def test_warc_of_others(spark, tmp_path):
     parts = [warc.record_bytes(row(i), "2024-01-01T00:00:00Z") for i in (1, 5000, 30)]
     (tmp_path / "a.warc").write_bytes(b"".join(parts))
     (tmp_path / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, parts)))
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(b"".join(parts)) + gzip.compress(parts[0]))
+    (tmp_path / "d.warc").write_bytes(parts[2] + gzip.compress(parts[1] + parts[0]))
+    (tmp_path / "e.warc.gz").write_bytes(warc.member(b"".join(parts), 3))
     back = warc.read_archive(spark, str(tmp_path), verify="true").collect()
-    assert sorted(len(r.payload) for r in back) == [1, 1, 30, 30, 5000, 5000]
-    assert warc.read_archive(spark, str(tmp_path), "record_id string").where("record_id = 'urn:x-page:30'").count() == 2
+    assert sorted(len(r.payload) for r in back) == [1] * 6 + [30] * 5 + [5000] * 5
+    assert warc.read_archive(spark, str(tmp_path), "record_id string").where("record_id = 'urn:x-page:30'").count() == 5
+    for name, data in (("cut", gzip.compress(parts[1])[:-20]), ("cut", parts[1][:-900]), ("lengthless", parts[0].replace(b"Content-Length", b"X-Length"))):
+        bad = tmp_path / f"{name}.warc"
+        bad.write_bytes(data)
+        with pytest.raises(Exception, match="cut off|no Content-Length"):
+            warc.read_archive(spark, str(bad)).collect()
+
+
+def test_warc_pushdown(tmp_path, monkeypatch):
+    """A pushed predicate isn't asked again by Spark, and payloads of other records are never unpacked."""
+    import pyarrow.fs as pafs
+    from pyspark.sql import datasource as ds
+    from pyspark.sql import types as T
+
+    parts = [warc.record_bytes({"record_id": f"urn:x-page:{i}", "record_type": kind, "target_uri": "u", "payload_digest": "D", "refers_to": "urn:x-page:0", "payload": bytes(range(256)) * 4000 if kind == "response" else None}, "2024-01-01T00:00:00Z") for i, kind in enumerate(["response", "revisit"] * 5)]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(warc.member(x, 0) for x in parts))
+    schema = T.StructType([T.StructField("record_id", T.StringType()), T.StructField("payload", T.BinaryType())])
+    reader = warc.WarcReader({"path": str(tmp_path)}, schema)
+    other = ds.EqualTo(("payload",), b"x")
+    assert list(reader.pushFilters([ds.EqualTo(("record_type",), "revisit"), ds.IsNotNull(("record_type",)), other])) == [other]
+    read = 0
+
+    class Counted:
+        def __init__(self, f):
+            self.f = f
+
+        def read(self, n):
+            nonlocal read
+            read += n
+            return self.f.read(n)
+
+        def __getattr__(self, name):
+            return getattr(self.f, name)
+
+    monkeypatch.setattr(warc, "_payload", lambda *_: pytest.fail("a payload was decoded"))
+    f = pafs.LocalFileSystem().open_input_file(str(tmp_path / "a.warc.gz"))
+    rows = list(reader._records(Counted(f), 0, f.size(), True))
+    assert [r["record_id"] for r in rows] == [f"urn:x-page:{i}" for i in range(1, 10, 2)] and read < 100_000 < f.size()
 
 
 def near_brute(table, threshold=0.8):
@@ -428,3 +468,13 @@ def test_long_texts_are_encoded_slice_by_slice():
     text = prose(4, 60_000)
     assert len(text) > bytebpe.SLICE and bpe.decode(bpe.encode(text)) == text.encode()
     assert sum(map(len, bpe.slices(text))) == len(bpe.encode(text))
+
+
+@pytest.mark.parametrize("gap", [1, 7, 40])
+def test_vocabularies_of_any_size(gap):
+    """Ranks beyond 65,535: the order of merges, and so the cuts, stay the same."""
+    path, pattern = bytebpe.vocabulary()
+    small = bytebpe.load(path, pattern)
+    large = bytebpe.ByteBPE({t: r * gap for t, r in small.ranks.items()}, pattern)
+    text = prose(8, 300) + " Überraschung, 日本語! " + "ab" * 400
+    assert large.encode(text) == [r * gap for r in small.encode(text)] and large.decode(large.encode(text)) == text.encode()
