@@ -2,7 +2,9 @@
 
 The n-grams of the benchmark, normalised, go to every executor as a hash set
 whose size is checked; each document's token windows are probed against it and
-every hit is verified on the words themselves.
+every hit is verified on the words themselves. The windows of a benchmark that
+is too large for that are joined instead, in one pass over the documents and
+with the same result.
 """
 
 from __future__ import annotations
@@ -16,8 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import free_name, joined_sha256, table
-from .wordhash import U64, gram_hashes, words
+from .shared import free_name, joined_sha256, settle, table
+from .wordhash import U64, Words, gram_hashes, words
 
 FOUND = T.StructType(
     [
@@ -28,72 +30,124 @@ FOUND = T.StructType(
         T.StructField("clean", T.StringType()),
     ]
 )
-#: Bytes of benchmark text whose n-grams are broadcast at once.
-BROADCAST_BYTES = 32 << 20
+MARKED = T.StructType([f for f in FOUND if f.name != "items"])
+#: Bytes of a set of windows that may be broadcast; a window takes WINDOW_BYTES of it, an item's name NAME_BYTES beside its letters.
+BROADCAST_BYTES, WINDOW_BYTES, NAME_BYTES = 64 << 20, 20, 64
+#: Beyond that size, windows of documents are first held against so many bits (16 MB, whatever the benchmark's size).
+FILTER_BITS = 27
+WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+
+
+def _windows(w: Words, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(size, first words, hashes) of all windows of rows that aren't empty: n words, or all of a row with fewer."""
+    row, counts = w.rows(), w.counts
+    if len(row) >= n:
+        at = np.flatnonzero(row[: len(row) - n + 1] == row[n - 1 :])
+        yield n, at, gram_hashes(w.hash, n)[at]
+    for k in range(1, n):
+        at = w.bounds[:-1][counts == k]
+        if len(at):
+            yield k, at, gram_hashes(w.hash, k)[at]
 
 
 class GramSet:
-    """The windows of some benchmark items, by their number of words."""
+    """The windows of some benchmark items: their words, and sorted hashes that tell item and place of each."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], n: int):
-        found: dict[int, dict[bytes, set[str]]] = {}
-        hashes: dict[int, list[np.ndarray]] = {}
+        self.names = sorted({x for x, _ in items if x is not None})
+        code = {x: i for i, x in enumerate(self.names)}
+        codes = np.array([code.get(x, -1) for x, _ in items], np.int32)
+        parts: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        joined, base = [], 0
         for w in words(pa.array([t or "" for _, t in items], pa.large_string())):
-            for i in range(w.hi - w.lo):
-                a, b = int(w.bounds[i]), int(w.bounds[i + 1])
-                size = min(n, b - a)
-                if size == 0:
-                    continue
-                hashes.setdefault(size, []).append(gram_hashes(w.hash[a:b], size))
-                name = items[w.lo + i][0]
-                for at in range(a, b - size + 1):
-                    found.setdefault(size, {}).setdefault(w.text(at, size), set()).update([] if name is None else [name])
-        self.windows = {k: {text: tuple(sorted(x)) for text, x in v.items()} for k, v in found.items()}
-        self.hashes = {k: np.unique(np.concatenate(v)) for k, v in hashes.items()}
-        self._filters: dict[int, np.ndarray] | None = None
+            size = w.end - w.start
+            if not len(size):
+                continue
+            own = np.full(int(size.sum()) + len(size), 32, np.uint8)
+            own[np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)] = w.low[w.low != 0]
+            end = np.cumsum(size + 1) - 1 + base
+            start = end - size
+            row = w.rows()
+            for k, at, hashes in _windows(w, n):
+                parts.setdefault(k, []).append((hashes, codes[w.lo + row[at]], start[at].astype(np.uint32), end[at + k - 1].astype(np.uint32)))
+            joined.append(own.tobytes())
+            base += len(own)
+        self.text = b"".join(joined)
+        self.windows: dict[int, tuple[np.ndarray, ...]] = {}
+        for k, found in parts.items():
+            columns = [np.concatenate(x) for x in zip(*found, strict=True)]
+            order = np.lexsort((columns[1], columns[0]))
+            hashes, item, start, end = (x[order] for x in columns)
+            keep = np.ones(len(hashes), bool)
+            for i in np.flatnonzero((hashes[1:] == hashes[:-1]) & (item[1:] == item[:-1])).tolist():
+                keep[i + 1] = self.text[start[i] : end[i]] != self.text[start[i + 1] : end[i + 1]]
+            self.windows[k] = tuple(x[keep] for x in (hashes, item, start, end))
+        self._filters: dict[int, tuple[U64, np.ndarray]] | None = None
+        self._told: dict[tuple[int, bytes], tuple[str, ...] | None] = {}
 
     def __getstate__(self) -> dict:
-        return {"windows": self.windows, "hashes": self.hashes, "_filters": None}
+        return self.__dict__ | {"_filters": None, "_told": {}}
 
-    def filters(self) -> dict[int, np.ndarray]:
-        """For each size a table by the first 20 bits of a hash: most windows end there."""
+    def filters(self) -> dict[int, tuple[U64, np.ndarray]]:
+        """For each size a table by the first bits of a hash: most windows end there."""
         if self._filters is None:
             self._filters = {}
-            for k, h in self.hashes.items():
-                self._filters[k] = np.zeros(1 << 20, bool)
-                self._filters[k][h >> U64(44)] = True
+            for k, (hashes, *_) in self.windows.items():
+                bits = min(24, max(16, len(hashes).bit_length() + 4))
+                self._filters[k] = U64(64 - bits), np.zeros(1 << bits, bool)
+                self._filters[k][1][hashes >> U64(64 - bits)] = True
         return self._filters
 
-    def scan(self, texts: pa.Array, clean: bool, positions: bool) -> pa.Array:
-        n_words = np.zeros(len(texts), np.int64)
-        n_hit = np.zeros(len(texts), np.int64)
-        items: list[list[str]] = [[]] * len(texts)
-        hits: list[list[int] | None] = [[] if positions else None] * len(texts)
-        cleaned: dict[int, str] = {}
+    def told(self, k: int, hash_: np.uint64, window: bytes) -> tuple[str, ...] | None:
+        """The named items that hold the window, or None if none does; by its words."""
+        if (k, window) not in self._told:
+            if len(self._told) >= 10_000:
+                self._told.clear()
+            hashes, item, start, end = self.windows[k]
+            lo, hi = np.searchsorted(hashes, hash_, "left"), np.searchsorted(hashes, hash_, "right")
+            of = [int(item[i]) for i in range(lo, hi) if self.text[start[i] : end[i]] == window]
+            self._told[k, window] = tuple(self.names[i] for i in of if i >= 0) if of else None
+        return self._told[k, window]
+
+    def scan(self, texts: pa.Array, clean: bool) -> pa.Array:
+        items: dict[int, set[str]] = {}
+        marked: dict[int, list[tuple[int, int]]] = {}
         for w in words(texts):
-            n_words[w.lo : w.hi] = w.counts
-            seen: dict[int, tuple[set[int], set[str]]] = {}
             row = w.rows()
-            for k, table_ in self.filters().items():
+            for k, (shift, table_) in self.filters().items():
                 h = gram_hashes(w.hash, k)
-                at = np.flatnonzero(table_[h >> U64(44)])
-                at = at[(row[at] == row[at + k - 1]) & np.isin(h[at], self.hashes[k])]
-                for p in at.tolist():
-                    if (names := self.windows[k].get(w.text(p, k))) is not None:
-                        marks, of = seen.setdefault(int(row[p]), (set(), set()))
-                        marks.update(range(p, p + k))
-                        of.update(names)
-            for i, (marks, of) in seen.items():
-                n_hit[w.lo + i] = len(marks)
-                items[w.lo + i] = sorted(of)
-                if positions:
-                    hits[w.lo + i] = sorted(m - int(w.bounds[i]) for m in marks)
-                if clean:
-                    cleaned[w.lo + i] = _without(texts[w.lo + i].as_py(), w, i, sorted(marks))
-        out = pa.array([cleaned[i] if i in cleaned else t for i, t in enumerate(texts.to_pylist())], pa.string()) if clean else pa.nulls(len(texts), pa.string())
-        return pa.StructArray.from_arrays(
-            [pa.array(n_words), pa.array(n_hit), pa.array(items, pa.list_(pa.string())), pa.array(hits, pa.list_(pa.int32())), out], names=FOUND.names
-        )
+                at = np.flatnonzero(table_[h >> shift])
+                at = at[row[at] == row[at + k - 1]]
+                hashes = self.windows[k][0]
+                place = np.minimum(np.searchsorted(hashes, h[at]), len(hashes) - 1)
+                for p in at[hashes[place] == h[at]].tolist():
+                    if (names := self.told(k, h[p], w.text(p, k))) is not None:
+                        i = int(row[p])
+                        marked.setdefault(w.lo + i, []).append((p - int(w.bounds[i]), k))
+                        items.setdefault(w.lo + i, set()).update(names)
+        out = _marked(texts, marked, clean)
+        listed = pa.array([sorted(items.get(i, ())) for i in range(len(texts))], pa.list_(pa.string()))
+        return pa.StructArray.from_arrays([out.field("n_words"), out.field("n_hit"), listed, out.field("hits"), out.field("clean")], names=FOUND.names)
+
+
+def _marked(texts: pa.Array, windows: dict[int, list[tuple[int, int]]], clean: bool) -> pa.StructArray:
+    """What the hit windows (first word, size) of some rows make of all rows: the fields of MARKED."""
+    n_words = np.zeros(len(texts), np.int64)
+    hits: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
+    cleaned: dict[int, str] = {}
+    for w in words(texts):
+        n_words[w.lo : w.hi] = w.counts
+        for i in range(w.lo, w.hi):
+            if i in windows:
+                inside = np.zeros(int(n_words[i]) + 1, np.int64)
+                for p, k in set(windows[i]):
+                    inside[p] += 1
+                    inside[p + k] -= 1
+                hits[i] = np.flatnonzero(np.cumsum(inside))
+                if clean and len(hits[i]):
+                    cleaned[i] = _without(texts[i].as_py(), w, i - w.lo, hits[i] + w.bounds[i - w.lo])
+    out = pa.array([cleaned[i] if i in cleaned else t for i, t in enumerate(texts.to_pylist())], pa.string()) if clean else pa.nulls(len(texts), pa.string())
+    return pa.StructArray.from_arrays([pa.array(n_words), pa.array([len(x) for x in hits], pa.int64()), pa.array(hits, pa.list_(pa.int32())), out], names=MARKED.names)
 
 
 def _without(text: str, w, row: int, marks: list[int]) -> str:
@@ -106,76 +160,106 @@ def _without(text: str, w, row: int, marks: list[int]) -> str:
     return b"".join([*out, raw[at:]]).decode()
 
 
-def _scanner(spark: SparkSession, items: list, n: int, clean: bool, positions: bool):
-    grams = spark.sparkContext.broadcast(GramSet(items, n))
-
-    @F.arrow_udf(FOUND)
-    def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            yield grams.value.scan(texts, clean, positions)
+def _exploded(texts: DataFrame, n: int, sizes: list[int] | None = None, bits: np.ndarray | None = None) -> DataFrame:
+    """(key, k, hash, gram, at) of windows of ``texts`` (key, text).
 
-    return scan.asNondeterministic()  # so that it is never run twice for one row
+    Without ``sizes`` those of benchmark items; else all runs of so many words
+    whose hash ``bits`` doesn't rule out.
+    """
+    held = texts.sparkSession.sparkContext.broadcast(bits) if bits is not None else None
+    kind = T.StructType([T.StructField("key", T.StringType()), T.StructField("k", T.IntegerType()), T.StructField("hash", T.LongType()), T.StructField("gram", T.BinaryType()), T.StructField("at", T.IntegerType())])
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0)
+            for w in words(batch.column(1)):
+                row = w.rows()
+                if sizes is None:
+                    found = _windows(w, n)
+                else:
+                    found = []
+                    for k in sizes:
+                        h = gram_hashes(w.hash, k)
+                        place = (h >> U64(64 - FILTER_BITS)).astype(np.int64)
+                        at = np.flatnonzero(held.value[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+                        at = at[row[at] == row[at + k - 1]]
+                        found.append((k, at, h[at]))
+                for k, at, h in found:
+                    for lo in range(0, len(at), 20_000):
+                        p = at[lo : lo + 20_000]
+                        i = row[p]
+                        columns = [keys.take(pa.array(i + w.lo)), pa.array(np.full(len(p), k), pa.int32()), pa.array(h[lo : lo + 20_000].view(np.int64)), pa.array([w.text(x, k) for x in p.tolist()], pa.binary()), pa.array(p - w.bounds[i], pa.int32())]
+                        yield pa.RecordBatch.from_arrays(columns, names=kind.names)
+
+    return texts.mapInArrow(explode, kind)
+
+
+def _joined(docs: DataFrame, bench: DataFrame, n: int, text: str, into: str, clean: bool) -> DataFrame:
+    """What a broadcast set would tell, by joins of windows on hash and words.
+
+    One pass over the documents emits the windows that a bitmap of fixed size
+    lets through, and equal ones of equal texts combine before the shuffle. The
+    benchmark's side of the join holds each window once, so that Spark can
+    split a window which very many documents hold.
+    """
+    spark = docs.sparkSession
+    own = settle(_exploded(bench.select(F.col("id").alias("key"), "text"), n).select(F.col("key").alias("item"), "k", "hash", "gram").distinct(), "windows")
+    prefix = F.shiftrightunsigned("hash", 64 - FILTER_BITS) + 1
+    held = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for bucket, part in own.select(prefix.alias("v")).groupBy(F.bitmap_bucket_number("v").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v"))).collect():
+        held[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(part, np.uint8)
+    sizes = sorted(r.k for r in own.select("k").distinct().collect())  # n of them at most
+    whole = F.coalesce(F.col(text), F.lit(""))
+    found = _exploded(docs.select(F.sha2(whole, 256), whole), n, sizes, held).distinct()
+    hits = settle(found.join(own.select("k", "hash", "gram").distinct(), ["k", "hash", "gram"]), "hits")
+    items = hits.select("key", "k", "hash", "gram").distinct().join(own.where("item is not null"), ["k", "hash", "gram"]).groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    marks = hits.groupBy("key").agg(F.collect_set(F.struct("at", "k")).alias("marks")).join(items, "key", "left")
+
+    @F.arrow_udf(MARKED)
+    def finish(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, marked in batches:
+            yield _marked(texts, {i: [(x["at"], x["k"]) for x in m] for i, m in enumerate(marked.to_pylist()) if m}, clean)
+
+    key, told, m = free_name(docs, "key"), free_name(docs, "told"), free_name(docs, "marked")
+    marks = settle(marks.select(F.col("key").alias(key), F.struct("marks", "items").alias(told)), "marks")
+    out = docs.withColumn(key, F.sha2(whole, 256)).join(marks, key, "left").withColumn(m, finish.asNondeterministic()(F.col(text), F.col(f"{told}.marks")))
+    fields = {"items": F.coalesce(F.col(f"{told}.items"), F.array().cast("array<string>"))}
+    return out.withColumn(into, F.struct(*(fields.get(c, F.col(f"{m}.{c}")).alias(c) for c in FOUND.names))).drop(*(c for c in (key, told, m) if c != into))
 
 
 def scan_documents(
     docs: DataFrame, benchmark: DataFrame, *, n: int = 13, text: str = "text", item: str = "item_id", item_text: str = "text", into: str = "found", clean: bool = False, max_broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
-    """``docs`` with a struct column ``into``.
+    """``docs`` with a struct column ``into``; a column that is called so is replaced.
 
     Its fields: n_words, n_hit (words inside any occurrence of a benchmark
     window), items (ids of items with occurring windows, sorted as strings),
-    hits (the hit words' positions, where the benchmark was scanned in parts)
-    and clean (the text without its hit spans, if ``clean``).
+    hits (the hit words' positions) and clean (the text without its hit spans,
+    if ``clean``).
 
     A null or empty text has no words. An item of fewer than n words, but not
     none, is one window; items without words match nothing. The windows of an
     item with a null id count as hits, but it is listed nowhere. Repeated items
     count once; repeated documents are judged each. Other columns are kept.
 
-    The benchmark's size is checked: up to ``max_broadcast_bytes`` of text its
-    windows are broadcast together; a larger one is cut into parts of about
-    that size, each is scanned for, and the hits are united by text.
+    The size of the set of windows is computed first: up to
+    ``max_broadcast_bytes`` it is broadcast, a larger one is joined. Both give
+    the same rows.
     """
     spark = docs.sparkSession
     bench = benchmark.select(F.col(item).cast("string").alias("id"), F.col(item_text).alias("text")).where("text is not null")
-    size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = -(-size // max_broadcast_bytes)
-    if parts <= 1:
-        rows = [tuple(r) for r in bench.collect()]
-        return docs.withColumn(into, _scanner(spark, rows, n, clean, False)(F.col(text)))
-    texts = docs.select(F.coalesce(text, F.lit("")).alias("t")).distinct()
-    found = []
-    for k in range(parts):
-        rows = [tuple(r) for r in bench.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == k).collect()]
-        found.append(texts.select(F.sha2("t", 256).alias("key"), _scanner(spark, rows, n, False, True)(F.col("t")).alias("f")))
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionByName(f)
-    united = every.groupBy("key").agg(
-        F.max("f.n_words").alias("n_words"),
-        F.array_distinct(F.flatten(F.collect_list("f.hits"))).alias("hits"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("f.items")))).alias("items"),
-    )
-    key = free_name(docs, "key")
-    hit = F.struct("n_words", F.size("hits").cast("long").alias("n_hit"), "items", F.array_sort("hits").alias("hits"), F.lit(None).cast("string").alias("clean"))
-    joined = docs.withColumn(key, F.sha2(F.coalesce(text, F.lit("")), 256)).join(united.select(F.col("key").alias(key), hit.alias(into)), key, "left").drop(key)
-    if clean:
-        @F.arrow_udf(T.StringType())
-        def cut(texts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-            for t, h in texts:
-                yield _cut(t, h)
-
-        joined = joined.withColumn(into, F.col(into).withField("clean", cut(F.col(text), F.col(f"{into}.hits"))))
-    return joined
+    n_words = F.regexp_count("text", F.lit(WORD)).cast("long")
+    of_item = F.octet_length("text") + n_words + F.greatest(n_words - n + 1, F.lit(1)) * WINDOW_BYTES + F.coalesce(F.octet_length("id"), F.lit(0)) + NAME_BYTES
+    if (bench.agg(F.sum(of_item)).first()[0] or 0) > max_broadcast_bytes:
+        return _joined(docs, bench, n, text, into, clean)
+    grams = spark.sparkContext.broadcast(GramSet([tuple(r) for r in bench.collect()], n))
 
+    @F.arrow_udf(FOUND)
+    def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield grams.value.scan(texts, clean)
 
-def _cut(texts: pa.Array, hits: pa.Array) -> pa.Array:
-    out = texts.to_pylist()
-    for w in words(texts):
-        for i in range(w.hi - w.lo):
-            if marks := hits[w.lo + i].as_py():
-                out[w.lo + i] = _without(out[w.lo + i], w, i, [m + int(w.bounds[i]) for m in marks])
-    return pa.array(out, pa.string())
+    return docs.withColumn(into, scan.asNondeterministic()(F.col(text)))  # so that it is never run twice for one row
 
 
 def contaminated(found: str | Column = "found", share: Fraction = Fraction(1, 20)) -> Column:

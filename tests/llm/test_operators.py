@@ -80,7 +80,7 @@ def decontamination(text, items, n=13):
     return len(own), len(hit), sorted(names)
 
 
-@pytest.mark.parametrize("most", [1 << 25, 200])
+@pytest.mark.parametrize("most", [1 << 26, 200])
 def test_decontamination(spark, most):
     items = [(1, prose(10, 30)), (2, "Short Item here"), (3, None), (4, ""), (None, prose(11, 14)), (10, prose(10, 30)), (5, "!!")]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -90,12 +90,37 @@ def test_decontamination(spark, most):
     assert len(got) == len(given) + 1
     for r in got:
         assert (r.f.n_words, r.f.n_hit, r.f["items"]) == decontamination(r.text, items)
+        assert len(r.f.hits) == r.f.n_hit and r.f.hits == sorted(set(r.f.hits))
         assert r.found == "a" and (r.text is None or words(r.f.clean) == words(decontaminated(r.text, items)))
-    kept = {r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()}
+    over = decontaminate.scan_documents(docs, bench, into="found", max_broadcast_bytes=most)
+    assert over.columns.count("found") == 1 and over.where("found.n_hit > 0").count() == sum(r.f.n_hit > 0 for r in got)
+    kept = {r.doc_id for r in decontaminate.decontaminate(docs, bench, max_broadcast_bytes=most).collect()}
     assert kept == {r.doc_id for r in got if not (r.f.n_hit and 20 * r.f.n_hit >= r.f.n_words)}
-    assert decontaminate.decontaminate(docs.limit(0), bench).columns == docs.columns
-    assert decontaminate.decontaminate(docs, bench.limit(0)).count() == len(given) + 1
-    assert decontaminate.decontaminate(docs, bench, remove="spans").count() == len(given) + 1
+    assert decontaminate.decontaminate(docs.limit(0), bench, max_broadcast_bytes=most).columns == docs.columns
+    assert decontaminate.decontaminate(docs, bench.limit(0), max_broadcast_bytes=most - 200).count() == len(given) + 1
+    spans = decontaminate.decontaminate(docs, bench, remove="spans", max_broadcast_bytes=most)
+    assert spans.columns == docs.columns and spans.count() == len(given) + 1
+
+
+def test_decontamination_does_not_depend_on_the_size(spark):
+    """A broadcast set and joined windows give the same rows: hits, items, cleaned texts."""
+    r = random.Random(9)
+    vocabulary = [prose(k, 1) for k in range(12)]
+    few = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    bench = spark.createDataFrame([(i % 17, few(r.randint(0, 40))) for i in range(40)], "item_id long, text string")
+    docs = spark.createDataFrame(rows([few(r.randint(0, 300)) for _ in range(30)] * 2 + [None]), DOCS)
+    one, other = (sorted(map(str, decontaminate.scan_documents(docs, bench, n=4, into="key", clean=True, max_broadcast_bytes=most).collect())) for most in (1 << 26, 0))
+    assert one == other and len(one) == 61
+
+
+def test_a_set_of_windows_has_the_size_that_is_checked():
+    import pickle
+
+    items = [(str(i), prose(i, 400)) for i in range(100)]
+    grams = decontaminate.GramSet(items, 13)
+    n = sum(len(words(t)) for _, t in items)
+    most = sum(len(t.encode()) for _, t in items) + n + decontaminate.WINDOW_BYTES * n + decontaminate.NAME_BYTES * 100
+    assert len(pickle.dumps(grams)) < most and sum(x.nbytes for w in grams.windows.values() for x in w) + len(grams.text) < most
 
 
 def decontaminated(text, items):
