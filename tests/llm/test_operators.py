@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import string
@@ -134,30 +135,111 @@ def decontaminated(text, items):
     return " ".join(x for i, x in enumerate(own) if i not in hit)
 
 
+def secret_spans(t, words):
+    """All spans, value by value."""
+    base = [("assign", *m.span()) for m in re.finditer(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 8]
+    base += [("access", *m.span()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 16] + [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+    for m in secrets._CONTEXT.finditer(t):
+        v = m[1].rstrip(".:!?)]}")
+        if secrets.guess_cost(v, secrets.Dictionary(words)) >= secrets.THRESHOLD:
+            base.append(("guess", m.start(1), m.start(1) + len(v)))
+    return sorted(base, key=lambda x: (x[1], secrets.KINDS.index(x[0])))
+
+
 def test_secrets(spark, docs, texts):
-    for r in secrets.scan_secrets(docs).collect():
-        t = r.text or ""
-        base = [("assign", *m.span()) for m in re.finditer(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 8]
-        base += [("access", *m.span()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 16] + [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
-        base.sort(key=lambda x: (x[1], secrets.KINDS.index(x[0])))
-        assert [(s.kind, s.start, s.end) for s in r.secrets if s.kind != "guess"] == base
+    for r in secrets.scan_secrets(docs, into="key").collect():
+        assert [(s.kind, s.start, s.end) for s in r["key"]] == secret_spans(r.text or "", secrets.FREQUENT) and r.digest in ("d", None)
     assert secrets.scan_secrets(docs.limit(0)).count() == 0
     assert secrets.find_secrets("login: xK9#mQ2$vL7p")[0][0] == "guess" and not secrets.find_secrets("login: information")
     order = [secrets.guess_cost(v) for v in ("", "password", "qwertyuiop", "2019-05-12", "Tr0ub4dor&3", "xK9#mQ2$vL7p8&Zt")]
     assert order == sorted(order)
-    assert secrets.guess_cost("ab1!" * 50_000) > 1000
+    assert secrets.guess_cost("ab1!" * 50_000) > 1000 and secrets.guess_cost("a" * 100_000) < 8
+
 
+def test_values_in_a_pattern_are_priced_too():
+    found = {k: (s, e, c) for k, s, e, c in secrets.find_secrets("password = kqzjxvwpbtrmfg")}
+    assert found["assign"][:2] == (0, 25) and found["guess"][:2] == (11, 25) and found["assign"][2] == found["guess"][2] > 15
+    assert [k for k, *_ in secrets.find_secrets("password = password")] == ["assign"]
+    assert [k for k, *_ in secrets.find_secrets("login: x#9$K~q")] == ["guess"], "short values count by their price alone"
 
-def cut_cost(value):
-    """Every segmentation, for the brute-force part of the cost."""
-    return sum(secrets._char_cost(c) for c in value)
 
+def test_secret_query(spark):
+    """The whole query against a dictionary and spans made here."""
+    sf = "/root/testdata/sf0.01"
+    table = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    counts = {}
+    for r in table:
+        low = (r.text or "").lower()
+        for w in set(re.findall(r"(?<!\w)[^\W\d_]{3,24}(?!\w)", secrets._CONTEXT.sub(" ", low))):
+            counts[w] = counts.get(w, 0) + 1
+    words = sorted((w for w, n in counts.items() if n >= secrets.SEEN), key=lambda w: (-counts[w], w))[: secrets.WORDS]
+    assert secrets.ranked_words(spark.read.parquet(f"{sf}/documents.parquet")) == words
+    assert secrets.ranked_words(spark.createDataFrame([(None,), ("",)], "text string"), least=1) == []
+    told = {r.doc_id: r for r in secrets.op3_secret_scan(spark, sf).collect()}
+    assert len(told) == len(table)
+    for r in table:
+        spans = secret_spans(r.text or "", words)
+        join = lambda x: ",".join(f"{k}:{s}:{e}" for k, s, e in x)
+        base = join(s for s in spans if s[0] != "guess")
+        t = told[r.doc_id]
+        assert t.spans == join(spans) and t.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert (t.n_assign, t.n_access, t.n_hex, t.n_guess) == tuple(sum(s[0] == k for s in spans) for k in secrets.KINDS)
+    assert sum(t.n_guess for t in told.values()) > 0
+
+
+def segment_costs(value, i, j, ranks, letters):
+    """What value[i:j] costs as one segment, in each way that it can be one."""
+    part, low = value[i:j], value.lower()[i:j]
+    yield sum(secrets._char_cost(c) for c in part)
+    for form in {low, low.translate(secrets._LEET)}:
+        if form in ranks and len(set(form)) > 1:
+            yield math.log10(ranks.index(form) + 2) + (math.log10(4) if form != part else 0)
+    if (i, j) in letters and secrets.plausible(part):
+        yield 5.0 * math.ceil(len(part) / 14)
+    if re.fullmatch("(19|20)[0-9][0-9]", part):
+        yield math.log10(120)
+    for order in ("ymd", "dmy"):
+        shape = "{sep}".join({"y": "(19|20)[0-9][0-9]", "m": "(0?[1-9]|1[0-2])", "d": "(0?[1-9]|[12][0-9]|3[01])"}[x] for x in order)
+        if any(re.fullmatch(shape.format(sep=sep), part) for sep in ("", "-", "/", "[.]", "_")):
+            yield math.log10(365 * 120)
+    if len(part) >= 3 and len(set(part)) == 1:
+        yield secrets._char_cost(part[0]) + math.log10(len(part))
+    if 3 <= len(part) <= secrets.WALK and all(secrets._near(a, b) for a, b in zip(low, low[1:], strict=False)):
+        yield secrets._char_cost(low[0]) + math.log10(len(part)) + 1
+
+
+def least_cost(value, words):
+    """The least of all segmentations, each cut tried."""
+    ranks = list(dict.fromkeys(w for w in (*secrets.COMMON, *words) if len(w) > 2 and len(set(w)) > 1))
+    letters = {m.span() for m in re.finditer("[A-Z]+(?![a-z])|[A-Z]?[a-z]+", value)}
+    letters = {(i, j) for i, j in letters if j - i >= 3}
+    best = math.inf
+    for cuts in itertools.product((False, True), repeat=max(0, len(value) - 1)):
+        at = [0, *(i for i, c in enumerate(cuts, 1) if c), len(value)]
+        best = min(best, sum(min(segment_costs(value, i, j, ranks, letters)) for i, j in itertools.pairwise(at)) + secrets.CUT_COST * (len(at) - 2))
+    return best
+
+
+def test_guess_cost_is_the_least():
+    words = ["sun", "kin", "king", "ingot"]
+    dictionary = secrets.Dictionary(words)
+    r = random.Random(11)
+    parts = ["1999", "2019", "12", "05", "-", "sun", "King", "k1ng", "aaa", "11", "zq", "qwe", "rty", "abc", "321", "!", "ingot", "X"]
+    given = ["zq9", "dragonzq", "aaaa", "zq2019zq", "qwerty9x", "1920190512", "1112019", "aaaaqwert", "11119990101", "passw0rd", "2019-5-1", "1-5-2019", "xxxxxx"]
+    given += ["".join(r.choice(parts) for _ in range(4))[:10] for _ in range(60)] + ["".join(r.choice("a1290q") for _ in range(9)) for _ in range(60)]
+    for v in given:
+        assert secrets.guess_cost(v, dictionary) == pytest.approx(least_cost(v, words)), v
+    assert secrets.guess_cost("1920190512") <= 6.94
+    assert secrets.guess_cost("dragonzq") == pytest.approx(secrets._DEFAULT.cost["dragon"] + secrets.CUT_COST + 2 * math.log10(26))
+
+
+def test_prices_of_long_texts_grow_with_them():
+    import time
 
-def test_guess_cost_is_the_least(texts):
-    for v in ("zq9", "dragonzq", "aaaa", "zq2019zq", "qwerty9x"):
-        assert secrets.guess_cost(v) <= cut_cost(v) + 1e-9
-    assert secrets.guess_cost("zq9") == pytest.approx(cut_cost("zq9"))
-    assert secrets.guess_cost("dragonzq") == pytest.approx(secrets._RANK["dragon"] + secrets.CUT_COST + cut_cost("zq"))
+    r = random.Random(5)
+    text = " ".join("password=" + "".join(r.choice("abcdefghijklmnop0123XYZ") for _ in range(10)) for _ in range(20_000))
+    began = time.time()
+    assert sum(k == "assign" for k, *_ in secrets.find_secrets(text)) == 20_000 and time.time() - began < 60
 
 
 def test_random_letters_are_no_words():
