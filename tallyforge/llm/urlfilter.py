@@ -17,6 +17,8 @@ from .shared import free_name, settle, table
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Query parameters that only tell where a visitor came from.
 TRACKING = r"^(utm_[a-z]+|fbclid|gclid)(=|$)"
+#: A URL with a host, any scheme, a path with dot segments, and a comment.
+ABSOLUTE, SCHEME, DOTS, COMMENT = "^[A-Za-z][A-Za-z0-9+.-]*://", "^[A-Za-z][A-Za-z0-9+.-]*:", r"/\.\.?(/|$)", r"(?s)<!--.*?(?:-->|\z)"
 #: Rules up to which they are tried as one array; more are joined.
 FEW = 1000
 
@@ -83,58 +85,80 @@ def with_rules(urls: DataFrame, rules: list[Rule], *, url: str = "url", into: st
     return joined.select(*(F.col(f"`{c}`") for c in urls.columns), F.struct(host.alias("host"), path.alias("path"), F.col(f"{found}.rule").alias("rule"), F.col(f"{found}.verdict").alias("verdict")).alias(into))
 
 
-def page_links(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFrame:
-    """(src, dst): each page's canonical links and meta refreshes, made absolute. Pages without a URL have none."""
-    tags = F.concat(F.regexp_extract_all(html, F.lit(r"(?is)<link\b[^>]*>"), 0), F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*\brefresh\b[^>]*>"), 0))
-    tag = F.col("tag")
-    canonical = F.when(tag.rlike(r"(?is)\brel\s*=\s*[\"']?canonical\b"), F.regexp_extract(tag, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
-    refresh = F.when(tag.rlike(r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh\b"), F.regexp_extract(tag, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
-    found = pages.select(F.col(url).alias("src"), F.explode(tags).alias("tag")).select("src", F.replace(F.coalesce(canonical, refresh), F.lit("&amp;"), F.lit("&")).alias("to")).where("src is not null and to <> ''")
-    to, src = F.col("to"), F.col("src")
+def _without_dots(path: Column) -> Column:
+    """The path with its segments ``.`` and ``..`` carried out."""
+    up = lambda a, x: F.when(x == "..", F.regexp_replace(a, "/[^/]*$", "")).when(x == ".", a).otherwise(F.concat(a, F.lit("/"), x))
+    folded = F.aggregate(F.slice(F.split(path, "/"), 2, F.size(F.split(path, "/"))), F.lit(""), up)
+    return F.when(path.rlike(DOTS), F.concat(folded, F.when(path.rlike(r"/\.\.?$"), "/").otherwise(""))).otherwise(path)
+
+
+def resolved(to: Column, src: Column) -> Column:
+    """The URL that ``to`` is on a page at ``src``; null where it leads to no other page (mailto:, #part)."""
+    own = F.regexp_extract(to, "^[^?#]*", 0)
     scheme = F.regexp_extract(src, r"^([^:/?#]+):", 1)
-    base = F.concat(scheme, F.lit("://"), host_of(src))
-    folder = F.regexp_extract(path_of(src), r"^(.*/)", 1)
-    absolute = (
-        F.when(F.instr(to, "://") > 0, to).when(to.startswith("//"), F.concat(scheme, F.lit(":"), to)).when(to.startswith("/"), F.concat(base, to))
-        .otherwise(F.concat(base, F.when(folder == "", "/").otherwise(folder), to))
+    folder = F.coalesce(F.nullif(F.regexp_extract(path_of(src), r"^.*/", 0), F.lit("")), F.lit("/"))
+    path = F.when(own == "", path_of(src)).when(own.startswith("/"), own).otherwise(F.concat(folder, own))
+    return (
+        F.when(to.rlike(ABSOLUTE), to).when(to.rlike(SCHEME) | to.startswith("#"), None).when(to.startswith("//"), F.concat(scheme, F.lit(":"), to))
+        .otherwise(F.concat(scheme, F.lit("://"), host_of(src), _without_dots(path), F.substr(to, F.char_length(own) + 1)))
     )
-    return found.select("src", absolute.alias("dst"))
+
+
+def page_links(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFrame:
+    """(src, dst): each page's canonical links and meta refreshes, made absolute by its first base, or its own URL.
+
+    Comments hold no links. Pages without a URL, or without ``://`` in it, have none.
+    """
+    c = F.col
+    shown = pages.select(c(url).alias("src"), c(html).alias("html")).where(F.contains("src", F.lit("://")) & c("html").rlike(r"(?i)\bcanonical\b|\brefresh\b"))
+    shown = shown.select("src", F.regexp_replace("html", COMMENT, "").alias("html"))
+    tags = F.regexp_extract_all("html", F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), 0)
+    base = F.replace(F.regexp_extract("html", r"(?is)<base\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1), F.lit("&amp;"), F.lit("&"))
+    found = shown.select("src", F.when(base != "", resolved(base, c("src"))).alias("base"), F.explode(tags).alias("tag"))
+    canonical = F.when(c("tag").rlike(r"(?is)^<link.*\brel\s*=\s*[\"']?canonical\b"), F.regexp_extract("tag", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
+    refresh = F.when(c("tag").rlike(r"(?is)^<meta.*\bhttp-equiv\s*=\s*[\"']?refresh\b"), F.regexp_extract("tag", r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
+    found = found.select("src", "base", F.replace(F.coalesce(canonical, refresh), F.lit("&amp;"), F.lit("&")).alias("to")).where("to <> ''")
+    return found.select("src", resolved(c("to"), F.coalesce("base", "src")).alias("dst")).where("dst is not null")
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule], *, redirects: DataFrame | None = None, url: str = "url", html: str | None = "html", into: str = "judged", default: str = "allow") -> DataFrame:
-    """``pages`` with a struct ``into`` of host, path, rule and verdict.
+    """``pages`` with a struct ``into`` of host, path, rule and verdict; a column that is called so is replaced.
 
     A page's own rule decides. Without one, its aliases do: allow if a rule
     allows any of them, else block if one blocks any, else ``default``. Aliases
     are URLs of one spelling (see ``spelling``), and URLs that redirects (src,
     dst) or the pages' canonical and refresh links join, through any number of
-    steps; their targets count even where they aren't pages themselves.
+    steps; their targets count even where they aren't pages themselves. All of
+    it is edges of one graph, from a URL to its spelling and from spelling to
+    spelling, and the connected components carry the verdicts.
 
     A null URL or one without ``://`` has an empty host and path and no
     aliases. Repeated pages are judged each; other columns are kept.
     """
+    c = F.col
     links = page_links(pages, url=url, html=html) if html else None
     if redirects is not None:
         links = redirects.select("src", "dst") if links is None else links.unionByName(redirects.select("src", "dst"))
-    urls = pages.select(F.col(url).alias("url"))
-    node, ruled = free_name(pages, "node"), free_name(pages, "ruled")
+    urls = pages.select(c(url).alias("url"))
+    spelled = lambda x: F.concat(F.lit("="), spelling(c(x)))
+    edges = None
     if links is not None:
         links = settle(links, "links")
         urls = urls.union(links.select("src")).union(links.select("dst"))
-        joined = connected_components(links.select(spelling(F.col("src")).alias("src"), spelling(F.col("dst")).alias("dst")))
-    nodes = with_rules(urls.distinct(), rules).select(spelling(F.col("url")).alias("node"), "ruled.verdict").where("node is not null")
-    decided = nodes.groupBy("node").agg(F.bool_or(F.col("verdict") == "allow").alias("allow"), F.bool_or(F.col("verdict") == "block").alias("block"))
-    if links is not None:
-        decided = decided.join(joined, decided.node == joined.id, "left").withColumn("of", F.coalesce("component", "node"))
-        classes = settle(decided.groupBy("of").agg(F.bool_or("allow").alias("allow"), F.bool_or("block").alias("block")), "classes")
-        decided = decided.select("node", "of").join(classes, "of")
-    verdicts = decided.select(F.col("node").alias(node), F.when(F.col("allow"), "allow").when(F.col("block"), "block").alias("by_alias"))
-    verdicts = settle(verdicts.where("by_alias is not null"), "verdicts")
-    verdicts = verdicts.withColumnRenamed("by_alias", alias := free_name(pages, "by_alias"))
-    own = with_rules(pages, rules, url=url, into=ruled).withColumn(node, spelling(F.col(url)))
-    out = own.join(verdicts, node, "left")
-    struct = F.struct(F.col(f"{ruled}.host").alias("host"), F.col(f"{ruled}.path").alias("path"), F.col(f"{ruled}.rule").alias("rule"), F.coalesce(F.col(f"{ruled}.verdict"), F.col(alias), F.lit(default)).alias("verdict"))
-    return out.select(*(F.col(f"`{c}`") for c in pages.columns if c.lower() != into.lower()), struct.alias(into))
+        edges = links.select(spelled("src").alias("src"), spelled("dst").alias("dst"))
+    nodes = with_rules(urls.where(F.contains("url", F.lit("://"))).distinct(), rules)
+    nodes = settle(nodes.select(F.concat(F.lit("u"), "url").alias("node"), spelled("url").alias("spelled"), "ruled.verdict").where("spelled is not null"), "nodes")
+    own = nodes.select(c("node").alias("src"), c("spelled").alias("dst"))
+    joined = settle(connected_components(own if edges is None else own.unionByName(edges)), "components")
+    of = nodes.join(joined, c("node") == c("id"))
+    classes = of.where("verdict is not null").groupBy("component").agg(F.bool_or(c("verdict") == "allow").alias("allow"))
+    by_alias = of.where("verdict is null").join(settle(classes, "classes"), "component")
+    node, ruled, alias = free_name(pages, "node"), free_name(pages, "ruled"), free_name(pages, "by_alias")
+    verdicts = settle(by_alias.select(F.substr("node", F.lit(2)).alias(node), F.when(c("allow"), "allow").otherwise("block").alias(alias)), "verdicts")
+    out = with_rules(pages, rules, url=url, into=ruled)
+    out = out.join(verdicts, out[url] == c(node), "left")
+    struct = F.struct(c(f"{ruled}.host").alias("host"), c(f"{ruled}.path").alias("path"), c(f"{ruled}.rule").alias("rule"), F.coalesce(c(f"{ruled}.verdict"), c(alias), F.lit(default)).alias("verdict"))
+    return out.select(*(c(f"`{x}`") for x in pages.columns if x.lower() != into.lower()), struct.alias(into))
 
 
 OP5_RULES = [Rule("allow", "com", "/"), Rule("block", "example.com", "/en/"), Rule("allow", "www.example.com", "/en/"), Rule("block", "net", "/es/"), Rule("block", "net", "/fr/")]
@@ -146,12 +170,25 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict")
 
 
-OP5_SQL = r"""
+def _resolved_sql(to: str, src: str) -> str:
+    rest = f"substr({src}, instr({src}, '://') + 3)"
+    own, path, scheme = f"regexp_extract({to}, '^[^?#]*')", f"regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1)", f"regexp_extract({src}, '^([^:/?#]+):', 1)"
+    whole = f"CASE WHEN {own} = '' THEN {path} WHEN starts_with({own}, '/') THEN {own} ELSE coalesce(nullif(regexp_extract({path}, '^.*/'), ''), '/') || {own} END"
+    folded = "list_reduce(list_concat([''], string_split(w, '/')[2:]), lambda a, x: CASE x WHEN '..' THEN regexp_replace(a, '/[^/]*$', '') WHEN '.' THEN a ELSE a || '/' || x END)"
+    plain = f"(SELECT CASE WHEN regexp_matches(w, '{DOTS}') THEN {folded} || CASE WHEN regexp_matches(w, '/\\.\\.?$') THEN '/' ELSE '' END ELSE w END FROM (SELECT {whole} AS w))"
+    host = f"translate(regexp_extract({rest}, '^[^/?#]*'), '{UPPER}', '{LOWER}')"
+    return f"""CASE WHEN regexp_matches({to}, '{ABSOLUTE}') THEN {to} WHEN regexp_matches({to}, '{SCHEME}') OR starts_with({to}, '#') THEN NULL WHEN starts_with({to}, '//') THEN {scheme} || ':' || {to}
+  ELSE {scheme} || '://' || {host} || {plain} || substr({to}, length({own}) + 1) END"""
+
+
+OP5_SQL = rf"""
 WITH RECURSIVE rules(verdict, rh, rp) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
-tags AS (SELECT url AS src, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM pages WHERE url IS NOT NULL),
-raw AS (SELECT src, replace(CASE WHEN regexp_matches(tag, '(?is)^<link.*\brel\s*=\s*["'']?canonical\b') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
-  WHEN regexp_matches(tag, '(?is)^<meta.*\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) ELSE '' END, '&amp;', '&') AS dst FROM tags),
-links AS (SELECT src, dst FROM raw WHERE contains(dst, '://')),
+shown AS (SELECT url AS src, regexp_replace(html, '{COMMENT}', '', 'g') AS html FROM pages WHERE contains(url, '://')),
+based AS (SELECT src, html, replace(regexp_extract(html, '(?is)<base\b[^>]*?\bhref\s*=\s*["'']?([^"''\s>]+)', 1), '&amp;', '&') AS b FROM shown),
+tags AS (SELECT src, coalesce(CASE WHEN b <> '' THEN {_resolved_sql("b", "src")} END, src) AS base, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM based),
+raw AS (SELECT src, base, replace(CASE WHEN regexp_matches(tag, '(?is)^<link.*\brel\s*=\s*["'']?canonical\b') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+  WHEN regexp_matches(tag, '(?is)^<meta.*\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) ELSE '' END, '&amp;', '&') AS too FROM tags),
+links AS (SELECT src, dst FROM (SELECT src, {_resolved_sql("too", "base")} AS dst FROM raw WHERE too <> '') WHERE dst IS NOT NULL),
 urls AS (SELECT url FROM pages WHERE url IS NOT NULL UNION SELECT dst FROM links),
 parts AS (SELECT url, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM urls),
 split AS (SELECT url, rest, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,

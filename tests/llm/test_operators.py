@@ -314,6 +314,40 @@ def test_url_aliases(spark):
     more = {r.page_id: r.judged.verdict for r in urlfilter.judge_urls(table, rules, redirects=redirects).collect()}
     assert more[3] == "block" and more[7] == "allow"
     assert urlfilter.judge_urls(table.limit(0), rules).count() == 0
+    clashing = table.selectExpr("*", "url as node", "page_id as ruled", "html as by_alias", "1 as judged", "2 as component")
+    again = urlfilter.judge_urls(clashing, rules)
+    assert again.columns == ["page_id", "url", "html", "node", "ruled", "by_alias", "component", "judged"]
+    assert {r.page_id: (r.judged.rule, r.judged.verdict) for r in again.collect()} == got and all(r.node == r.url and r.ruled == r.page_id for r in again.collect())
+
+
+def links_pages():
+    """Chains, relative links, bases, comments, and what is no link."""
+    link = '<html><link href="{}" rel=canonical></html>'.format
+    refresh = "<META http-equiv=refresh content='5; URL={}'>".format
+    pages = [(f"http://chain.org/{i}", link(f"{i + 1}?utm_source=x")) for i in range(40)] + [("https://chain.org/40/", link("http://z.net/fr/x"))]
+    pages += [
+        ("http://d.org/a/b/c.html", link("../../x/./y")), ("http://d.org/x/y", link("http://n.net/es/1")), ("http://d.org/a/b/d.html", link("..")), ("http://d.org/a/", refresh("?q=1")), ("http://d.org/a?q=1", refresh("//n.net/es/2")),
+        ("http://e.org/1", "<!-- " + link("http://n.net/es/3") + " -->"), ("http://e.org/2", "<base target=x href='/deep/er/'>" + link("page")), ("http://e.org/deep/er/page", link("http://n.net/fr/3")), ("http://e.org/3", link("javascript:void(0)") + refresh("#top")),
+        ("http://e.org/4", link("mailto:a@n.net")), ("http://e.org/5", link("/login?next=http://n.net/es/4")), ("http://e.org/login?next=http://n.net/es/4", None), ("http://f.org", link("sub/page")), ("http://f.org/sub/page", link("http://allowed.com/")),
+        ("http://f.org/other", link("/sub/page/") + refresh("http://n.net/es/5")), ("https://e.org/2/#x", ""), ("no host", link("http://n.net/es/1")), (None, link("http://n.net/es/1")), ("http://n.net/es/1", None), ("=e.org/1://", ""), ("http://e.org/6", "<!-- open " + link("http://n.net/es/3")),
+    ]
+    return [(i, u, h) for i, (u, h) in enumerate(pages)]
+
+
+def test_url_query_equals_its_sql(spark, tmp_path):
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    ids, urls, html = zip(*links_pages(), strict=True)
+    pq.write_table(pa.table({"page_id": ids, "url": urls, "html": html}), tmp_path / "pages.parquet")
+    got = sorted(map(tuple, urlfilter.op5_url_filter(spark, str(tmp_path)).collect()))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet'")
+    assert got == sorted(db.execute(urlfilter.OP5_SQL).fetchall())
+    by = {u: v for (_, u, _), (*_, v) in zip(links_pages(), got, strict=True)}
+    blocked = {u for u, v in by.items() if v == "block"}
+    assert blocked == {f"http://chain.org/{i}" for i in range(40)} | {"https://chain.org/40/", "http://d.org/a/b/c.html", "http://d.org/x/y", "http://d.org/a/b/d.html", "http://d.org/a/", "http://d.org/a?q=1", "http://e.org/2", "https://e.org/2/#x", "http://e.org/deep/er/page", "http://n.net/es/1"}
 
 
 @pytest.mark.parametrize("seed", range(3))
