@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bytebpe import op10_byte_bpe
 from .decontaminate import OP1_SQL, op1_decontaminate
 from .exactdedup import OP6_SQL, op6_exact_dedup
-from .licenses import OP2_SQL, op2_license_passages, op2_license_scan
+from .licenses import LINES_SQL, OP2_SQL, license_lines, op2_license_scan
 from .neardup import OP9_SQL, op9_near_duplicates
 from .quality import op7_quality
 from .secrets import op3_secret_scan
@@ -19,8 +19,8 @@ from .warc import OP8_SQL, op8_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_license_scan, op2_license_passages, op3_secret_scan, op4_token_counts, op5_url_filter, op6_exact_dedup, op7_quality, op8_warc, op9_near_duplicates, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_license_scan, license_lines, op3_secret_scan, op4_token_counts, op5_url_filter, op6_exact_dedup, op7_quality, op8_warc, op9_near_duplicates, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op2_license_scan": OP2_SQL, "op5_url_filter": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op8_warc": OP8_SQL, "op9_near_duplicates": OP9_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op2_license_scan": OP2_SQL, "license_lines": LINES_SQL, "op5_url_filter": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op8_warc": OP8_SQL, "op9_near_duplicates": OP9_SQL}
