@@ -46,8 +46,8 @@ first well way even new want because any these give day most name key code data
 world life home love summer winter spring autumn red green blue black white little big good happy money family friend
 city country school night morning music game star sun moon king queen dog cat horse tiger lion apple orange coffee
 correct battery staple number test account office company email phone""".split()
-#: Words of a dictionary that is learnt from documents: at most so many, each in so many of them at least.
-WORDS, SEEN = 20_000, 3
+#: Words of a dictionary that is learnt from documents: at most so many, each in so many of them and such a share of them at least.
+WORDS, SEEN, SHARE = 20_000, 3, 1e-4
 #: What a run of letters in one case costs that is plausible as a word but in no list: one of 100,000, or of two such when longer.
 WORD_COST, WORD_LETTERS = 5.0, 14
 #: What a letter costs after another (a row for each of a-z), in steps of -0.3 of the log10 of its share: counted
@@ -210,14 +210,17 @@ def find_secrets(text: str, threshold: float = THRESHOLD, dictionary: Dictionary
 _LONE = re.compile(r"(?<!\w)[^\W\d_]{3,24}(?!\w)")
 
 
-def ranked_words(docs: DataFrame, *, text: str = "text", most: int = WORDS, least: int = SEEN) -> list[str]:
+def ranked_words(docs: DataFrame, *, text: str = "text", most: int = WORDS, least: int = SEEN, share: float = SHARE) -> list[str]:
     """The words that most documents hold, commonest first: a dictionary for guess costs.
 
     Words are lone runs of 3 to 24 letters, in lower case; values in a
     credential context teach nothing. All documents are counted, each once a
-    word. ``most`` bounds what the driver gets; ties are by name. Null texts
-    have no words, and an empty table gives no list.
+    word. Ties are by name. Null texts have no words, and an empty table gives
+    no list. ``share`` bounds what is sent to the driver, however many tasks
+    send: no more words can be in such a share of the documents than the mean
+    document has distinct words over ``share``; ``most`` bounds the list.
     """
+    least = max(least, math.ceil(share * docs.count()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()

@@ -172,9 +172,10 @@ def test_secret_query(spark):
         low = (r.text or "").lower()
         for w in set(re.findall(r"(?<!\w)[^\W\d_]{3,24}(?!\w)", secrets._CONTEXT.sub(" ", low))):
             counts[w] = counts.get(w, 0) + 1
-    words = sorted((w for w, n in counts.items() if n >= secrets.SEEN), key=lambda w: (-counts[w], w))[: secrets.WORDS]
+    words = sorted((w for w, n in counts.items() if n >= max(secrets.SEEN, secrets.SHARE * len(table))), key=lambda w: (-counts[w], w))[: secrets.WORDS]
     assert secrets.ranked_words(spark.read.parquet(f"{sf}/documents.parquet")) == words
     assert secrets.ranked_words(spark.createDataFrame([(None,), ("",)], "text string"), least=1) == []
+    assert secrets.ranked_words(spark.createDataFrame([("one two",), ("two",), ("two",)], "text string"), least=1, share=0.5) == ["two"]
     told = {r.doc_id: r for r in secrets.op3_secret_scan(spark, sf).collect()}
     assert len(told) == len(table)
     for r in table:
