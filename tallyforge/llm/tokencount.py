@@ -1,6 +1,6 @@
 """Token counts with a digest cache: only texts never counted before are encoded.
 
-The cache is a Parquet table (digest, version, n_tokens). The digest is the
+The cache is a Parquet table (digest, n_tokens) by version. The digest is the
 SHA-256 of the normalised content, the version that of the tokenizer's file.
 """
 
@@ -116,9 +116,10 @@ def encode_counts(df: DataFrame, path: str, by_word: bool, *, text: str, into: s
     return df.withColumn(into, count.asNondeterministic()(F.col(text)))
 
 
-def _stored(spark: SparkSession, cache: str) -> DataFrame | None:
+def _stored(spark: SparkSession, cache: str, version: str) -> DataFrame | None:
+    """One row per digest, however often it was stored."""
     try:
-        return spark.read.schema(CACHE_SCHEMA).parquet(cache)
+        return spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             return None
@@ -129,7 +130,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, *, drops_space: bo
     """``docs`` with a column ``into``: its tokens as the library counts them.
 
     tokenizer: a file of tokenizers (.json) or sentencepiece (.model).
-    cache: the folder of the stored counts; it need not exist. One writer at a time.
+    cache: the folder of the stored counts; it need not exist. A count stored
+    twice, by two writers or a job run again, is read once.
     drops_space: the tokenizer drops white space, so texts that differ only in
     its kind or at their ends share a digest, and words are encoded once each.
 
@@ -141,12 +143,15 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, *, drops_space: bo
     version = hashlib.sha256(Path(tokenizer).read_bytes()).hexdigest()
     content = normalised(F.col(text)) if drops_space else F.coalesce(F.col(text), F.lit(""))
     misses = docs.select(content.alias("content")).withColumn("digest", F.sha2("content", 256)).groupBy("digest").agg(F.first("content").alias("content"))
-    if (stored := _stored(spark, cache)) is not None:
-        misses = misses.join(stored.where(F.col("version") == version), "digest", "left_anti")
+    if (stored := _stored(spark, cache, version)) is not None:
+        misses = misses.join(stored, "digest", "left_anti")
     counted = encode_counts(misses, tokenizer, drops_space, text="content", into="n_tokens")
-    counted.select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache)
+    counted.select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").partitionBy("version").parquet(cache)
     digest, found = free_name(docs, "digest"), free_name(docs, "n_found")
-    counts = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("version") == version).select(F.col("digest").alias(digest), F.col("n_tokens").alias(found))
+    stored = _stored(spark, cache, version)
+    if stored is None:  # an empty table, and no cache so far
+        stored = spark.createDataFrame([], "digest string, n_tokens bigint")
+    counts = stored.select(F.col("digest").alias(digest), F.col("n_tokens").alias(found))
     joined = docs.withColumn(digest, F.sha2(content, 256)).join(counts, digest, "left")
     return joined.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() != into.lower()), F.col(found).alias(into))
 
