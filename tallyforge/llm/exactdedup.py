@@ -30,7 +30,7 @@ def _combined(docs: DataFrame, row: Column, id_: str, text: str, salts: int, wit
     The first two stages group by the original text, which then needs no copy
     beside its key; the last one by the content.
     """
-    best = F.struct((-F.char_length(F.coalesce(F.col(text), F.lit("")))).alias("less"), F.col(id_).isNull().alias("none"), F.col(id_).alias("id"))
+    best = F.struct((-F.char_length(F.coalesce(F.col(text), F.lit("")))).alias("less"), F.col(id_).isNull().alias("none"), F.col(id_).alias("id"), F.xxhash64(F.col(text)).alias("of_text"))
     # Spark combines a task's rows before it shuffles them: the local stage.
     salted = (
         docs.select(F.col(text).alias("text"), best.alias("best"), row.alias("of"), (F.spark_partition_id() % salts).alias("salt"))
@@ -50,7 +50,8 @@ def exact_dedup(docs: DataFrame, *, id_: str = "doc_id", text: str = "text", sal
     Texts are equal when they are identical without white space; null counts as
     empty. Of equal texts the row with the most code points in the original
     text stays, then that with the smallest id (a null id comes last); of rows
-    that tie in both, any one. Columns may have any names.
+    that tie in both, that with the smallest hash of its text, and of repeated
+    rows any one. Columns may have any names.
     """
     others = [c for c in docs.columns if c.lower() != text.lower()]
     kept = _combined(docs, F.struct(*(F.col(f"`{c}`") for c in others)), id_, text, salts, True)
@@ -61,18 +62,19 @@ def duplicate_report(docs: DataFrame, *, id_: str = "doc_id", text: str = "text"
     """``docs`` with keep_id, group_size, kept and text_sha256.
 
     The rule is that of ``exact_dedup``. Rows that repeat both id and text of
-    the one that stays are that document: all are marked as kept. Groups find
-    their rows again by the digest; Spark splits a hot one while it joins.
+    the one that stays are that document: all are marked as kept; its other
+    texts aren't. Groups find their rows again by the digest; Spark splits a hot
+    one while it joins.
     """
     names = ["keep_id", "group_size", "kept", "text_sha256"]
     digest = free_name(docs, "digest")
-    groups = _combined(docs.select(id_, text), F.lit(None).cast("int"), id_, text, salts, False).select(F.col("digest").alias(digest), F.struct(F.col("best.id").alias("keep_id"), "n").alias("group_"))
+    groups = _combined(docs.select(id_, text), F.lit(None).cast("int"), id_, text, salts, False).select(F.col("digest").alias(digest), F.struct(F.col("best.id").alias("keep_id"), "best.of_text", "n").alias("group_"))
     joined = docs.withColumn(digest, F.sha2(squeezed(F.col(text)), 256)).join(groups, digest)
     return joined.select(
         *(F.col(f"`{c}`") for c in docs.columns if c.lower() not in names),
         F.col("group_.keep_id").alias("keep_id"),
         F.col("group_.n").alias("group_size"),
-        F.col(id_).eqNullSafe(F.col("group_.keep_id")).alias("kept"),
+        (F.col(id_).eqNullSafe(F.col("group_.keep_id")) & (F.xxhash64(F.col(text)) == F.col("group_.of_text"))).alias("kept"),
         F.col(digest).alias("text_sha256"),
     )
 
