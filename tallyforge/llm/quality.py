@@ -159,7 +159,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_: str = "doc_id", text: str
 
     The bound is what lets the sampled ids be broadcast and their statistics be
     collected. Rows with a null id or label teach nothing; of repeated labels
-    the smallest counts; a label without a document is left out.
+    the smallest counts, and of rows that repeat an id the smallest statistics;
+    a label without a document is left out.
     """
     usable = labels.where(F.col(id_).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(id_))).groupBy(F.col(id_).alias("id")).agg(F.min(label).cast("double").alias("y"))
     chosen = usable.orderBy(F.xxhash64("id"), "id").limit(sample)
@@ -169,13 +170,13 @@ def train(docs: DataFrame, labels: DataFrame, *, id_: str = "doc_id", text: str
         for texts in batches:
             yield pa.array(list(document_statistics(texts)), pa.list_(pa.float64()))
 
-    rows = docs.select(F.col(id_).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id").select("id", "y", statistics("text").alias("x")).toPandas()
-    rows = rows.sort_values(["id", "y"], kind="stable").drop_duplicates("id")
+    rows = docs.select(F.col(id_).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id").select("id", "y", statistics("text").alias("x"))
+    rows = rows.groupBy("id").agg(F.first("y").alias("y"), F.min("x").alias("x")).toPandas().sort_values("id")
     return fit(np.array(rows["x"].tolist()).reshape(-1, len(STATISTICS)), rows["y"].to_numpy())
 
 
 def score_quality(docs: DataFrame, trees: Trees, *, text: str = "text", into: str = "score") -> DataFrame:
-    """``docs`` with the probability of label 1 from the text alone; null counts as empty."""
+    """``docs`` with the probability of label 1 from the text alone; null counts as empty. A column called like ``into`` is replaced."""
 
     @F.arrow_udf(T.DoubleType())
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
