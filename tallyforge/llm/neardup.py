@@ -33,7 +33,8 @@ HASHES = 128
 BLOCK, BLOCK_BYTES = 128, 16 << 20
 
 SKETCH = T.StructType([T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
-FOUND = T.StructType([T.StructField(c, T.LongType()) for c in ("id", "links", "linked", "root")])
+FOUND = T.StructType([T.StructField("cls", T.BinaryType()), T.StructField("links", T.LongType()), T.StructField("linked", T.LongType()), T.StructField("root", T.BinaryType())])
+SET = T.StructType([T.StructField("cls", T.BinaryType()), T.StructField("grams", T.BinaryType())])
 
 
 def choose_bands(threshold: float, recall: float = RECALL, most: int = HASHES) -> tuple[int, int]:
@@ -85,22 +86,28 @@ def sketch_texts(docs: DataFrame, bands: int, rows: int, *, n: int = WORDS, text
                 band = mix(band + np.arange(bands, dtype=U64) * a[0]).view(np.int64)
                 for row, of in zip(full.tolist(), band, strict=True):
                     hashed[lo + row] = of
-                    digests[lo + row] = hashlib.blake2b(grams[bounds[row] : bounds[row + 1]], digest_size=16).digest()
+                    digests[lo + row] = _digest(grams[bounds[row] : bounds[row + 1]])
             yield pa.StructArray.from_arrays([pa.array(sizes), pa.array(digests, pa.binary()), pa.array(hashed, pa.list_(pa.int64()))], names=SKETCH.names)
 
     return docs.withColumn(into, sketch.asNondeterministic()(F.col(text)))
 
 
+def _digest(grams: np.ndarray) -> bytes:
+    return hashlib.blake2b(grams, digest_size=16).digest()
+
+
 def _gram_sets(texts: DataFrame, n: int) -> DataFrame:
-    @F.arrow_udf(T.BinaryType())
-    def grams(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """(cls, grams): the n-gram sets of ``texts`` and their digests."""
+
+    @F.arrow_udf(SET)
+    def sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             out = []
             for lo, hi, found, bounds in _sets(texts, n):
-                out += [found[bounds[i] : bounds[i + 1]].tobytes() for i in range(hi - lo)]
-            yield pa.array(out, pa.binary())
+                out += [found[bounds[i] : bounds[i + 1]] for i in range(hi - lo)]
+            yield pa.StructArray.from_arrays([pa.array(map(_digest, out), pa.binary()), pa.array((x.tobytes() for x in out), pa.binary())], names=SET.names)
 
-    return texts.withColumn("grams", grams.asNondeterministic()(F.col("text")))
+    return texts.select(sets.asNondeterministic()(F.col("text")).alias("s")).select("s.*").where(F.octet_length("grams") > 0)
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -131,10 +138,12 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _linked(rows: list[dict], threshold: Fraction) -> list[tuple[int, int, int, int]]:
-    """(id, links, linked documents, smallest id linked to it here) of the members with a link."""
-    rows = list({(r["id"], r["blk"], r["grams"]): r for r in rows}.values())
-    ids = np.array([r["id"] for r in rows])
+def _linked(rows: list[dict], threshold: Fraction) -> list[tuple[bytes, int, int, bytes]]:
+    """(class, links, linked documents, smallest class linked to it here) of the members with a link."""
+    rows = list({(r["cls"], r["blk"]): r for r in rows}.values())
+    keys = sorted({r["cls"] for r in rows})
+    code = {k: i for i, k in enumerate(keys)}
+    ids = np.array([code[r["cls"]] for r in rows])
     sets = [np.frombuffer(r["grams"], U64) for r in rows]
     if len(rows) < 2:
         return []
@@ -157,7 +166,7 @@ def _linked(rows: list[dict], threshold: Fraction) -> list[tuple[int, int, int,
         root = least
     size = np.array([r["size"] for r in rows])
     links = link.sum(axis=1)
-    return [(int(ids[i]), int(links[i]), int(size[link[i]].sum()), int(root[i])) for i in np.flatnonzero(links)]
+    return [(keys[ids[i]], int(links[i]), int(size[link[i]].sum()), keys[root[i]]) for i in np.flatnonzero(links)]
 
 
 def _verified(members: DataFrame, threshold: Fraction) -> DataFrame:
@@ -165,10 +174,10 @@ def _verified(members: DataFrame, threshold: Fraction) -> DataFrame:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
-        found: list[tuple[int, int, int, int]] = []
+        found: list[tuple[bytes, int, int, bytes]] = []
 
         def flush():
-            out = pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(4)], names=FOUND.names)
+            out = pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64() if i in (1, 2) else pa.binary()) for i in range(4)], names=FOUND.names)
             found.clear()
             return out
 
@@ -194,13 +203,14 @@ def near_classes(docs: DataFrame, *, id_: str = "doc_id", text: str = "text", n:
     Links join texts whose sets of word n-grams have a Jaccard similarity of at
     least ``threshold``; a text of fewer than n words, but not none, has one
     gram of all of them. class_id is the smallest id that links lead to,
-    copy_of the smallest id with the very same set, n_links the number of other
-    rows linked to it. N-grams are compared as 64-bit hashes.
+    copy_of the smallest id with the very same set, n_links the number of others
+    linked to it. N-grams are compared as 64-bit hashes.
 
     Null texts and texts without words have no links: their class is their own
     id. Rows with a null id have no links either and a null class. Ids are
-    integers; rows that share an id are one document: they aren't linked to
-    each other, and what links to one links to it. Repeated rows count in n_links.
+    integers. Rows that repeat an id and its n-grams are one; rows of one id with
+    other n-grams are in one class, whether they are linked or not, and n_links
+    is that of the row's own text: the other pairs (id, set) linked to it.
 
     Candidate classes are the connected components over shared bands. One is
     verified whole, in blocks of about ``block`` classes, each block against
@@ -214,46 +224,53 @@ def near_classes(docs: DataFrame, *, id_: str = "doc_id", text: str = "text", n:
     bands, rows = choose_bands(float(threshold), recall)
     sketched = sketch_texts(docs.select(F.col(id_).cast("long").alias("id"), F.col(text).alias("text")), bands, rows, n=n)
     sketched = settle(sketched.select("id", "sketch.*"), "sketch")
-    usable = sketched.where("id is not null and n > 0")
-    classes = settle(usable.groupBy("digest", "n").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.first("bands").alias("bands")), "classes")
-    banded = classes.select("rep", F.explode("bands").alias("hash"))
-    buckets = settle(banded.groupBy("hash").agg(F.count("*").alias("held"), F.min("rep").alias("head")).where("held > 1"), "buckets")
-    near = connected_components(banded.join(buckets, "hash").select(F.col("rep").alias("src"), F.col("head").alias("dst")))
-
-    of = near.join(classes.select(F.col("rep").alias("id"), "n", "size", "bands"), "id")
+    usable = sketched.where("id is not null and n > 0").select("id", F.col("digest").alias("cls"), "n", "bands")
+    usable = usable.groupBy("cls", "n", "id").agg(F.first("bands").alias("bands"))
+    classes = settle(usable.groupBy("cls", "n").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.first("bands").alias("bands")), "classes")
+    banded = classes.select("cls", F.explode("bands").alias("hash"))
+    buckets = settle(banded.groupBy("hash").agg(F.count("*").alias("held"), F.min("cls").alias("head")).where("held > 1"), "buckets")
+    near = connected_components(banded.join(buckets, "hash").select(F.col("cls").alias("src"), F.col("head").alias("dst"))).select(F.col("id").alias("cls"), "component")
+
+    of = near.join(classes, "cls")
     of = settle(of, "candidates")
     comps = of.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("grams"))
     comps = comps.withColumn("blocks", F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("grams") * 8 / BLOCK_BYTES)).cast("long"))
     large = comps.where("blocks > 1")
-    by_bucket = buckets.join(near, F.col("head") == F.col("id")).groupBy("component").agg(F.sum(F.col("held") * F.ceil(F.col("held") / block)).alias("rows"))
+    by_bucket = buckets.join(near, F.col("head") == F.col("cls")).groupBy("component").agg(F.sum(F.col("held") * F.ceil(F.col("held") / block)).alias("rows"))
     large = large.join(by_bucket, "component", "left").select("component", "blocks", (F.col("rows") < F.col("m") * F.col("blocks")).alias("bucketwise"))
     plan = settle(large, "large")
     routed = of.join(plan, "component", "left")
+    # A group is a component, or a bucket with the component that it lies in.
     whole = routed.where("not coalesce(bucketwise, false)").select(
-        "id", "size", F.lit(None).cast("int").alias("band"), F.lit(None).cast("array<bigint>").alias("bands"), F.col("component").alias("grp"), F.coalesce("blocks", F.lit(1)).alias("blocks")
+        "cls", "size", F.lit(None).cast("int").alias("band"), F.lit(None).cast("array<bigint>").alias("bands"), F.col("component").alias("grp"), F.coalesce("blocks", F.lit(1)).alias("blocks")
     )
     members = whole
     if not plan.where("bucketwise").isEmpty():
-        hot = routed.where("bucketwise").select("id", "size", "bands", F.posexplode("bands").alias("band", "hash"))
-        hot = hot.join(buckets.select("hash", F.ceil(F.col("held") / block).cast("long").alias("blocks")), "hash")
-        members = whole.unionByName(hot.select("id", "size", "band", "bands", F.col("hash").alias("grp"), "blocks"))
-    members = members.withColumn("blk", F.pmod(F.xxhash64("id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    members = members.select("id", "size", "band", "bands", "grp", "blk", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"))
-    texts = docs.select(F.col(id_).cast("long").alias("id"), F.col(text).alias("text")).join(near.select("id"), "id")
-    sets = settle(_gram_sets(texts, n).where(F.length("grams") > 0).select("id", "grams"), "sets")
-    found = settle(_verified(members.join(sets, "id"), threshold), "found")
-
-    joined = connected_components(found.select(F.col("id").alias("src"), F.col("root").alias("dst"))).select(F.col("id").alias("rep"), "component")
-    links = found.groupBy(F.col("id").alias("rep")).agg(F.sum("linked").alias("linked"))
-    result = classes.join(joined, "rep", "left").join(links, "rep", "left")
-    result = settle(result.select("digest", "n", "rep", F.coalesce("component", "rep").alias("component"), (F.coalesce("linked", F.lit(0)) + F.col("size") - 1).alias("linked")), "result")
-    out = sketched.select("id", "digest", "n").join(result, ["digest", "n"], "left")
+        hot = routed.where("bucketwise").select("cls", "size", "bands", F.posexplode("bands").alias("band", "hash"))
+        hot = hot.join(buckets.select("hash", F.ceil(F.col("held") / block).cast("long").alias("blocks"), F.col("head").alias("grp")), "hash")
+        members = whole.unionByName(hot.select("cls", "size", "band", "bands", F.concat("grp", F.col("hash").cast("string").cast("binary")).alias("grp"), "blocks"))
+    members = members.withColumn("blk", F.pmod(F.xxhash64("cls"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    members = members.select("cls", "size", "band", "bands", "grp", "blk", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"))
+    texts = docs.select(F.col(id_).cast("long").alias("id"), F.col(text).alias("text")).join(of.select(F.col("rep").alias("id")).distinct(), "id")
+    sets = settle(_gram_sets(texts, n), "sets")
+    found = settle(_verified(members.join(sets, "cls"), threshold), "found")
+
+    # An id with several sets joins their classes.
+    several = usable.groupBy("id").agg(F.min("cls").alias("one"), F.max("cls").alias("other")).where("one <> other").select("id", "one")
+    of_id = usable.select("id", "cls").join(several, "id").select(F.col("cls").alias("src"), F.col("one").alias("dst"))
+    joined = settle(connected_components(found.select(F.col("cls").alias("src"), F.col("root").alias("dst")).unionByName(of_id)).select(F.col("id").alias("cls"), "component"), "joined")
+    least = joined.join(classes.select("cls", "rep"), "cls").groupBy("component").agg(F.min("rep").alias("class_id"))
+    joined = joined.join(settle(least, "least"), "component").select("cls", "class_id")
+    links = found.groupBy("cls").agg(F.sum("linked").alias("linked"))
+    result = classes.join(joined, "cls", "left").join(links, "cls", "left")
+    result = settle(result.select(F.col("cls").alias("digest"), "rep", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("linked", F.lit(0)) + F.col("size") - 1).alias("linked")), "result")
+    out = sketched.select("id", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(result, "digest", "left")
     has = F.col("id").isNotNull()
-    return out.select("id", F.when(has, F.coalesce("component", "id")).alias("class_id"), F.when(has, F.coalesce("rep", "id")).alias("copy_of"), F.when(has, F.coalesce("linked", F.lit(0))).otherwise(0).alias("n_links"))
+    return out.select("id", F.when(has, F.coalesce("class_id", "id")).alias("class_id"), F.when(has, F.coalesce("rep", "id")).alias("copy_of"), F.when(has, F.coalesce("linked", F.lit(0))).otherwise(0).alias("n_links"))
 
 
 def near_dedup(docs: DataFrame, *, id_: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` without all but the document of the smallest id of each class; rows with a null id stay."""
+    """``docs`` without all but the document of the smallest id of each class, with all its rows; rows with a null id stay."""
     gone = near_classes(docs, id_=id_, text=text, **options).where("class_id <> id").select(F.col("id").alias(id_)).distinct()
     return docs.join(settle(gone, "gone"), id_, "left_anti")
 
