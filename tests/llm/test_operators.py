@@ -265,9 +265,11 @@ def test_token_counts(spark, docs):
     both = docs.unionByName(extra)
     got = tokencount.count_tokens(both, path, cache, drops_space=True).collect()
     assert len(got) == both.count() and all(r.n_tokens == len(model.encode(r.text or "", add_special_tokens=False).ids) for r in got)
-    stored = spark.read.parquet(cache)
+    stored = spark.createDataFrame(spark.read.parquet(cache).collect())
     n = stored.count()
     assert n == stored.select("digest").distinct().count()
+    stored.write.mode("append").partitionBy("version").parquet(cache)  # a job that was run again: every count twice
+    n *= 2
     more = both.unionByName(spark.createDataFrame(rows(["brand new text"], 200), DOCS))
     again = tokencount.count_tokens(more, path, cache, drops_space=True, into="digest")
     assert again.count() == both.count() + 1 and spark.read.parquet(cache).count() == n + 1
@@ -386,8 +388,12 @@ def test_exact_dedup(spark, docs):
     assert len(got) == len(table)
     for r in got:
         k = squeeze(r.text)
+        assert r.kept == ((r.doc_id, r.text) == (best[k].doc_id, best[k].text))
         assert (r.keep_id, r.group_size, r.kept, r.text_sha256) == (best[k].doc_id, len(groups[k]), r.doc_id == best[k].doc_id, hashlib.sha256(k.encode()).hexdigest())
         assert r.digest == ("d" if r.doc_id is not None else None)
+    same_id = spark.createDataFrame([(1, "a b"), (1, "ab"), (2, "ab"), (1, "a b"), (3, "c d"), (3, "c\td")], "doc_id long, text string")
+    marks = sorted((r.doc_id, r.text, r.kept) for r in exactdedup.duplicate_report(same_id).collect())
+    assert [m for *_, m in marks if m] == [True] * 3 and [(d, t) for d, t, m in marks if m][:2] == [(1, "a b")] * 2 and exactdedup.exact_dedup(same_id).count() == 2
     kept = exactdedup.exact_dedup(docs).collect()
     assert sorted(((r.doc_id is None, r.doc_id or 0, r.text) for r in kept), key=str) == sorted(((r.doc_id is None, r.doc_id or 0, r.text) for r in best.values()), key=str)
     assert exactdedup.exact_dedup(docs).columns == docs.columns and exactdedup.exact_dedup(docs.limit(0)).count() == 0
@@ -563,6 +569,31 @@ def test_near_duplicates(spark, block):
     assert neardup.near_dedup(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_with_repeated_ids(spark):
+    """Rows that repeat id and text are one; other texts of an id join its class, and count for themselves."""
+    r = random.Random(6)
+    table = [(1, "t " + prose(1, 40)), (1, "t " + prose(1, 40)), (2, "T " + prose(1, 40) + " near"), (3, None), (3, prose(2, 40)), (5, prose(2, 40)), (5, prose(3, 40)), (6, prose(3, 40) + " z"), (7, prose(4, 40)), (None, prose(4, 40))]
+    base = prose(9, 60).split()
+    for _ in range(36):
+        w = list(base)
+        for _ in range(r.randint(0, 5)):
+            w[r.randrange(len(w))] = r.choice(["new", "word"])
+        table.append((10 + r.randrange(12), " ".join(w)))
+    sets = [(d, frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))) for d, t in table if d is not None and (w := words(t))]
+    entries = sorted(set(sets), key=lambda e: e[0])
+    classes = near_brute(table)
+    for block in (512, 3):
+        got = neardup.near_classes(spark.createDataFrame(table, "doc_id long, text string"), block=block).collect()
+        assert len(got) == len(table)
+        for x in got:
+            if x.id is not None:
+                assert x.class_id == classes.get(x.id, (x.id,))[0]
+        links = sorted((x.id, x.n_links) for x in got if x.id is not None)
+        near = lambda d, s: sum(o != s and len(s & o) >= 0.8 * len(s | o) or o == s and e != d for e, o in entries)
+        assert links == sorted([(d, near(d, s)) for d, s in sets] + [(3, 0)])
+    assert dict(links)[1] == 1 and dict(links)[6] == 1
+
+
 def test_bands_reach_the_recall():
     for threshold in (0.5, 0.8, 0.95, 1.0):
         bands, rows_ = neardup.choose_bands(threshold, 0.999, 512)
