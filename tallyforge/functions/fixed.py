@@ -106,6 +106,21 @@ RETRY_STATUS = [408, 425, 429]
 STOP_REASONS = ["deadline", "max_pages", "fetch_error_streak", "no_new_pages_streak", "max_products", "queue_exhausted"]
 INCOMPLETE_REASONS = ["deadline", "max_pages", "fetch_error_streak", "no_new_pages_streak"]
 
+#: Marks of an edge server's challenge: all words of a line must be on the page.
+CHALLENGE_STATUS = [520, 521, 522, 523, 525, 526]
+CHALLENGE_PATH = "/cdn-cgi/"
+CHALLENGE_PATH_MARKS = ["challenge-platform", "cf-chl", "__cf_chl", "jschl", "turnstile", "cf-turnstile"]
+CHALLENGE_PHRASES = [("just a moment", "cloudflare"), ("just a moment", "checking your browser"), ("attention required", "cloudflare")]
+CHALLENGE_REFUSALS = [403, 429, 503]
+CHALLENGE_HEADERS = ["cf-ray", "cf-cache-status"]
+#: What candidate pages are worth: parts of the address in lower case (any of a line), and ends.
+CANDIDATE_PARTS = [(["/products/cart/"], -1), (["rp=/store", "/store/"], 2), (["?/cart/", "/cart/"], 2), (["/products/"], 2), (["cart.php?gid="], 2), (["/pages/pricing"], 1)]
+CANDIDATE_ENDS = [("/cart.php", 1), ("/pricing", 1)]
+#: Sold-out elements of a detail page: whole classes, and parts of the class attribute; marks of an order form.
+SOLD_CLASSES = ["outofstock", "out-of-stock", "soldout"]
+SOLD_CLASS_PARTS = ["outofstock", "soldout", "unavailable"]
+ORDER_FORM_MARKS = ["billingcycle", "configoption[", "custom["]
+
 # --- pages that miss a product -----------------------------------------
 MISS_PID = ["product does not exist", "not found", "invalid product", "no product selected"]
 MISS_GID = ["not found", "invalid", "no product groups found", "no products found", "no products"]

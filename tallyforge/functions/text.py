@@ -139,17 +139,23 @@ def dotted_code(name: Column, url: Column, description: Column) -> Column:
     return F.coalesce(F.get(same, F.lit(0)), F.get(found, F.lit(0)))
 
 
-def natural_key(c: Column, width: int = 12) -> Column:
-    """A sort key by which digit runs order as numbers and letters without case."""
+def natural_key(c: Column) -> Column:
+    """A sort key by which digit runs of any length order as numbers, and letters without case: a run's length stands before it."""
     parts = F.regexp_extract_all(F.lower(F.coalesce(c.cast("string"), F.lit(""))), F.lit(r"\d+|\D+"), 0)
-    pad = lambda d: F.lpad(F.coalesce(F.nullif(F.regexp_replace(d, "^0+", ""), F.lit("")), F.lit("0")), width, "0")
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), pad(p)).otherwise(p)), "")
+    number = lambda d: F.coalesce(F.nullif(F.regexp_replace(d, "^0+", ""), F.lit("")), F.lit("0"))
+    told = lambda d: F.concat(F.lpad(F.char_length(d).cast("string"), 10, "0"), d)
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), told(number(p))).otherwise(p)), "")
 
 
 def trim_to_escaped(c: Column, most: Column | int) -> Column:
-    """The longest start of the text that, escaped and with an ellipsis if cut, has at most ``most`` characters."""
+    """The longest start of the text that, escaped and with an ellipsis if cut, has at most ``most`` characters.
+
+    No character is longer unescaped, so only the first ``most`` ones are looked at, once each.
+    """
     raw, most = F.coalesce(c, F.lit("")), most if isinstance(most, Column) else F.lit(most)
-    size = lambda x: F.char_length(html_escape(x))
-    cuts = F.transform(F.sequence(F.lit(0), F.greatest(F.char_length(raw) - 1, F.lit(0))), lambda k: F.concat(F.rtrim(F.substr(raw, F.lit(1), k)), F.lit("...")))
-    fits = F.filter(cuts, lambda x: size(x) <= most)
-    return F.when(size(raw) <= F.greatest(most, F.lit(0)), F.when(most > 0, raw).otherwise("")).when(most < 3, "").otherwise(F.coalesce(F.try_element_at(fits, F.lit(-1)), F.lit("...")))
+    start = F.substr(raw, F.lit(1), F.greatest(most, F.lit(0)))
+    sizes = F.transform(F.regexp_extract_all(start, F.lit("(?s)."), 0), lambda x: F.char_length(html_escape(x)))
+    state = F.struct(F.lit(0).alias("n"), F.lit(3).alias("size"))
+    kept = F.aggregate(sizes, state, lambda a, s: F.struct(F.when(a["size"] + s <= most, a.n + 1).otherwise(a.n).alias("n"), (a["size"] + s).alias("size")), lambda a: a.n)
+    whole = F.char_length(html_escape(F.substr(raw, F.lit(1), F.greatest(most, F.lit(0)) + 1)))
+    return F.when(whole <= F.greatest(most, F.lit(0)), F.when(most > 0, raw).otherwise("")).when(most < 3, "").otherwise(F.concat(F.rtrim(F.substr(raw, F.lit(1), kept)), F.lit("...")))

@@ -9,11 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text, url
-
-#: The words of candidate pages and what each is worth.
-CANDIDATE_SCORES = [(r"rp=/store/", 40), (r"[?&](gid|fid|cat_id)=", 30), (r"/store/|/cart/|/products/", 20), (r"vps|vds|kvm|server|hosting|cloud|plan|pricing", 10)]
-
+from ..functions import fixed, text, url
 
 def links(pages: DataFrame) -> DataFrame:
     """(src, dst, seq): absolute links of each page to its own host, in order; fragments go."""
@@ -25,14 +21,21 @@ def links(pages: DataFrame) -> DataFrame:
     return found.select("src", to.alias("dst"), "seq").where(url.domain(F.col("dst")) == url.domain(F.col("src")))
 
 
-def candidate_score(link: Column) -> Column:
-    low = F.lower(link)
-    return sum((F.when(low.rlike(p), n).otherwise(0) for p, n in CANDIDATE_SCORES), F.lit(0)) - F.when(url.non_product_page(link), 50).otherwise(0)
+def candidate_score(link: Column, php_domains: list[str] | None = None) -> Column:
+    """How promising a page is as a listing; ``php_domains`` list their products on pages that end in .php."""
+    low = F.lower(F.coalesce(link, F.lit("")))
+    worth = lambda test, n: F.when(test, n).otherwise(0)
+    parts = [worth(text.has_any(low, words), n) for words, n in fixed.CANDIDATE_PARTS]
+    # A page that is a price list both by a part and by its end counts once.
+    prices = text.has_any(low, ["/pages/pricing"])
+    ends = [worth(low.endswith(end) & ~(prices if end == "/pricing" else F.lit(False)), n) for end, n in fixed.CANDIDATE_ENDS]
+    php = worth(url.domain(link).isin(php_domains or []) & low.endswith(".php"), 1)
+    return sum((*parts, *ends, php), F.lit(0))
 
 
-def top_candidates(candidates: DataFrame, n: int) -> DataFrame:
+def top_candidates(candidates: DataFrame, n: int, php_domains: list[str] | None = None) -> DataFrame:
     """The ``n`` most promising pages of each domain; of equals the first."""
-    scored = candidates.withColumn("score", candidate_score(F.col("url"))).withColumn("domain", url.domain(F.col("url")))
+    scored = candidates.withColumn("score", candidate_score(F.col("url"), php_domains)).withColumn("domain", url.domain(F.col("url")))
     w = Window.partitionBy("domain").orderBy(F.desc("score"), "seq")
     return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
 

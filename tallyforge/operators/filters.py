@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,10 +53,14 @@ def may_be_incomplete(meta: str = "meta") -> Column:
 
 def challenge_page(status: Column, body: Column, headers: Column) -> Column:
     """Pages of an edge server instead of a site's: by status, by marks in the body, or by refusal with its headers."""
-    b = F.lower(F.coalesce(body, F.lit("")))
-    marks = has_any(b, ["just a moment", "cf-browser-verification", "cf-challenge", "challenge-platform", "attention required! | cloudflare"])
-    edge = F.exists(F.map_keys(headers), lambda k: F.lower(k).isin("cf-ray", "cf-mitigated")) | F.exists(F.map_values(headers), lambda v: F.contains(F.lower(v), F.lit("cloudflare")))
-    return F.coalesce(status.isin([s for s in fixed.BLOCKED_STATUS if s != 429]), F.lit(False)) | marks | (F.coalesce(status.isin(403, 429, 503), F.lit(False)) & F.coalesce(edge, F.lit(False)))
+    low = F.lower(F.coalesce(body, F.lit("")))
+    every = lambda words: reduce(lambda a, b: a & b, (F.contains(low, F.lit(w)) for w in words))
+    marks = F.contains(low, F.lit(fixed.CHALLENGE_PATH)) & has_any(low, fixed.CHALLENGE_PATH_MARKS)
+    phrases = reduce(lambda a, b: a | b, map(every, fixed.CHALLENGE_PHRASES))
+    told = F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("k"), F.lower(F.coalesce(e["value"], F.lit(""))).alias("v")))
+    edge = F.exists(told, lambda e: (e.k.isin(fixed.CHALLENGE_HEADERS) & (e.v != "")) | ((e.k == "server") & F.contains(e.v, F.lit("cloudflare"))))
+    is_in = lambda codes: F.coalesce(status.isin(codes), F.lit(False))
+    return is_in(fixed.CHALLENGE_STATUS) | marks | phrases | (is_in(fixed.CHALLENGE_REFUSALS) & F.coalesce(edge, F.lit(False)))
 
 
 def whmcs_shop(domain: Column, html: Column, domains: list[str] | None = None) -> Column:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import specs, text
 from ..operators import alerts, filters, merge, report, state
 from ..sources import state_json, store_json, targets
+from ..tables import settled
 
 
 @dataclass
@@ -92,25 +92,28 @@ class Outcome:
     dashboard: DataFrame
 
 
-def run(spark: SparkSession, pages: DataFrame, state_path: str, now: str, *, mode: str = "full", all_targets: DataFrame | None = None, rules: Rules | None = None) -> Outcome:
+def run(spark: SparkSession, pages: DataFrame, state_path: str, now: str, *, mode: str = "full", all_targets: DataFrame | None = None, rules: Rules | None = None, prune: bool = True) -> Outcome:
     """Captured storefront answers (see ``schemas.PAGE``) folded into the state.
 
-    full: domains that are no target any more leave the state, and products
-    that are no longer shown are pruned. lite: only targets of known domains,
-    and nothing is pruned.
+    full: all targets. lite: only targets of known domains. In both, domains
+    that are no target any more leave the state, and products that a successful
+    run no longer shows are pruned, unless ``prune`` is off (for runs over
+    hand-picked pages). Pages without a ``seq`` are in the order of their URLs'
+    hashes.
     """
     if mode not in ("full", "lite"):
         raise ValueError(f"mode: {mode}")
+    if "seq" not in pages.columns:
+        pages = pages.withColumn("seq", F.pmod(F.xxhash64("url"), F.lit(1 << 36)))
     old_products, old_domains = state_json.load_state(spark, state_path)
     if all_targets is not None:
         chosen = targets.lite_targets(all_targets, old_domains, old_products) if mode == "lite" else targets.with_domain(all_targets)
         pages = pages.withColumn("_d", F.lower(F.regexp_extract("url", "://([^/?#]*)", 1))).join(chosen.select(F.col("domain").alias("_d")).distinct(), "_d", "left_semi").drop("_d")
     meta = F.struct(F.lit(False).alias("may_be_incomplete"), F.lit(False).alias("deadline_exceeded"), F.lit(None).cast("string").alias("discovery_stop_reason"), F.when(F.col("ok"), 0).otherwise(1).alias("discovery_fetch_errors"))
-    fetched = pages.select(F.lower(F.regexp_extract("url", "://([^/?#]*)", 1)).alias("domain"), "ok", "error", F.col("elapsed_ms").cast("bigint").alias("duration_ms"), meta.alias("meta"), F.xxhash64("url").alias("seq"))
+    fetched = pages.select(F.lower(F.regexp_extract("url", "://([^/?#]*)", 1)).alias("domain"), "ok", "error", F.col("elapsed_ms").cast("bigint").alias("duration_ms"), meta.alias("meta"), "seq")
     merged = merge.merge_runs(fetched)
     runs = merged.select("domain", "ok", "error", "duration_ms", F.struct("may_be_incomplete", "deadline_exceeded", "discovery_stop_reason", F.col("discovery_fetch_errors").cast("int").alias("discovery_fetch_errors")).alias("meta"), F.lit(0).cast("bigint").alias("seq"))
-    keep = lambda df: df.persist(StorageLevel.DISK_ONLY)  # noqa: E731  lost blocks are computed again
-    found = post_process(keep(store_json.store_products(pages.where("ok"))), rules, settle=keep)
-    active = targets.with_domain(all_targets).select("domain") if mode == "full" and all_targets is not None else None
-    done = state.update_state(old_products, old_domains, found, runs, now, prune=mode == "full", active=active, settle=keep)
+    found = post_process(settled(store_json.store_products(pages.where("ok"))), rules, settle=settled)
+    active = targets.with_domain(all_targets).select("domain") if prune and all_targets is not None else None
+    done = state.update_state(old_products, old_domains, found, runs, now, prune=prune, active=active, settle=settled)
     return Outcome(done.products, done.domains, alerts.messages(done.alerts, now), done.summary, report.dashboard_rows(done.products))

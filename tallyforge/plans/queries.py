@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import availability, cycles, money, specs, text, url
 from ..operators import alerts, crawl, filters, merge, report, state
 from ..sources import html, store_json, targets
+from ..tables import settled
 from .catalogue import flag_available, listings, observations, runs, table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -117,7 +118,7 @@ SELECT coalesce(s.id, k.id) AS id, coalesce(s.domain, k.domain) AS domain, CASE
 FROM shown s FULL JOIN kept k ON s.id = k.id""")
 def state_upsert(spark, sf):
     """The state after a run: pruned, inserted, updated."""
-    before, new = _snapshots(spark, sf)
+    before, new = map(settled, _snapshots(spark, sf))
     domains = spark.createDataFrame([], "domain string, last_status string, last_ok string, last_error string, last_duration_ms bigint")
     done = state.update_state(before, domains, new, _runs_of(spark, new), "t1", notify=False)
     return done.products.select("id", "domain", "price", "available", "first_seen", "last_seen", "last_change")
@@ -135,7 +136,7 @@ def state_prune_guarded(spark, sf):
 SELECT count(*) FILTER (was = false AND now = true) AS restocks, count(*) FILTER (known IS NULL) AS new_products, (SELECT count(DISTINCT domain) FROM cur WHERE domain::INT % 5 <> 4) AS domains_ok, (SELECT count(DISTINCT domain) FROM cur WHERE domain::INT % 5 = 4) AS domains_error FROM j""")
 def run_summary(spark, sf):
     """Restocks, new products, and domains by outcome."""
-    before, new = _snapshots(spark, sf)
+    before, new = map(settled, _snapshots(spark, sf))
     domains = spark.createDataFrame([], "domain string, last_status string, last_ok string, last_error string, last_duration_ms bigint")
     return state.update_state(before, domains, new, _runs_of(spark, new), "t1", notify=False).summary.select("restocks", "new_products", "domains_ok", "domains_error")
 

@@ -20,8 +20,8 @@ STATE_PRODUCT = (
     "last_notified_new string, last_notified_restock string, last_notified_new_location string"
 )
 STATE_DOMAIN = "domain string, last_status string, last_ok string, last_error string, last_duration_ms bigint"
-#: A fetched page.
-PAGE = "url string, status_code int, ok boolean, text string, error string, elapsed_ms bigint"
+#: A fetched page; ``seq`` is its place among the pages of the run, below 2 ** 36.
+PAGE = "url string, status_code int, ok boolean, text string, error string, elapsed_ms bigint, seq bigint"
 #: A captured JSON storefront.
 STORE_JSON = (
     "struct<id:bigint,area_name:string,nodes:array<struct<id:bigint,node_name:string,group_name:string,plans:array<struct<id:bigint,plan_name:string,tag:string,cpu:double,memory:double,disk:double,"

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import cycles, fixed, money, text, url
-from ..functions.availability import extract_availability
+from ..functions.availability import extract_availability, purchase_action
 
 ELEMENT = T.StructType(
     [
@@ -153,21 +153,37 @@ def location_variants(els: Column) -> Column:
     return F.filter(found, lambda v, i: F.array_position(keys, F.lower(v["name"])) == i + 1)
 
 
-#: Class names that mark sold-out elements, and words of buy buttons (fixed values).
-SOLD = r"(?i)\b(out-of-stock|outofstock|sold-out|soldout|unavailable|none-stock|no-stock)\b"
+def _classes(e: Column) -> Column:
+    return F.coalesce(attr(e, "class"), F.lit(""))
 
 
-def availability_in_page(els: Column, html: Column) -> Column:
-    """From a detail page, in this order: sold-out classes, words of buttons, an order form with an enabled button, words of the page."""
-    classes = F.exists(els, lambda e: F.coalesce(attr(e, "class"), F.lit("")).rlike(SOLD))
-    buttons = F.filter(els, lambda e: (e["tag"] == "button") | ((e["tag"] == "a") & F.coalesce(attr(e, "class"), F.lit("")).contains("btn")) | ((e["tag"] == "input") & F.coalesce(attr(e, "type"), F.lit("")).isin("submit", "button")))
-    words = F.transform(buttons, lambda b: F.coalesce(F.nullif(b["text"], F.lit("")), attr(b, "value"), F.lit("")))
-    disabled = lambda b: F.map_contains_key(b["attrs"], "disabled") | F.coalesce(attr(b, "class"), F.lit("")).rlike(r"\bdisabled\b")
-    buy = F.exists(buttons, lambda b: text.has_any(F.lower(F.coalesce(F.nullif(b["text"], F.lit("")), attr(b, "value"), F.lit(""))), fixed.IN_WORDS_WEAK + ["continue", "checkout", "order"]) & ~disabled(b))
-    form = F.exists(els, lambda e: (e["tag"].isin("select", "input")) & F.coalesce(attr(e, "name"), F.lit("")).rlike(r"billingcycle|configoption\[|custom\["))
-    page = extract_availability(F.coalesce(F.get(F.transform(els, lambda e: e["text"]), F.lit(0)), html))
-    said = F.array_compact(F.transform(words, extract_availability))
-    return F.when(classes, False).when(F.array_contains(said, False), False).when(form & buy, True).when(~page, False).when(buy, True).otherwise(page)
+def disabled(e: Column) -> Column:
+    return F.map_contains_key(e["attrs"], "disabled") | F.contains(F.lower(_classes(e)), F.lit("disabled"))
+
+
+def label(e: Column) -> Column:
+    """A control's text, or its value."""
+    return F.coalesce(F.nullif(e["text"], F.lit("")), text.compact_ws(attr(e, "value")))
+
+
+def availability_in_page(els: Column, html: Column, trusted: Column | None = None) -> Column:
+    """From a detail page; the first of these that tells decides.
+
+    Elements of a sold-out class whose text is empty or says so; controls, in
+    order: one that says sold out, one that is enabled and says in stock, or an
+    enabled buy button beside an order form; the page's words, if they say sold
+    out; an enabled buy button; the page's words. ``trusted`` pages need no form.
+    """
+    split = lambda e: F.split(_classes(e), r"\s+")
+    marked = F.filter(els, lambda e: F.arrays_overlap(split(e), F.array(*map(F.lit, fixed.SOLD_CLASSES))) | text.has_any(_classes(e), fixed.SOLD_CLASS_PARTS))
+    sold = F.exists(marked, lambda e: F.coalesce(~extract_availability(e["text"]), e["text"] == ""))
+    controls = F.filter(els, lambda e: e["tag"].isin("a", "button") | ((e["tag"] == "input") & F.coalesce(attr(e, "type"), F.lit("")).isin("submit", "button")))
+    told = F.transform(controls, lambda e: F.struct(extract_availability(label(e)).alias("says"), purchase_action(label(e)).alias("buys"), (~disabled(e)).alias("on")))
+    form = text.has_any(F.lower(text.compact_ws(html)), fixed.ORDER_FORM_MARKS) | (F.lit(False) if trusted is None else trusted)
+    buys = lambda t: t.says.isNull() & t.on & t.buys
+    verdicts = F.array_compact(F.transform(told, lambda t: F.when(~t.says, False).when(t.says & t.on, True).when(buys(t) & form, True)))
+    page = extract_availability(html)
+    return F.when(sold, False).when(F.size(verdicts) > 0, F.get(verdicts, F.lit(0))).when(~page, False).when(F.exists(told, buys), True).otherwise(page)
 
 
 def page_links(els: Column) -> Column:

@@ -11,6 +11,9 @@ from ..functions.text import compact_ws
 
 SHAPES = f"struct<data:array<{schemas.STORE_JSON}>>", f"struct<data:struct<areas:array<{schemas.STORE_JSON}>>>"
 
+#: More than the plans that a text of 2 GB can hold, at 17 bytes or more each.
+PLANS = 1 << 27
+
 
 def json_text(c: Column) -> Column:
     """The JSON of an answer: inside a ``pre`` element if there is one, from the first brace or bracket on."""
@@ -29,14 +32,18 @@ def lenient_json(c: Column) -> Column:
 def store_products(pages: DataFrame, *, currency: str = "CNY", shop_path: str = "/shop/server", text: str = "text") -> DataFrame:
     """A product row per plan of each page (url, text) of either shape; plans without a name are left out.
 
-    The domain is that of the page's URL. ``seq`` follows page, area, node, plan.
+    The domain is that of the page's URL. ``seq`` follows page (its own ``seq``,
+    null or missing is 0), area, node, plan: a page's text holds fewer than
+    PLANS plans, so no two places are the same.
     """
     c = F.col
     body = json_text(c(text))
     options = {"mode": "PERMISSIVE"}
     areas = F.coalesce(F.from_json(body, SHAPES[0], options)["data"], F.from_json(body, SHAPES[1], options)["data"]["areas"])
-    rows = pages.select(url.domain(c("url")).alias("domain"), F.posexplode(areas).alias("ai", "area"))
-    rows = rows.select("*", F.posexplode("area.nodes").alias("ni", "node")).select("*", F.posexplode("node.plans").alias("pi", "plan"))
+    plans = lambda a, n: F.transform(n["plans"], lambda p: F.struct(F.struct(a["id"].alias("id"), a["area_name"].alias("area_name")).alias("area"), F.struct(n["id"].alias("id"), n["node_name"].alias("node_name"), n["group_name"].alias("group_name")).alias("node"), p.alias("plan")))
+    every = F.flatten(F.array_compact(F.transform(areas, lambda a: F.flatten(F.array_compact(F.transform(a["nodes"], lambda n: plans(a, n)))))))
+    place = F.coalesce(c("seq"), F.lit(0)) if "seq" in pages.columns else F.lit(0)
+    rows = pages.select(url.domain(c("url")).alias("domain"), place.cast("bigint").alias("page"), F.posexplode(every).alias("n", "of")).select("domain", "page", "n", "of.*")
     some = lambda x: F.nullif(compact_ws(x), F.lit(""))
     rows = rows.select("*", some(c("plan.plan_name")).alias("name"), some(c("area.area_name")).alias("area_name"), some(F.coalesce(F.nullif("node.node_name", F.lit("")), c("node.group_name"))).alias("node_name")).where("name is not null")
     tag = F.lower(compact_ws(c("plan.tag")))
@@ -64,5 +71,5 @@ def store_products(pages: DataFrame, *, currency: str = "CNY", shop_path: str =
         F.nullif(F.concat_ws(" / ", "area_name", "node_name"), F.lit("")).alias("description"), F.when(F.size(table) > 0, table).alias("specs"), (plan("stock") > 0).alias("available"),
         F.coalesce(told(c("node_name")), told(c("area_name"))).alias("variant_of"), place.alias("location"), F.lit(None).cast("array<string>").alias("locations"), F.lit(None).cast("map<string,string>").alias("location_links"),
         F.when(F.size(labels) > 0, labels).alias("billing_cycles"), F.when(F.size(last) > 0, F.map_from_entries(last)).alias("cycle_prices"), F.lit(False).alias("is_special"),
-        (c("ai").cast("long") * 1_000_000_000 + c("ni") * 100_000 + c("pi")).alias("seq"),
+        (c("page") * PLANS + c("n")).alias("seq"),
     )

@@ -37,22 +37,27 @@ def transitions_stream(observations: DataFrame) -> DataFrame:
     return observations.groupBy("key").transformWithStateInPandas(LastAvailability(), OUTPUT, "Append", "None")
 
 
-def fold_batches(path: str):
+def fold_batches(path: str, initial: DataFrame | None = None, keep: int = 2):
     """A sink for ``foreachBatch``: each micro-batch (key, ts, seq, available) is folded into a state table under ``path``.
 
     A key's earlier availability stands before its rows of the batch. A batch
     writes its own version of the state and its own alerts (the restocks), so
-    a repeated batch overwrites itself and nothing else.
+    a repeated batch overwrites itself and nothing else. ``initial`` (key,
+    available) is the state before batch 0: where a query starts anew, give it
+    another ``path`` and the last state of the old one. The last ``keep``
+    versions stay, two at least: a repeated batch needs the one before it.
     """
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = batch.select("key", "ts", "seq", "available")
-        if batch_id:
-            old = spark.read.parquet(f"{path}/state/{batch_id - 1}")
+        old = spark.read.parquet(f"{path}/state/{batch_id - 1}") if batch_id else initial
+        if old is not None:
             rows = rows.unionByName(old.select("key", F.lit(None).cast("timestamp").alias("ts"), F.lit(None).cast("bigint").alias("seq"), "available"))
         rows.groupBy("key").agg(F.max_by("available", F.struct("ts", "seq")).alias("available")).write.mode("overwrite").parquet(f"{path}/state/{batch_id}")
         transitions(rows, ["key"], ["ts", "seq"]).where("is_restock").select("key", "ts", "seq", F.lit(batch_id).alias("batch")).write.mode("overwrite").parquet(f"{path}/alerts/{batch_id}")
+        gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/state/{batch_id - max(keep, 2)}")
+        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
     return fold
 

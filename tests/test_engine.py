@@ -15,12 +15,12 @@ from .test_operators import products
 
 def answer(domain, *stocks):
     plans = [{"id": i, "plan_name": f"Plan {i}", "stock": s, "price_datas": [{"price": 100, "cycle": 1}]} for i, s in enumerate(stocks)]
-    return (f"https://{domain}/api", 200, True, json.dumps({"data": [{"area_name": "HK </script>", "nodes": [{"node_name": "N", "plans": plans}]}]}), None, 5)
+    return (f"https://{domain}/api", 200, True, json.dumps({"data": [{"area_name": "HK </script>", "nodes": [{"node_name": "N", "plans": plans}]}]}), None, 5, 0)
 
 
 def test_runs_in_a_row(spark, tmp_path):
     targets = spark.createDataFrame([("https://a.test/", 0), ("https://b.test/", 1)], "url string, seq bigint")
-    pages = spark.createDataFrame([answer("a.test", 0, 5), ("https://b.test/api", 500, False, None, "boom", 9)], schemas.PAGE)
+    pages = spark.createDataFrame([answer("a.test", 0, 5), ("https://b.test/api", 500, False, None, "boom", 9, 1)], schemas.PAGE)
     first = engine.run(spark, pages, str(tmp_path / "none.json"), "t1", all_targets=targets)
     assert first.summary.first().asDict() == {"started_at": "t1", "finished_at": "t1", "restocks": 0, "new_products": 2, "domains_ok": 1, "domains_error": 1}
     assert first.messages.count() == 1
@@ -31,7 +31,9 @@ def test_runs_in_a_row(spark, tmp_path):
     assert [(r.available, r.last_change, r.last_notified_restock) for r in second.products.collect()] == [(True, "t2", "t2")]
     assert "RESTOCK" in second.messages.first().message
     lite = engine.run(spark, spark.createDataFrame([answer("a.test", 3)], schemas.PAGE), str(path), "t2", mode="lite", all_targets=targets)
-    assert lite.products.count() == 2
+    assert lite.products.count() == 1
+    hand_picked = engine.run(spark, spark.createDataFrame([answer("a.test", 3)], schemas.PAGE).drop("seq"), str(path), "t2", mode="lite", all_targets=targets, prune=False)
+    assert hand_picked.products.count() == 2
     page = sinks.dashboard_page(second.dashboard)
     assert "\\u003c/script\\u003e" in page and page.count("</script>") == 2
     with pytest.raises(ValueError):

@@ -209,13 +209,25 @@ def test_streaks(spark):
 
 def test_crawl(spark, tmp_path):
     spark.sparkContext.setCheckpointDir(str(tmp_path))
-    page = lambda u, *to: (u, 200, True, "".join(f'<a href="{t}">x</a>' for t in to), None, 1)
+    page = lambda u, *to: (u, 200, True, "".join(f'<a href="{t}">x</a>' for t in to), None, 1, 0)
     pages = spark.createDataFrame([page("http://e/1", "/2", "http://other/9", "#x", "3?a=1&amp;b=2"), page("http://e/2", "/4", "/1"), page("http://e/4", "/5")], schemas.PAGE)
     start = spark.createDataFrame([("http://e/1",)], "url string")
     got = {r.url: r.depth for r in crawl.reachable(pages, start, 2).collect()}
     assert got == {"http://e/1": 0, "http://e/2": 1, "http://e/3?a=1&b=2": 1, "http://e/4": 2}
     top = crawl.top_candidates(spark.createDataFrame([("http://e/blog", 0), ("http://e/index.php?rp=/store/vps", 1), ("http://e/x", 2)], "url string, seq long"), 1).collect()
     assert [r.url for r in top] == ["http://e/index.php?rp=/store/vps"]
+    scores = {"http://e/products/cart/x": 3, "http://e/cart.php?gid=1": 2, "http://e/x/cart.php": 1, "http://e/pages/pricing": 1, "http://e/index.php?/cart/a": 2, "http://e/store/a": 2, "http://e/blog": 0, "http://php.e/a.php": 1}
+    rows = spark.createDataFrame([(u,) for u in scores], "url string").select("url", crawl.candidate_score(F.col("url"), ["php.e"]).alias("score")).collect()
+    assert {r.url: r.score for r in rows} == scores
+
+
+def test_challenge_pages(spark):
+    cases = [
+        (200, "Just a moment...", {}, False), (200, "JUST A MOMENT... Cloudflare", {}, True), (200, "just a moment, checking your browser", {}, True), (200, "Attention Required! | Cloudflare", {}, True), (521, None, None, True), (429, "", None, False),
+        (200, '<script src="/cdn-cgi/beacon.js">', {}, False), (200, '<script src="/cdn-cgi/x?__cf_chl_tk=1">', {}, True), (403, "no", {"CF-Cache-Status": "DYNAMIC"}, True), (403, "no", {"cf-ray": ""}, False), (503, "no", {"Server": "CloudFlare"}, True), (200, "no", {"cf-ray": "1"}, False), (403, "no", {"x": "cloudflare", "cf-mitigated": "challenge"}, False), (None, None, None, False),
+    ]
+    rows = spark.createDataFrame(cases, "s int, b string, h map<string,string>, want boolean")
+    assert all(r.want is r.got for r in rows.withColumn("got", filters.challenge_page(F.col("s"), F.col("b"), F.col("h"))).collect())
 
 
 def test_detail_pages_and_enrichment(spark):
@@ -233,6 +245,9 @@ def test_json_store(spark):
     b = f'<html><pre>{{"data":{{"areas":[{{"area_name":"HK","nodes":[{{"group_name":"G","plans":[{plan}]}}]}}]}}}}</pre></html>'
     pages = spark.createDataFrame([("https://s.test/api", a), ("https://t.test/api", b), ("https://u.test/api", "<html>no</html>"), ("https://v.test/", None)], "url string, text string")
     got = {r.domain: r for r in store_json.store_products(pages).collect()}
+    two = spark.createDataFrame([("https://s.test/api", a, 1), ("https://s.test/api2", a, 0)], "url string, text string, seq bigint")
+    places = sorted(r.seq for r in store_json.store_products(two).collect())
+    assert len(set(places)) == 2 and places[0] < store_json.PLANS <= places[1]
     s = got["s.test"]
     assert set(got) == {"s.test", "t.test"} and (s.price, s.available, s.location, s.variant_of, s.billing_cycles) == ("9.99 CNY", False, "HK", "N", ["Monthly", "Quarterly"])
     assert s.url == "https://s.test/shop/server?type=traffic&areaId=1&nodeId=2&planId=5" and s.id == "s.test::https://s.test/shop/server?areaId=1&nodeId=2&planId=5&type=traffic" and s.specs["RAM"] == "2GB" and s.cycle_prices["Quarterly"] == "27.00 CNY"
@@ -279,7 +294,7 @@ def test_markup_extractors(spark):
     assert r.p == {"Monthly": "3.00 USD", "Yearly": "30.00 USD"}
 
 
-@pytest.mark.parametrize("source, expected", [("<p class='out-of-stock'>x</p><button>Add to cart</button>", False), ("<form><select name='billingcycle'></select><button>Continue</button></form>", True), ("<button disabled>Order now</button>", None), ("<p>In stock</p>", True), ("<button>Sold out</button>", False)])
+@pytest.mark.parametrize("source, expected", [("<p class='out-of-stock'>x</p><button>Add to cart</button>", False), ("<form><select name='billingcycle'></select><button>Continue</button></form>", None), ("<form><select name='billingcycle'></select><button>Order now</button></form>", True), ("<i class='xsoldout'>last item</i><a>Order now</a>", True), ("<i class='xsoldout'> </i><a>Order now</a>", False), ("<button>In stock</button><p>sold out</p>", True), ("<button disabled>In stock</button><p>x</p>", True), ("<a>Buy now</a><a>Sold out</a><input name='configoption[1]'>", True), ("<a class='x disabled'>Buy now</a>", None), ("<button disabled>Order now</button>", None), ("<p>In stock</p>", True), ("<button>Sold out</button>", False)])
 def test_detail_availability(spark, source, expected):
     assert page(spark, source).select(html.availability_in_page(F.col("e"), F.col("h"))).first()[0] is expected
 

@@ -35,6 +35,10 @@ def test_folded_batches(spark, tmp_path):
     q.awaitTermination()
     last = o.groupBy("key").agg(F.max_by("available", F.struct("ts", "seq")).alias("available"))
     assert sorted(map(str, spark.read.parquet(f"{tmp_path}/state/state/2").collect())) == sorted(map(str, last.select("key", "available").collect()))
+    assert sorted(p.name for p in (tmp_path / "state" / "state").iterdir()) == ["1", "2"]
+    again = streaming.fold_batches(f"{tmp_path}/anew", spark.read.parquet(f"{tmp_path}/state/state/2"))
+    again(o.limit(0), 0)
+    assert spark.read.parquet(f"{tmp_path}/anew/state/0").count() == last.count()
     alerts = [r.seq for i in range(3) for r in spark.read.parquet(f"{tmp_path}/state/alerts/{i}").collect()]
     assert sorted(alerts) == sorted(r.seq for r in state.transitions(o, ["key"], ["ts", "seq"]).where("is_restock").collect())
 
