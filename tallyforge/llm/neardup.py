@@ -29,6 +29,8 @@ WORDS, THRESHOLD = 5, Fraction(4, 5)
 RECALL = 0.9999
 #: Hash functions at most.
 HASHES = 128
+#: Bits that rows are held against before their texts are shuffled.
+FILTER_BITS = 27
 #: Classes of a block, and the bytes of its n-gram sets, about.
 BLOCK, BLOCK_BYTES = 128, 16 << 20
 
@@ -197,6 +199,20 @@ def _verified(members: DataFrame, threshold: Fraction) -> DataFrame:
     return members.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(verify, FOUND)
 
 
+def _likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The ``rows`` whose id is one of ``ids``, and some others: those that a bitmap doesn't rule out.
+
+    Before texts are shuffled to be joined, this leaves out most of them. The
+    bitmap is broadcast: FILTER_BITS are 16 MB, however many ids there are.
+    """
+    place = F.shiftrightunsigned(F.xxhash64("id"), 64 - FILTER_BITS) + 1
+    held = ids.select(place.alias("v")).groupBy(F.bitmap_bucket_number("v").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("bits"))
+    at = F.bitmap_bit_position(place).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("bits"), F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    found = rows.join(F.broadcast(settle(held, "bitmap")), F.bitmap_bucket_number(place) == F.col("bucket"))
+    return found.where(F.getbit(byte, at.bitwiseAND(7)) == 1).select(*rows.columns)
+
+
 def near_classes(docs: DataFrame, *, id_: str = "doc_id", text: str = "text", n: int = WORDS, threshold: Fraction = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """(id, class_id, copy_of, n_links), one row per row of ``docs``.
 
@@ -225,39 +241,49 @@ def near_classes(docs: DataFrame, *, id_: str = "doc_id", text: str = "text", n:
     sketched = sketch_texts(docs.select(F.col(id_).cast("long").alias("id"), F.col(text).alias("text")), bands, rows, n=n)
     sketched = settle(sketched.select("id", "sketch.*"), "sketch")
     usable = sketched.where("id is not null and n > 0").select("id", F.col("digest").alias("cls"), "n", "bands")
-    usable = usable.groupBy("cls", "n", "id").agg(F.first("bands").alias("bands"))
-    classes = settle(usable.groupBy("cls", "n").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.first("bands").alias("bands")), "classes")
-    banded = classes.select("cls", F.explode("bands").alias("hash"))
-    buckets = settle(banded.groupBy("hash").agg(F.count("*").alias("held"), F.min("cls").alias("head")).where("held > 1"), "buckets")
-    near = connected_components(banded.join(buckets, "hash").select(F.col("cls").alias("src"), F.col("head").alias("dst"))).select(F.col("id").alias("cls"), "component")
-
-    of = near.join(classes, "cls")
+    # Ids of several rows, by their sets: few where ids are unique.
+    repeated = settle(usable.groupBy("id").count().where("count > 1").select("id"), "repeated")
+    again = settle(usable.select("id", "cls").join(repeated, "id").groupBy("id", "cls").agg(F.count("*").alias("rows")), "again")
+    classes = usable.groupBy("cls", "n").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.first("bands").alias("bands"))
+    if not again.where("rows > 1").isEmpty():
+        classes = classes.join(again.where("rows > 1").groupBy("cls").agg(F.sum(F.col("rows") - 1).alias("extra")), "cls", "left")
+        classes = classes.select("cls", "n", "rep", (F.col("size") - F.coalesce("extra", F.lit(0))).alias("size"), "bands")
+    classes = settle(classes, "classes")
+    # Candidates are told by their smallest ids: classes that share one are candidates too.
+    banded = classes.select("rep", F.explode("bands").alias("hash"))
+    buckets = settle(banded.groupBy("hash").agg(F.count("*").alias("held"), F.min("rep").alias("head")).where("held > 1"), "buckets")
+    edges = banded.join(buckets, "hash").select(F.col("rep").alias("src"), F.col("head").alias("dst"))
+    shared_reps = classes.join(repeated.select(F.col("id").alias("rep")), "rep").select("rep").distinct()
+    near = connected_components(edges)
+    near = near.unionByName(shared_reps.join(near, F.col("rep") == F.col("id"), "left_anti").select(F.col("rep").alias("id"), F.col("rep").alias("component"))).select(F.col("id").alias("rep"), "component")
+
+    of = near.join(classes, "rep")
     of = settle(of, "candidates")
     comps = of.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("grams"))
     comps = comps.withColumn("blocks", F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("grams") * 8 / BLOCK_BYTES)).cast("long"))
     large = comps.where("blocks > 1")
-    by_bucket = buckets.join(near, F.col("head") == F.col("cls")).groupBy("component").agg(F.sum(F.col("held") * F.ceil(F.col("held") / block)).alias("rows"))
+    by_bucket = buckets.join(near, F.col("head") == F.col("rep")).groupBy("component").agg(F.sum(F.col("held") * F.ceil(F.col("held") / block)).alias("rows"))
     large = large.join(by_bucket, "component", "left").select("component", "blocks", (F.col("rows") < F.col("m") * F.col("blocks")).alias("bucketwise"))
     plan = settle(large, "large")
     routed = of.join(plan, "component", "left")
-    # A group is a component, or a bucket with the component that it lies in.
     whole = routed.where("not coalesce(bucketwise, false)").select(
         "cls", "size", F.lit(None).cast("int").alias("band"), F.lit(None).cast("array<bigint>").alias("bands"), F.col("component").alias("grp"), F.coalesce("blocks", F.lit(1)).alias("blocks")
     )
     members = whole
     if not plan.where("bucketwise").isEmpty():
         hot = routed.where("bucketwise").select("cls", "size", "bands", F.posexplode("bands").alias("band", "hash"))
-        hot = hot.join(buckets.select("hash", F.ceil(F.col("held") / block).cast("long").alias("blocks"), F.col("head").alias("grp")), "hash")
-        members = whole.unionByName(hot.select("cls", "size", "band", "bands", F.concat("grp", F.col("hash").cast("string").cast("binary")).alias("grp"), "blocks"))
+        hot = hot.join(buckets.select("hash", F.ceil(F.col("held") / block).cast("long").alias("blocks")), "hash")
+        members = whole.unionByName(hot.select("cls", "size", "band", "bands", F.col("hash").alias("grp"), "blocks"))
     members = members.withColumn("blk", F.pmod(F.xxhash64("cls"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     members = members.select("cls", "size", "band", "bands", "grp", "blk", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"))
-    texts = docs.select(F.col(id_).cast("long").alias("id"), F.col(text).alias("text")).join(of.select(F.col("rep").alias("id")).distinct(), "id")
+    reps = of.select(F.col("rep").alias("id")).distinct()
+    texts = _likely(docs.select(F.col(id_).cast("long").alias("id"), F.col(text).alias("text")), reps).join(reps, "id")
     sets = settle(_gram_sets(texts, n), "sets")
     found = settle(_verified(members.join(sets, "cls"), threshold), "found")
 
     # An id with several sets joins their classes.
-    several = usable.groupBy("id").agg(F.min("cls").alias("one"), F.max("cls").alias("other")).where("one <> other").select("id", "one")
-    of_id = usable.select("id", "cls").join(several, "id").select(F.col("cls").alias("src"), F.col("one").alias("dst"))
+    several = again.groupBy("id").agg(F.min("cls").alias("one"), F.count("*").alias("sets")).where("sets > 1").select("id", "one")
+    of_id = again.join(several, "id").select(F.col("cls").alias("src"), F.col("one").alias("dst"))
     joined = settle(connected_components(found.select(F.col("cls").alias("src"), F.col("root").alias("dst")).unionByName(of_id)).select(F.col("id").alias("cls"), "component"), "joined")
     least = joined.join(classes.select("cls", "rep"), "cls").groupBy("component").agg(F.min("rep").alias("class_id"))
     joined = joined.join(settle(least, "least"), "component").select("cls", "class_id")
