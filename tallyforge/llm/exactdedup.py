@@ -67,14 +67,15 @@ def duplicate_report(docs: DataFrame, *, id_: str = "doc_id", text: str = "text"
     one while it joins.
     """
     names = ["keep_id", "group_size", "kept", "text_sha256"]
-    digest = free_name(docs, "digest")
+    digest, own = free_name(docs, "digest"), free_name(docs, "own")
     groups = _combined(docs.select(id_, text), F.lit(None).cast("int"), id_, text, salts, False).select(F.col("digest").alias(digest), F.struct(F.col("best.id").alias("keep_id"), "best.of_text", "n").alias("group_"))
-    joined = docs.withColumn(digest, F.sha2(squeezed(F.col(text)), 256)).join(groups, digest)
+    # The text's own hash is taken before the join, so that no text need be shuffled.
+    joined = docs.withColumns({digest: F.sha2(squeezed(F.col(text)), 256), own: F.xxhash64(F.col(text))}).join(groups, digest)
     return joined.select(
         *(F.col(f"`{c}`") for c in docs.columns if c.lower() not in names),
         F.col("group_.keep_id").alias("keep_id"),
         F.col("group_.n").alias("group_size"),
-        (F.col(id_).eqNullSafe(F.col("group_.keep_id")) & (F.xxhash64(F.col(text)) == F.col("group_.of_text"))).alias("kept"),
+        (F.col(id_).eqNullSafe(F.col("group_.keep_id")) & (F.col(own) == F.col("group_.of_text"))).alias("kept"),
         F.col(digest).alias("text_sha256"),
     )
 
