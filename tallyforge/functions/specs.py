@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .text import SPACE, compact_ws, first_match
+from .money import extract_price
+from .text import SPACE, compact_ws, first_match, has_any, let
 
 EMPTY = "map<string,string>"
 
@@ -55,12 +56,62 @@ def bar_pairs(c: Column) -> Column:
     return F.when(n > 0, F.map_from_entries(first))
 
 
+def normalize_key(c: Column) -> Column:
+    """The usual name of a key: by the whole key, else by the first known word that it holds; else the key, 80 characters at most."""
+
+    def named(k: Column) -> Column:
+        low = F.lower(k)
+        known, usual = (F.split(F.lit("|".join(x)), r"\|") for x in (fixed.SPEC_KEYS, fixed.SPEC_KEYS.values()))
+        place = F.coalesce(F.nullif(F.array_position(known, low), F.lit(0)), F.array_position(F.transform(known, lambda w: F.contains(low, w)), True))
+        return F.when(k == "", "").otherwise(F.coalesce(F.get(usual, place.cast("int") - 1), F.substr(k, F.lit(1), F.lit(80))))
+
+    return let(F.btrim(compact_ws(c), F.lit(" -|:：")), named)
+
+
+def noise_line(c: Column) -> Column:
+    """Lines that specify nothing: empty, buttons, short prices, long text."""
+    return let(compact_ws(c), lambda t: (t == "") | has_any(F.lower(t), fixed.SPEC_LINE_STOPS) | ((F.char_length(t) <= 40) & extract_price(t)["price"].isNotNull()) | (F.char_length(t) > 220))
+
+
 def split_line(c: Column) -> Column:
-    """struct(key, value) of a line at its first bar, full-width colon or colon; null without both sides."""
+    """struct(key, value) of a line at a bar, else at a full-width colon, else at a colon; null if none cuts a pair.
+
+    Both sides must tell something and the key have at most 40 characters; a
+    price alone is no value.
+    """
+
+    def cut(t: Column, mark: str) -> Column:
+        key, value = F.trim(F.substring_index(t, mark, 1)), F.trim(F.substr(t, F.instr(t, F.lit(mark)) + 1))
+        name = normalize_key(key)
+        plain = extract_price(value)["price"].isNull() | has_any(F.lower(value), fixed.SPEC_VALUE_WORDS)
+        fits = F.contains(t, F.lit(mark)) & (key != "") & (value != "") & (F.char_length(key) <= 40) & (name != "") & plain
+        return F.when(fits, F.struct(name.alias("key"), F.substr(value, F.lit(1), F.lit(220)).alias("value")))
+
+    return let(compact_ws(c), lambda t: F.coalesce(*(cut(t, m) for m in ("|", "：", ":"))))
+
+
+def multi_pairs(c: Column) -> Column:
+    """Several ``key: value`` pairs of one line, keys by their usual names; none of a line that specifies nothing."""
     t = compact_ws(c)
-    mark = F.when(F.contains(t, F.lit("|")), "|").when(F.contains(t, F.lit("：")), "：").when(F.contains(t, F.lit(":")), ":")
-    key, value = F.trim(F.call_function("substring_index", t, mark, F.lit(1))), F.trim(F.substr(t, F.instr(t, mark) + 1))
-    return F.when(mark.isNotNull() & (key != "") & (value != ""), F.struct(key.alias("key"), value.alias("value")))
+    keys, values = (F.regexp_extract_all(t, F.lit(fixed.SPEC_PAIRS), i) for i in (1, 2))
+    pairs = F.transform(F.arrays_zip(keys.alias("k"), values.alias("v")), lambda p: F.struct(normalize_key(p["k"]).alias("key"), F.substr(compact_ws(p["v"]), F.lit(1), F.lit(220)).alias("value")))
+    kept = F.filter(pairs, lambda p: (p["key"] != "") & (p["value"] != "") & ~noise_line(F.concat(p["key"], F.lit(":"), p["value"])))
+    return F.when(noise_line(t) & (F.regexp_count(t, F.lit("[:：]")) < 3), F.filter(kept, lambda p: F.lit(False))).otherwise(kept)
+
+
+def named_bar_pairs(c: Column) -> Column:
+    """``bar_pairs`` with usual keys and without noise, as entries; parts of more than 140 characters are left out."""
+    parts = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), lambda p: compact_ws(p)), lambda p: F.char_length(p).between(1, 140))
+    at = F.filter(F.sequence(F.lit(0), F.size(parts)), lambda i: (i % 2 == 0) & (i + 1 < F.size(parts)))
+    pairs = F.transform(at, lambda i: F.struct(normalize_key(F.get(parts, i)).alias("key"), F.get(parts, i + 1).alias("value")))
+    return F.filter(pairs, lambda p: (p["key"] != "") & ~noise_line(F.concat(p["key"], F.lit(":"), p["value"])))
+
+
+def first_entries(entries: Column) -> Column:
+    """A map of entries (key, value), the first of each key; null if there are none."""
+    keys = F.transform(entries, lambda p: p["key"])
+    first = F.filter(entries, lambda p, i: F.array_position(keys, p["key"]) == i + 1)
+    return F.when(F.size(first) > 0, F.map_from_entries(first))
 
 
 def key_value_pairs(c: Column) -> Column:

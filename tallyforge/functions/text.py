@@ -21,7 +21,7 @@ def either(words: list[str]) -> str:
 
 def has_any(c: Column, words: list[str]) -> Column:
     """Whether the text holds any of the words."""
-    return reduce(lambda a, b: a | b, (F.contains(c, F.lit(w)) for w in words))
+    return c.rlike(either(words))
 
 
 def first_match(c: Column, pattern: str, group: int = 0) -> Column:

@@ -148,6 +148,84 @@ def non_product_page(url: Column) -> Column:
     )
 
 
+def _has_key(url: Column, keys: list[str], value: str | None = None) -> Column:
+    """Whether the query gives one of the keys a value, or this one (in lower case, the first of its key)."""
+    if value is None:
+        return F.exists(pairs(query(url)), lambda p: p.k.isin(keys) & (p.v != ""))
+    return F.coalesce(F.lower(param(url, keys[0])) == value, F.lit(False))
+
+
+def non_product_link(url: Column) -> Column:
+    """Links of cards that lead to no single product: listings by route, path or cart, and pages that sell nothing. Rules are tried in order."""
+    low, p = F.lower(F.coalesce(url, F.lit(""))), F.lower(path(url))
+    marks = _any_in(low, "action=add", "pid=", "id=", "product=")
+    adds = _has_key(url, ["pid", "id", "product", "fid", "gid"]) | _has_key(url, ["a"], "add") | _has_key(url, ["a"], "configure") | _has_key(url, ["action"], "add")
+    routed = F.contains(low, F.lit("?/cart/"))
+    tail = F.btrim(F.substring_index(F.regexp_extract(low, r"(?s)\?/cart/(.*)$", 1), "&", 1), F.lit("/"))
+    rp = param(url, "rp")
+    parts = lambda marker: F.filter(F.split(F.substr(p, F.instr(p, F.lit(marker)) + len(marker)), "/"), lambda x: x != "")
+    sized = lambda c: F.size(F.filter(F.split(c, "/"), lambda x: x != ""))
+    return (
+        F.when(routed & marks, False)
+        .when(routed & ~F.contains(tail, F.lit("/")), True)
+        .when(F.lower(rp).startswith("/knowledgebase") | F.lower(rp).startswith("/announcements"), True)
+        .when(rp.startswith("/store/"), sized(rp) <= 2)
+        .when(has_any(p, fixed.CARD_NO_PRODUCT_PATHS), True)
+        .when(F.contains(p, F.lit("/customer/plans")) & ~_has_key(url, ["pid", "id", "product", "product_id", "plan_id", "planid"]), True)
+        .when(F.contains(p, F.lit("/products/cart/")) | F.regexp_replace(p, "/+$", "").isin("/cart", "/products", "/store"), ~adds)
+        .when(F.contains(low, F.lit("index.php?/products/")), ~marks)
+        .when(F.contains(p, F.lit("/products/")), let(parts("/products/"), lambda x: ~F.coalesce(F.try_element_at(x, F.lit(-1)).isin("checkout", "configure"), F.lit(False)) & (F.size(x) <= 1)))
+        .when(F.contains(p, F.lit("/store/")), F.size(parts("/store/")) <= 1)
+        .when(p.endswith("/cart.php"), ~(_has_key(url, ["pid"]) | _has_key(url, ["a"], "add")))
+        .when(F.contains(p, F.lit("/cart/")), (F.size(parts("/cart/")) <= 1) & ~marks)
+        .otherwise(False)
+    )
+
+
+def resolve(base: Column, href: Column) -> Column:
+    """The address that a link leads to; the usual cart and store addresses start at the site's root. Dot segments are carried out."""
+    h, low = F.trim(href), F.lower(F.trim(href))
+    own = F.regexp_extract(h, "^[^?#]*", 0)
+    folder = F.coalesce(F.nullif(F.regexp_extract(path(base), "^.*/", 0), F.lit("")), F.lit("/"))
+    rooted = reduce(lambda a, b: a | b, (low.startswith(x) for x in fixed.ROOTED))
+    at = F.when(own == "", path(base)).when(own.startswith("/"), own).when(rooted, F.concat(F.lit("/"), own)).otherwise(F.concat(folder, own))
+    step = lambda a, x: F.when(x == "..", F.regexp_replace(a, "/[^/]*$", "")).when(x == ".", a).otherwise(F.concat(a, F.lit("/"), x))
+    plain = F.when(at.rlike(r"/\.\.?(/|$)"), F.concat(F.aggregate(F.slice(F.split(at, "/"), 2, F.size(F.split(at, "/"))), F.lit(""), step), F.when(at.rlike(r"/\.\.?$"), "/").otherwise(""))).otherwise(at)
+    rest = F.substr(h, F.char_length(own) + 1)
+    kept = F.when((own == "") & h.startswith("#") & (query(base) != ""), F.concat(F.lit("?"), query(base))).otherwise("")
+    return F.when(h == "", base).when(h.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), h).when(h.startswith("//"), F.concat(scheme(base), F.lit(":"), h)).otherwise(F.concat(root(base), plain, kept, rest))
+
+
+def buy_score(url: Column, label: Column, product: Column) -> Column:
+    """How likely a link of a card buys its product; ``product``: whether it leads to one (see ``non_product_link``)."""
+    u, lab = F.lower(url), F.lower(compact_ws(label))
+    worth = lambda test, n: F.when(test, n).otherwise(0)
+    has = lambda w: F.contains(u, F.lit(w))
+    cart = F.when(~has("cart.php"), 0).when(has("a=add") | (has("pid=") & ~has("a=view")), 7).when(has("a=view") & has("pid="), 3).otherwise(0)
+    return (
+        cart + worth(has("/checkout"), 7) + worth(has("action=add") & (has("id=") | has("pid=")), 7) + worth(has("action=add") & has("id="), 2) + worth(has("/store/") & product, 4)
+        + worth(has("/products/") & product, 3) + worth(has_any(u, fixed.LINK_HINTS), 1) + worth(has_any(lab, fixed.BUY_LABELS), 2)
+    )
+
+
+def product_link_key(url: Column, product: Column) -> Column:
+    """The identity of a link that can buy or show one product; null for other links."""
+    u = F.lower(url)
+    has = lambda w: F.contains(u, F.lit(w))
+    buys = (has("cart.php") & (has("pid=") | has("a=add"))) | (has("action=add") & (has("id=") | has("pid="))) | has("/checkout") | has("/store/") | has("/products/")
+    return F.when(buys & product, normalize_for_id(url))
+
+
+def with_params(url: Column, params: Column) -> Column:
+    """The URL with more pairs (an array of k and v) at its query's end, form-encoded anew; a route at its start stays."""
+    q = query(url)
+    routed = q.startswith("/")
+    tail = F.when(routed, F.when(F.contains(q, F.lit("&")), F.regexp_replace(q, "^[^&]*&", "")).otherwise("")).otherwise(q)
+    text = F.array_join(F.transform(F.concat(pairs(tail), params), lambda p: F.concat(encoded(p.k), F.lit("="), encoded(p.v))), "&")
+    text = F.when(routed, F.concat_ws("&", F.substring_index(q, "&", 1), F.nullif(text, F.lit("")))).otherwise(text)
+    return F.concat(root(url), path(url), F.when(text != "", F.concat(F.lit("?"), text)).otherwise(""))
+
+
 def primary_listing(url: Column) -> Column:
     """Pages that list a shop's products."""
     p, q = F.lower(path(url)), F.lower(query(url))

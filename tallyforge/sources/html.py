@@ -1,7 +1,8 @@
 """HTML as rows: one element each, so that selecting is filtering and nesting is a range join.
 
 Elements are numbered in document order; the descendants of one are those
-whose number lies between its own and its ``last``.
+whose number lies between its own and its ``last``. ``text`` is all that an
+element shows, ``own`` what stands in it beside its children.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ ELEMENT = T.StructType(
         T.StructField("tag", T.StringType()),
         T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
         T.StructField("text", T.StringType()),
+        T.StructField("own", T.StringType()),
     ]
 )
 #: Elements without content, and elements whose text isn't shown (fixed by the format).
@@ -41,7 +43,7 @@ class _Elements(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list) -> None:
         while self.open and self.rows[self.open[-1]][3] in CLOSED_BY.get(tag, ()):
             self._close()
-        self.rows.append([len(self.rows), self.open[-1] if self.open else -1, len(self.rows), tag, {k: v or "" for k, v in attrs}, []])
+        self.rows.append([len(self.rows), self.open[-1] if self.open else -1, len(self.rows), tag, {k: v or "" for k, v in attrs}, [], []])
         if tag not in VOID:
             self.open.append(len(self.rows) - 1)
 
@@ -58,16 +60,19 @@ class _Elements(HTMLParser):
         if data.strip() and not any(self.rows[i][3] in HIDDEN for i in self.open):
             for i in self.open:
                 self.rows[i][5].append(data)
+            if self.open:
+                self.rows[self.open[-1]][6].append(data)
 
     def result(self) -> list[dict]:
         while self.open:
             self._close()
-        return [dict(zip(("pos", "parent", "last", "tag", "attrs", "text"), (*r[:5], " ".join(" ".join(r[5]).split())), strict=True)) for r in self.rows]
+        plain = lambda parts: " ".join(" ".join(parts).split())
+        return [dict(zip(("pos", "parent", "last", "tag", "attrs", "text", "own"), (*r[:5], plain(r[5]), plain(r[6])), strict=True)) for r in self.rows]
 
 
 @F.arrow_udf(T.ArrayType(ELEMENT))
 def _elements(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    kind = pa.list_(pa.struct([("pos", pa.int32()), ("parent", pa.int32()), ("last", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string())]))
+    kind = pa.list_(pa.struct([("pos", pa.int32()), ("parent", pa.int32()), ("last", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("own", pa.string())]))
     for pages in batches:
         out = []
         for page in pages:
