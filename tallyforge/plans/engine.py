@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import specs, text
 from ..operators import alerts, filters, merge, report, state
-from ..sources import state_json, store_json, targets
+from ..sources import cards, state_json, store_json, targets
 from ..tables import settled
 
 
@@ -28,6 +28,8 @@ class Rules:
     assume_in: list[str] = field(default_factory=list)
     #: Domains whose names are codes like A.B.C, found in URL or description.
     codes: list[str] = field(default_factory=list)
+    #: Domains whose pages are markup with product cards; the others answer with JSON.
+    card_domains: list[str] = field(default_factory=list)
 
 
 def cleaned(products: DataFrame, rules: Rules, listing: DataFrame | None = None) -> DataFrame:
@@ -83,6 +85,14 @@ def post_process(products: DataFrame, rules: Rules | None = None, listing: DataF
     return cleaned(filters.without_noise(p), rules, listing)
 
 
+def listed(pages: DataFrame, rules: Rules) -> DataFrame:
+    """The product rows of pages, by the parser of their domain."""
+    marked = F.lower(F.regexp_extract("url", "://([^/?#]*)", 1)).isin(rules.card_domains)
+    if not rules.card_domains:
+        return store_json.store_products(pages)
+    return store_json.store_products(pages.where(~marked)).unionByName(cards.card_products(pages.where(marked)))
+
+
 @dataclass
 class Outcome:
     products: DataFrame
@@ -113,7 +123,7 @@ def run(spark: SparkSession, pages: DataFrame, state_path: str, now: str, *, mod
     fetched = pages.select(F.lower(F.regexp_extract("url", "://([^/?#]*)", 1)).alias("domain"), "ok", "error", F.col("elapsed_ms").cast("bigint").alias("duration_ms"), meta.alias("meta"), "seq")
     merged = merge.merge_runs(fetched)
     runs = merged.select("domain", "ok", "error", "duration_ms", F.struct("may_be_incomplete", "deadline_exceeded", "discovery_stop_reason", F.col("discovery_fetch_errors").cast("int").alias("discovery_fetch_errors")).alias("meta"), F.lit(0).cast("bigint").alias("seq"))
-    found = post_process(settled(store_json.store_products(pages.where("ok"))), rules, settle=settled)
+    found = post_process(settled(listed(pages.where("ok"), rules or Rules())), rules, settle=settled)
     active = targets.with_domain(all_targets).select("domain") if prune and all_targets is not None else None
     done = state.update_state(old_products, old_domains, found, runs, now, prune=prune, active=active, settle=settled)
     return Outcome(done.products, done.domains, alerts.messages(done.alerts, now), done.summary, report.dashboard_rows(done.products))

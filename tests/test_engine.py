@@ -40,6 +40,17 @@ def test_runs_in_a_row(spark, tmp_path):
         engine.run(spark, pages, str(path), "t", mode="odd")
 
 
+def test_parsers_by_domain(spark):
+    card = '<div><a href="/store/a/b">x</a><a href="/store/a/c">y</a></div><div class="package"><h3>Plan &amp; A</h3><p>$5.00 USD Monthly</p><a href="/cart.php?a=add&amp;pid=7">Order Now</a></div><div class="package"><h3>No link</h3><p>$9.00 USD</p></div>'
+    pages = spark.createDataFrame([answer("a.test", 3), ("https://c.test/", 200, True, card, None, 5, 1), ("https://c.test/none", 200, True, None, None, 5, 2), ("https://c.test/empty", 200, True, "", None, 5, 3)], schemas.PAGE)
+    got = engine.listed(pages, engine.Rules(card_domains=["c.test"]))
+    assert got.columns == [f.split(" ", 1)[0] for f in schemas.PRODUCT.split(", ")]
+    rows = {r.domain: r for r in got.collect()}
+    assert set(rows) == {"a.test", "c.test"} and got.count() == 2
+    c = rows["c.test"]
+    assert (c.name, c.price, c.available, c.url, c.billing_cycles) == ("Plan & A", "5.00 USD", True, "https://c.test/cart.php?a=add&pid=7", ["Monthly"])
+
+
 def test_site_rules(spark):
     p = products(
         spark, {"name": "Pro", "variant_of": "LA", "domain": "Tier.test"}, {"name": "x", "url": "https://drop.test/store/diy-1", "domain": "drop.test"}, {"location": "Special LA", "locations": ["Special LA", "NY"], "domain": "loc.test"},
