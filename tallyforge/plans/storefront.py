@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions import names, specs, url
+from ..functions import cycles, money, names, specs, url
 from ..operators import crawl, filters
 from ..sources import cards, html
 from .catalogue import table
@@ -152,3 +152,59 @@ def detail_availability(spark, sf):
     told = shapes.select("shape", html.availability_in_page(F.col("els"), F.col("h")).alias("available"))
     events = table(spark, sf, "events").select("event_id", (F.col("event_id") % len(STOCK_SHAPES)).alias("shape"))
     return events.join(F.broadcast(told), "shape").select("event_id", "available")
+
+
+PAGE_SHAPES = [
+    "<p>Product does not exist</p> billingcycle", "<select name='billingcycle'></select>", "<p>12 left</p>", "<a href='/cart.php?a=add&pid=3'>x</a>", "<a href='/index.php?rp=/store/x'>Configure</a>", "<p>No products found</p> cart.php pid=3",
+    "<form action='?/cart/'><input name='id' value='44'>Order</form>", "<a href='/cart/a'>order</a>", "<a href='?action=add&amp;id=9'>x</a>", "   ", "<h2>Billing Cycle</h2> step=3", "<p>Invalid product</p>",
+]
+
+
+@query("""SELECT event_id, (event_id % 12)::BIGINT AS shape, event_id % 12 IN (1, 2) AS whmcs_product, event_id % 12 IN (3, 4) AS whmcs_group, event_id % 12 IN (2, 4, 10) AS hostbill_product, event_id % 12 IN (6, 7, 8) AS hostbill_group FROM events""")
+def probe_pages(spark, sf):
+    """Which answers to a probe show a product or a group, by platform."""
+    h = F.col("h")
+    tests = {"whmcs_product": filters.whmcs_product_page, "whmcs_group": filters.whmcs_group_page, "hostbill_product": filters.hostbill_product_page, "hostbill_group": filters.hostbill_group_page}
+    told = spark.createDataFrame([(i, s) for i, s in enumerate(PAGE_SHAPES)], "shape bigint, h string").select("shape", *(f(h).alias(k) for k, f in tests.items()))
+    events = table(spark, sf, "events").select("event_id", (F.col("event_id") % len(PAGE_SHAPES)).alias("shape"))
+    return events.join(F.broadcast(told), "shape").select("event_id", "shape", *tests)
+
+
+KIND_SHAPES = [
+    "https://e.test/cart.php", "https://e.test/cart.php?a=add&pid={k}", "https://e.test/billing/store", "https://e.test/index.php?rp=/store", "https://e.test/index.php?rp=/store/vps/p{k}", "https://e.test/index.php?/cart/vps/p{k}/x",
+    "https://e.test/api/plans?page={k}", "https://e.test/pricing", "https://e.test/products", "https://e.test/index.php?/cart/vps&action=add&id={k}",
+]
+
+
+@query("""SELECT p_partkey, p_partkey % 10 IN (0, 2, 3) AS listing, p_partkey % 10 IN (0, 2, 3, 6, 7, 8, 9) AS solvable, p_partkey % 10 IN (8) AS no_product,
+  CASE WHEN p_partkey % 10 = 1 THEN p_partkey END AS pid, CASE p_partkey % 10 WHEN 9 THEN p_partkey END AS id FROM part""")
+def url_kinds(spark, sf):
+    """Listings, pages worth a costly fetch, pages that sell nothing, and the ids in addresses."""
+    c = F.col("u")
+    u = table(spark, sf, "part").select("p_partkey", _turn(F.col("p_partkey"), [_fill(s, k=F.col("p_partkey")) for s in KIND_SHAPES]).alias("u"))
+    return u.select("p_partkey", url.primary_listing(c).alias("listing"), url.solver_allowed(c).alias("solvable"), url.non_product_page(c).alias("no_product"), url.param_int(c, "pid").alias("pid"), url.param_int(c, "id").alias("id"))
+
+
+PRICE_SHAPES = ["from $1,{n}.50 / mo", "{n}.25 EUR yearly", "NT$ {n}", "¥{n}元", "HK${n}.5", "free of charge", "{n} CPU cores", "£ {n},75 now"]
+
+
+@query("""WITH p AS (SELECT p_partkey, p_size + 100 AS n FROM part) SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN '1' || n || '.50 USD' WHEN 1 THEN n || '.25 EUR' WHEN 2 THEN n || ' TWD' WHEN 3 THEN n || ' CNY' WHEN 4 THEN n || '.5 HKD' WHEN 7 THEN n || '.75 GBP' END AS price,
+  CASE p_partkey % 8 WHEN 0 THEN (1000 + n) // 10 WHEN 1 THEN n + 0.25 WHEN 2 THEN n WHEN 3 THEN n WHEN 4 THEN n + 0.5 WHEN 7 THEN n + 0.75 END::DOUBLE AS value FROM p""")
+def price_shapes(spark, sf):
+    """Prices with thousands, symbols of two letters, decimal commas, and texts without any.
+
+    As a number, a price is its first one to three digits and whole groups of
+    thousands behind commas: without commas, longer ones are cut there.
+    """
+    p = table(spark, sf, "part").select("p_partkey", money.extract_price(_turn(F.col("p_partkey"), [_fill(s, n=F.col("p_size") + 100) for s in PRICE_SHAPES])).alias("p"))
+    return p.select("p_partkey", "p.price", money.price_value(F.col("p.price")).alias("value"))
+
+
+CYCLE_SHAPES = ["月付 or 年付", "billed semi-annually", "每三年", "One Time fee", "monthly, quarterly and annually", "nothing", "半年", "Biennially / triennially"]
+
+
+@query("""SELECT p_partkey, (['Monthly', 'Monthly', 'Triennial', 'Monthly', 'Monthly', 'Triennial', 'Semiannual', 'Yearly'])[p_partkey % 8 + 1] AS label, ([ 'Monthly,Yearly', 'Semiannual', '', '', 'Monthly,Quarterly,Yearly', '', 'Semiannual', 'Biennial,Triennial'])[p_partkey % 8 + 1] AS cycles FROM part""")
+def cycle_texts(spark, sf):
+    """Cycle labels and all cycles of texts in two languages. A label is by the first known key that the text holds, also within a word."""
+    t = table(spark, sf, "part").select("p_partkey", _turn(F.col("p_partkey"), [F.lit(s) for s in CYCLE_SHAPES]).alias("t"))
+    return t.select("p_partkey", cycles.normalize_cycle(F.col("t")).alias("label"), F.coalesce(F.array_join(cycles.cycles_in_text(F.col("t")), ","), F.lit("")).alias("cycles"))
