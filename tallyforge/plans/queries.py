@@ -83,6 +83,7 @@ def _snapshots(spark, sf):
         (F.col("l_shipdate") < F.lit(CUT).cast("timestamp_ntz")).alias("old"), F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice").alias("at"),
     )
     last = rows.groupBy("id", "old").agg(F.max_by(F.struct("domain", "name", "variant_of", "location", "price", "available"), "at").alias("r"), F.min(F.col("at.l_orderkey") * 10 + F.col("at.l_linenumber")).alias("seq")).select("id", "old", "r.*", "seq")
+    last = settled(last)  # every user needs both parts, some of them several times
     typed = lambda df: df.selectExpr(
         "id", "domain", "concat('https://', domain, '.test/', id) AS url", "name", "price", "'USD' AS currency", "CAST(NULL AS STRING) AS description", "CAST(NULL AS MAP<STRING,STRING>) AS specs", "available", "variant_of", "location",
         "CAST(NULL AS ARRAY<STRING>) AS locations", "CAST(NULL AS MAP<STRING,STRING>) AS location_links", "CAST(NULL AS ARRAY<STRING>) AS billing_cycles", "CAST(NULL AS MAP<STRING,STRING>) AS cycle_prices", "false AS is_special", "seq",
@@ -119,7 +120,7 @@ SELECT coalesce(s.id, k.id) AS id, coalesce(s.domain, k.domain) AS domain, CASE
 FROM shown s FULL JOIN kept k ON s.id = k.id""")
 def state_upsert(spark, sf):
     """The state after a run: pruned, inserted, updated."""
-    before, new = map(settled, _snapshots(spark, sf))
+    before, new = _snapshots(spark, sf)
     domains = spark.createDataFrame([], "domain string, last_status string, last_ok string, last_error string, last_duration_ms bigint")
     done = state.update_state(before, domains, new, _runs_of(spark, new), "t1", notify=False)
     return done.products.select("id", "domain", "price", "available", "first_seen", "last_seen", "last_change")
@@ -137,7 +138,7 @@ def state_prune_guarded(spark, sf):
 SELECT count(*) FILTER (was = false AND now = true) AS restocks, count(*) FILTER (known IS NULL) AS new_products, (SELECT count(DISTINCT domain) FROM cur WHERE domain::INT % 5 <> 4) AS domains_ok, (SELECT count(DISTINCT domain) FROM cur WHERE domain::INT % 5 = 4) AS domains_error FROM j""")
 def run_summary(spark, sf):
     """Restocks, new products, and domains by outcome."""
-    before, new = map(settled, _snapshots(spark, sf))
+    before, new = _snapshots(spark, sf)
     domains = spark.createDataFrame([], "domain string, last_status string, last_ok string, last_error string, last_duration_ms bigint")
     return state.update_state(before, domains, new, _runs_of(spark, new), "t1", notify=False).summary.select("restocks", "new_products", "domains_ok", "domains_error")
 
