@@ -54,7 +54,7 @@ def matrix(lists: pa.ChunkedArray | pa.Array, kind: type, multiple: int = 1) ->
 
 def narrow_segments(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Mean and deviation of each WIDTH components of each row."""
-    parts = v.astype(np.float64).reshape(len(v), -1, WIDTH)
+    parts = v.astype(np.float64).reshape(len(v), v.shape[1] // WIDTH, WIDTH)
     means = parts.mean(axis=2)
     return means, np.sqrt(((parts - means[:, :, None]) ** 2).mean(axis=2))
 
@@ -79,7 +79,8 @@ class Vectors:
         levels = [(WIDTH, means, deviations)]
         while levels[0][1].shape[1] > 1:
             width, m, d = levels[0]
-            m, d = (np.pad(x, ((0, 0), (0, -x.shape[1] % FANOUT))).reshape(len(x), -1, FANOUT) for x in (m, d))
+            m, d = (np.pad(x, ((0, 0), (0, -x.shape[1] % FANOUT))) for x in (m, d))
+            m, d = (x.reshape(len(x), x.shape[1] // FANOUT, FANOUT) for x in (m, d))
             mean = m.mean(axis=2)
             levels.insert(0, (width * FANOUT, mean, np.sqrt(np.maximum((d**2 + (m - mean[:, :, None]) ** 2).mean(axis=2), 0))))
         return cls(block["id"].to_numpy(), block["label"].to_numpy(), whole, levels)
