@@ -156,10 +156,11 @@ def _linked(rows: list[dict], threshold: Fraction) -> list[tuple[bytes, int, int
     if rows[0]["lo"] != rows[0]["hi"]:
         blk = np.array([r["blk"] for r in rows])
         link &= blk[:, None] != blk[None, :]
-    if rows[0]["band"] is not None:  # a pair counts in the first band that it shares
-        bands = np.array([r["bands"] for r in rows])
-        for k in range(rows[0]["band"]):
-            link &= bands[:, None, k] != bands[None, :, k]
+    # A link shares a band, whichever way it is verified; bucket by bucket it counts in the first one.
+    bands = np.array([r["bands"] for r in rows])
+    i, j = np.nonzero(link)
+    same = bands[i] == bands[j]
+    link[i, j] = same.any(axis=1) if rows[0]["band"] is None else same.argmax(axis=1) == rows[0]["band"]
     root = ids.copy()
     while True:
         least = np.minimum(root, np.where(link, root[None, :], np.iinfo(np.int64).max).min(axis=1))
@@ -228,14 +229,12 @@ def near_classes(docs: DataFrame, *, id_: str = "doc_id", text: str = "text", n:
     other n-grams are in one class, whether they are linked or not, and n_links
     is that of the row's own text: the other pairs (id, set) linked to it.
 
-    Candidate classes are the connected components over shared bands. One is
-    verified whole, in blocks of about ``block`` classes, each block against
-    each; where its buckets together would send fewer rows than that, they are
-    verified bucket by bucket instead. Bucket by bucket only pairs that share a
-    band are found (of those at 0.8, all but 7 in 100,000 by default); a whole
-    component also gives its pairs that share none, so its n_links is exact
-    within the component. Pairs across components are never compared. Which way
-    is taken depends on the sizes, so n_links may differ by such pairs.
+    A link also shares one of the bands (of pairs at 0.8, all but 7 in 100,000
+    by default). Candidate classes are the connected components over shared
+    bands. One is verified whole, in blocks of about ``block`` classes, each
+    block against each; where its buckets together would send fewer rows than
+    that, they are verified bucket by bucket instead. Both ways give the same
+    links, so results don't depend on sizes.
     """
     bands, rows = choose_bands(float(threshold), recall)
     sketched = sketch_texts(docs.select(F.col(id_).cast("long").alias("id"), F.col(text).alias("text")), bands, rows, n=n)
@@ -267,7 +266,7 @@ def near_classes(docs: DataFrame, *, id_: str = "doc_id", text: str = "text", n:
     plan = settle(large, "large")
     routed = of.join(plan, "component", "left")
     whole = routed.where("not coalesce(bucketwise, false)").select(
-        "cls", "size", F.lit(None).cast("int").alias("band"), F.lit(None).cast("array<bigint>").alias("bands"), F.col("component").alias("grp"), F.coalesce("blocks", F.lit(1)).alias("blocks")
+        "cls", "size", F.lit(None).cast("int").alias("band"), "bands", F.col("component").alias("grp"), F.coalesce("blocks", F.lit(1)).alias("blocks")
     )
     members = whole
     if not plan.where("bucketwise").isEmpty():

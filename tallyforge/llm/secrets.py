@@ -9,6 +9,7 @@ whether a pattern has found it or not.
 from __future__ import annotations
 
 import functools
+import json
 import math
 import re
 import unicodedata
@@ -210,8 +211,25 @@ def find_secrets(text: str, threshold: float = THRESHOLD, dictionary: Dictionary
 _LONE = re.compile(r"(?<!\w)[^\W\d_]{3,24}(?!\w)")
 
 
+def vocabulary_words(path: str, *, least: int = 4) -> list[str]:
+    """The whole words of a tokenizer's vocabulary (.json with word ends), those of the earliest merges first.
+
+    A dictionary that is the same for every table: merges are learnt by
+    frequency, so ids rank the words. Only words of ``least`` and more letters
+    a-z count, since short ones are mostly endings; FREQUENT comes first. The
+    file bounds the list.
+    """
+    with open(path, encoding="utf-8") as f:
+        ids = json.load(f)["model"]["vocab"]
+    end = "</w>"
+    words = sorted((i, w.removesuffix(end)) for w, i in ids.items() if w.endswith(end))
+    return list(dict.fromkeys([*FREQUENT, *(w for _, w in words if len(w) >= least and w.isascii() and w.isalpha())]))
+
+
 def ranked_words(docs: DataFrame, *, text: str = "text", most: int = WORDS, least: int = SEEN, share: float = SHARE) -> list[str]:
-    """The words that most documents hold, commonest first: a dictionary for guess costs.
+    """The words that most documents hold, commonest first: a dictionary for guess costs of a corpus in other words.
+
+    It depends on the table, so learn it once and pass the same list from then on.
 
     Words are lone runs of 3 to 24 letters, in lower case; values in a
     credential context teach nothing. All documents are counted, each once a
@@ -250,8 +268,9 @@ def scan_secrets(docs: DataFrame, *, text: str = "text", into: str = "secrets",
     Kinds: assign, access and hex by pattern, leftmost and non-overlapping per
     kind; guess for values in a credential context that take at least
     10 ** ``threshold`` guesses, inside another span or not. ``words`` is a
-    dictionary, commonest first (as of ``ranked_words``; its bound is that of
-    the list); FREQUENT by default. Spans are in code points, by start and then
+    dictionary, commonest first: a given one (``vocabulary_words``), or one
+    that ``ranked_words`` has learnt from a corpus once and that is then kept;
+    FREQUENT by default. Spans are in code points, by start and then
     kind. A null or empty text has none. Rows are judged each for itself.
     """
     held = docs.sparkSession.sparkContext.broadcast(FREQUENT if words is None else words)
@@ -272,9 +291,11 @@ def _listed(spans: Column) -> Column:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document with the secrets of its whole text; the dictionary is learnt from all documents."""
+    """One row per document with the secrets of its whole text; the dictionary is a public vocabulary, so no row's verdict depends on others."""
+    import public_tokenizers
+
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    docs = scan_secrets(docs, words=ranked_words(docs))
+    docs = scan_secrets(docs, words=vocabulary_words(public_tokenizers.path("word_bpe_49k.json")))
     count = lambda kind: F.size(F.filter("secrets", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
     return docs.select(
         "doc_id",

@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -35,6 +36,8 @@ HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 SPLIT, MOST = 4 << 20, 20_000
 #: Bytes that are read to parse headers.
 PEEK = 2048
+#: Bytes that are passed before they are let go, and that a member is inflated by in one step.
+KEPT = 1 << 20
 MANIFEST = "_manifest-"
 
 
@@ -253,55 +256,75 @@ def _parsed(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, colon, v in (x.partition(":") for x in lines[1:]) if colon}
 
 
+_BLANK = re.compile(rb"[\r\n]*")
+
+
 class _Plain:
-    """The records of an archive that isn't compressed, from front to back; what is dropped isn't read."""
+    """The records of an archive that isn't compressed, from front to back; what is dropped isn't read.
+
+    ``data`` holds what is read ahead, ``place`` where in it the next byte is:
+    passing a record moves the place, and the front goes only now and then, so
+    that time is linear in the records.
+    """
 
     def __init__(self, f: pa.NativeFile, at: int, end: int):
-        self.f, self.at, self.last, self.data = f, at, end, b""
+        self.f, self.at, self.last, self.data, self.place = f, at, end, bytearray(), 0
+
+    def held(self) -> int:
+        return len(self.data) - self.place
 
     def more(self, size: int) -> bool:
         """Read on; false at the end."""
-        self.f.seek(self.at + len(self.data))
-        raw = self.f.read(max(0, min(size, self.last - self.at - len(self.data))))
+        at = self.at + self.held()
+        self.f.seek(at)
+        raw = self.f.read(max(0, min(size, self.last - at)))
         self.data += raw
         return bool(raw)
 
     def head(self) -> bytes | None:
         """The next record's headers, or None if there is no further one."""
+        seen = 0
         while True:
-            blank = len(self.data) - len(self.data.lstrip(b"\r\n"))
-            self.drop(blank)
-            if self.data[:2] == b"\x1f\x8b":
+            if not seen:
+                self._pass(_BLANK.match(self.data, self.place).end() - self.place)
+            if self.data.startswith(b"\x1f\x8b", self.place):
                 return None  # a compressed part follows
-            if (end := self.data.find(b"\r\n\r\n")) >= 0:
-                return self.take(end + 4)[:-4]
+            if (end := self.data.find(b"\r\n\r\n", self.place + max(0, seen - 3))) >= 0:
+                return self.take(end + 4 - self.place)[:-4]
+            seen = self.held()
             if not self.more(PEEK):
-                if self.data:
+                if self.held():
                     raise ValueError(f"headers at byte {self.at} have no end")
                 return None
 
     def take(self, size: int) -> bytes:
-        while len(self.data) < size and self.more(size - len(self.data)):
+        while self.held() < size and self.more(size - self.held()):
             pass
-        if len(self.data) < size:
+        if self.held() < size:
             raise ValueError(f"the record at byte {self.at} is cut off")
-        out = self.data[:size]
-        self.drop(size)
+        out = bytes(memoryview(self.data)[self.place : self.place + size])
+        self._pass(size)
         return out
 
-    def drop(self, size: int) -> None:
-        self.at, self.data = self.at + size, self.data[size:]
+    def _pass(self, size: int) -> None:
+        """Go on by ``size`` bytes, which may lie beyond what is held."""
+        self.at, self.place = self.at + size, self.place + size
+        if self.place >= len(self.data):
+            self.data, self.place = bytearray(), 0
+        elif self.place > max(KEPT, len(self.data) // 2):
+            del self.data[: self.place]
+            self.place = 0
 
     def skip(self, size: int) -> None:
         """Pass a payload."""
-        self.drop(size)
+        self._pass(size)
 
     def end(self) -> int:
         return self.at
 
 
 class _Member(_Plain):
-    """The records of one gzip member.
+    """The records of one gzip member, inflated at most KEPT bytes a step.
 
     A skip length tells where the member ends and how long its content is, so
     that the last record's payload need not be unpacked to pass it.
@@ -311,43 +334,45 @@ class _Member(_Plain):
         super().__init__(f, 0, 0)
         self.begin, self.raw, self.size, self.content = at, 0, None, None
         self.unpack = zlib.decompressobj(31)
-        self.need(f, 0, PEEK)
-
-    def need(self, f: pa.NativeFile, place: int, size: int) -> bool:
-        f.seek(self.begin + place)
-        raw = f.read(size)
-        if place == 0 and len(raw) > 24 and raw[3] & 4 and raw[12:14] == b"sl":
-            self.size, self.content = struct.unpack("<II", raw[16:24])
-        self.raw += len(raw)
-        self.data += self.unpack.decompress(raw)
-        return bool(raw)
+        self.need(PEEK, PEEK)
+
+    def need(self, size: int, inflated: int) -> bool:
+        """Inflate so many bytes at most, of what is left of the last read or of ``size`` more."""
+        raw = self.unpack.unconsumed_tail
+        if not raw:
+            self.f.seek(self.begin + self.raw)
+            raw = self.f.read(size)
+            if self.raw == 0 and len(raw) > 24 and raw[3] & 4 and raw[12:14] == b"sl":
+                self.size, self.content = struct.unpack("<II", raw[16:24])
+            self.raw += len(raw)
+        before = len(self.data)
+        self.data += self.unpack.decompress(raw, inflated)  # may still have some to give when all is read
+        return bool(raw) or len(self.data) > before
 
     def more(self, size: int) -> bool:
-        if self.content is not None and self.at >= self.content or self.unpack.eof:
+        if self.content is not None and self.at + self.held() >= self.content or self.unpack.eof:
             return False
-        if not self.need(self.f, self.raw, max(size // 2, PEEK)):
+        if not self.need(min(max(size // 2, PEEK), KEPT), min(max(size, PEEK), KEPT)):
             raise ValueError(f"the gzip member at byte {self.begin} is cut off")
         return True
 
     def skip(self, size: int) -> None:
         if self.content is not None and self.at + size <= self.content <= self.at + size + 4:
-            self.at, self.data = self.content, b""  # nothing but blank lines follows
-        else:
-            self.drop(size)
-
-    def drop(self, size: int) -> None:
-        while size > len(self.data):
-            self.at, size, self.data = self.at + len(self.data), size - len(self.data), b""
-            if not self.more(1 << 20):
+            self._pass(self.content - self.at)  # nothing but blank lines follows
+            return
+        while size > self.held():
+            size -= self.held()
+            self._pass(self.held())
+            if not self.more(size):
                 raise ValueError(f"a record of the gzip member at byte {self.begin} is cut off")
-        super().drop(size)
+        self._pass(size)
 
     def end(self) -> int:
         if self.size is not None:
             return self.begin + self.size
         while not self.unpack.eof:
-            self.data = b""
-            self.more(1 << 20)
+            self._pass(self.held())
+            self.more(KEPT)
         return self.begin + self.raw - len(self.unpack.unused_data)
 
 

@@ -176,6 +176,10 @@ def test_secret_query(spark):
     assert secrets.ranked_words(spark.read.parquet(f"{sf}/documents.parquet")) == words
     assert secrets.ranked_words(spark.createDataFrame([(None,), ("",)], "text string"), least=1) == []
     assert secrets.ranked_words(spark.createDataFrame([("one two",), ("two",), ("two",)], "text string"), least=1, share=0.5) == ["two"]
+    import public_tokenizers
+
+    words = secrets.vocabulary_words(public_tokenizers.path("word_bpe_49k.json"))
+    assert words[: len(secrets.FREQUENT)] == list(dict.fromkeys(secrets.FREQUENT)) and len(words) == len(set(words)) > 20_000 and "influence" in words and all(w.isascii() for w in words)
     told = {r.doc_id: r for r in secrets.op3_secret_scan(spark, sf).collect()}
     assert len(told) == len(table)
     for r in table:
