@@ -152,12 +152,14 @@ def find_passages(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     """``docs`` with an array ``into`` of (start, end, license, dice): notices inside a line, and licences wrapped over several.
 
     The windows of a template of n bigrams are all runs of the text's words,
-    over any lines, of at most n (2 - t) / t word pairs, repeats counted. Each
-    template keeps its best window that reaches the threshold t, of equal ones
-    the first and then the shortest. It counts unless another template is as
-    good a match for the same words and better or first by name, or the window
-    overlaps one that is better in this order. Places are words of the text,
-    from 0, end exclusive; passages are by place.
+    over any lines, of at most n (2 - t) / t word pairs, repeats counted. Of
+    those that begin at one word the best counts if it reaches the threshold t,
+    of equal ones the shortest; of these that end at one word, the best, of
+    equal ones the first. Such a window is dropped if another template is as
+    good a match for the same words and better or first by name, or if it
+    overlaps one that is better (by Dice, name, template and place) and stays.
+    So every occurrence of a licence is found, repeated ones too. Places are
+    words of the text, from 0, end exclusive; passages are by place.
 
     A best window begins and ends with a bigram of its template, so others are
     never looked at; and only from bigrams that are followed by enough others
@@ -198,11 +200,13 @@ def find_passages(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
         return F.aggregate(F.transform(part, lambda g, k: F.struct(g.alias("g"), k.alias("k"))), F.struct(F.lit(0).alias("d"), F.lit(0).alias("h"), none.alias("top")), step, lambda a: a.top)
 
     def best(grams: Column, hits: Column, t: Column) -> Column:
-        """The best window of a template, or null."""
+        """The windows of a template that reach the threshold: the best from each start, and of these the best to each end."""
         own = F.transform(F.filter(hits, lambda x: F.array_contains(t.grams, x.g)), lambda x: x.k)
         near = lambda at: F.filter(at, lambda k, i: F.coalesce(F.get(at, i + t.least - 1) - k < t.reach, F.lit(False)))
-        top = F.array_min(F.transform(let(own, near), lambda k: window(grams, t, k)))
-        return F.struct(top["less"].alias("less"), t["name"].alias("name"), t.i.alias("i"), top.start.alias("start"), top["size"].alias("size"))
+        tops = F.filter(F.transform(let(own, near), lambda k: window(grams, t, k)), lambda m: m["less"] <= -threshold + 1e-12)
+        ends = F.array_sort(F.transform(tops, lambda m: F.struct((m.start + m["size"]).alias("end"), m["less"].alias("less"), m.start.alias("start"), m["size"].alias("size"))))
+        first = lambda held: F.filter(held, lambda m, i: F.coalesce(F.get(held, i - 1).end != m.end, F.lit(True)))
+        return F.transform(let(ends, first), lambda m: F.struct(m["less"].alias("less"), t["name"].alias("name"), t.i.alias("i"), m.start.alias("start"), m["size"].alias("size")))
 
     def first_of(grams: Column, m: Column) -> Column:
         """Whether no other template is a better match for a window's words, or as good and first by name."""
@@ -212,8 +216,7 @@ def find_passages(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
 
     def passages(grams: Column) -> Column:
         placed = F.transform(grams, lambda g, k: F.struct(g.alias("g"), k.alias("k")))
-        found = let(F.filter(placed, lambda x: x.g.isin(inside)), lambda hits: F.transform(every, lambda t: best(grams, hits, t)))
-        found = F.filter(found, lambda m: F.coalesce(m.less <= -threshold + 1e-12, F.lit(False)))
+        found = let(F.filter(placed, lambda x: x.g.isin(inside)), lambda hits: F.flatten(F.transform(every, lambda t: best(grams, hits, t))))
         found = F.filter(F.array_sort(found), lambda m: first_of(grams, m))
         apart = lambda a, b: (a.start >= b.start + b["size"]) | (b.start >= a.start + a["size"])
         kept = F.aggregate(found, F.filter(found, lambda m: F.lit(False)), lambda a, m: F.when(F.forall(a, lambda o: apart(o, m)), F.array_append(a, m)).otherwise(a))
@@ -262,7 +265,8 @@ p AS (SELECT doc_id, unnest(words) AS gram, unnest(range(0, len(words))) AS pos
 h AS (SELECT doc_id, i, n, reach, least, pos, row_number() OVER (PARTITION BY doc_id, i ORDER BY pos) AS rn FROM p JOIN (SELECT i, n, reach, least, unnest(grams) AS gram FROM r) USING (gram)),
 win AS (SELECT a.doc_id, a.i, a.pos AS lo, b.pos - a.pos + 1 AS size FROM h a JOIN h b ON a.doc_id = b.doc_id AND a.i = b.i AND b.pos BETWEEN a.pos AND a.pos + a.reach - 1 AND b.rn - a.rn + 1 >= a.least),
 s AS (SELECT win.doc_id, win.i, r.name, lo, size, list_distinct(words[lo + 1:lo + size]) AS part, 2.0 * len(list_intersect(part, grams)) / (len(part) + n) AS dice FROM win JOIN g USING (doc_id) JOIN r USING (i)),
-b AS (SELECT * FROM s WHERE dice >= {THRESHOLD} - 1e-12 QUALIFY row_number() OVER (PARTITION BY doc_id, i ORDER BY dice DESC, lo, size) = 1),
+o AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, i, lo ORDER BY dice DESC, size) = 1),
+b AS (SELECT * FROM o WHERE dice >= {THRESHOLD} - 1e-12 QUALIFY row_number() OVER (PARTITION BY doc_id, i, lo + size ORDER BY dice DESC, lo) = 1),
 f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, name, i, lo, size) AS k FROM b WHERE name = (SELECT arg_min(r.name, (-2.0 * len(list_intersect(b.part, r.grams)) / (len(b.part) + r.n), r.name)) FROM r)),
 c AS (
   SELECT doc_id, 0::BIGINT AS k, []::STRUCT(lo BIGINT, hi BIGINT, name VARCHAR, dice DOUBLE)[] AS kept FROM documents

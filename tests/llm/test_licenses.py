@@ -55,11 +55,15 @@ def brute_passages(text, templates=TEMPLATES, threshold=0.8):
     found = []
     for name, g in known:
         most = int(len(g) * (2 - threshold) / threshold + 1e-9)
-        best = min(((-dice(set(grams[i:j]), g), i, j - i) for i in range(len(grams)) for j in range(i + 1, min(i + most, len(grams)) + 1)), default=None)
-        if best and -best[0] >= threshold - 1e-12:
-            part = set(grams[best[1] : best[1] + best[2]])
+        ends = {}
+        for i in range(len(grams)):
+            d, size = min(((-dice(set(grams[i:j]), g), j - i) for j in range(i + 1, min(i + most, len(grams)) + 1)))
+            if -d >= threshold - 1e-12:
+                ends[i + size] = min(ends.get(i + size, (d, i, size)), (d, i, size))
+        for d, i, size in ends.values():
+            part = set(grams[i : i + size])
             if min((-dice(part, o), n) for n, o in known)[1] == name:
-                found.append((best[0], name, best[1], best[2]))
+                found.append((d, name, i, size))
     kept = []
     for d, name, i, n in sorted(found):
         if all(i >= k + m or k >= i + n for _, _, k, m in kept):
@@ -75,13 +79,14 @@ def test_passages(spark):
         None, "", "x", f"{filler}\n\n{wrapped}\n\n{filler}", "Copyright 2024 Acme Corp. All rights reserved.", "This software is licensed under the MIT License. See LICENSE for details. It was released under the MIT license in May.",
         "A tool. This work is licensed under the GNU General Public License,\nversion 3. The data: licensed under CC BY-NC 4.0. Enjoy.", "See it, licensed under the Apache\nLicense, Version 2.0, and all\nrights reserved otherwise",
         f"{filler} {mit.replace('sell', 'very much sale').replace('Software', 'work', 2)} {filler}", "under cc by 4.0, under cc by", "work is licensed under the gnu general public license, version. " * 2 + "This work is licensed under the GNU General Public License, version 2",
-        "all rights reserved " * 9, mit[: len(mit) // 2] + filler, filler * 3,
+        "all rights reserved " * 9, f"Released under the MIT License. {filler}{filler} Released under the MIT License. {filler} released under THE MIT license", f"{mit} {filler} {wrapped}", mit[: len(mit) // 2] + filler, filler * 3,
     ]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r for r in find_passages(docs, TEMPLATES[:11]).collect()}
     for i, t in enumerate(texts):
         assert [(m.start, m.end, m.license, round(m.dice, 9)) for m in got[i].passages] == brute_passages(t, TEMPLATES[:11]), t
     assert [m.license for m in got[3].passages] == ["MIT"] and got[3].passages[0].dice == 1.0
+    assert len(got[11].passages) == 9 and [m.license for m in got[12].passages] == ["MIT"] * 3 and [(m.license, m.dice) for m in got[13].passages] == [("MIT", 1.0)] * 2
     assert [m.license for m in got[4].passages] == ["all-rights-reserved"] and [m.license for m in got[6].passages] == ["GPL-3.0", "CC-BY-NC-4.0"]
     assert find_passages(docs, []).where("size(passages) > 0").count() == 0
 
@@ -113,7 +118,7 @@ def test_queries_equal_their_sql(spark, tmp_path, query):
     mit = TEMPLATES[9][1]
     filler = "some words about the use of a tool and the people of a town " * 12
     texts = [
-        None, "", "Under CC BY 4.0.", f"x\n{re.sub('((?:[^ ]+ ){9})', chr(92) + '1' + chr(10), mit)}\n{filler}", "Licensed under the Apache License,\nVersion 2.0.", "A tool. Released under the MIT License. " + filler, "all rights reserved\nAll rights reserved\nx",
+        None, "", "Under CC BY 4.0.", f"x\n{re.sub('((?:[^ ]+ ){9})', chr(92) + '1' + chr(10), mit)}\n{filler}", "Licensed under the Apache License,\nVersion 2.0.", "A tool. Released under the MIT License. " + filler + " released under the MIT license, all rights reserved, all rights reserved", "all rights reserved\nAll rights reserved\nx",
         "licensed under cc by nc 4.0 and all rights reserved, released under the mit license", "work is licensed under the gnu general public license, version 2, licensed under the gnu general public license, version 3", *(t for _, t in TEMPLATES), filler,
     ]
     pq.write_table(pa.table({"doc_id": range(len(texts)), "text": texts}), tmp_path / "documents.parquet")
