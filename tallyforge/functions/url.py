@@ -90,10 +90,15 @@ def param(url: Column, key: str, any_case: bool = False) -> Column:
     return F.get(found, F.lit(0)).v
 
 
-def param_int(url: Column, key: str) -> Column:
-    """The first value of a query key as a number, where it has only digits."""
+def param_digits(url: Column, key: str) -> Column:
+    """The first value of a query key where it has only digits, of any length, without leading zeros."""
     v = F.trim(param(url, key))
-    return F.when(v.rlike(r"^\d{1,18}$"), F.try_to_number(v, F.lit("9" * 18)).cast("long"))
+    return F.when(v.rlike(r"^\d+$"), F.regexp_replace(v, r"^0+(?=\d)", ""))
+
+
+def param_int(url: Column, key: str) -> Column:
+    """The first value of a query key as a number, where it has only digits; null beyond a long (see ``param_digits``)."""
+    return param_digits(url, key).try_cast("long")
 
 
 def first_param_int(url: Column, keys: list[str]) -> Column:
