@@ -95,6 +95,11 @@ NON_PRODUCT_FRAGMENTS = [
 SECOND_LEVEL = ["co", "com", "net", "org", "gov", "edu"]
 ENTRY_PATHS = ["/cart.php", "/index.php?rp=/store", "/store", "/cart", "/index.php?/cart/", "/products", "/billing/cart.php", "/billing/index.php?rp=/store", "/billing/store"]
 CLIENT_ENTRY_PATHS = ["/clients/cart.php", "/clients/index.php?rp=/store", "/clients/store"]
+WHMCS_ENTRIES = ["/cart.php", "/index.php?rp=/store", "/store"]
+#: Parts of addresses that list nothing, parts of click handlers that lead to listings, and of listings that end in .php.
+NO_LISTING_PARTS = ["a=view", "/knowledgebase", "rp=/knowledgebase", "/login", "clientarea.php", "register", "/clientarea/", "/affiliates/", "/tickets/", "/chat/", "/userapi/", "/status/", "/signup/", "action=passreminder"]
+CLICK_HINTS = ["cart", "store", "products", "pricing", "gid=", "fid=", "cat_id="]
+PHP_LISTING_PARTS = ["vps", "server", "cloud", "resources", "vds"]
 HOSTBILL_URL_MARKERS = ["index.php?/cart/", "?/cart/", "action=add&id=", "cat_id=", "fid="]
 WHMCS_URL_MARKERS = ["cart.php", "rp=/store", "a=add&pid=", "gid="]
 HOSTBILL_PAGE_MARKERS = ["index.php?/cart/", "?/cart/", "action=add&id=", "cat_id=", 'name="id"', "name='id'", "/cart/&step="]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import url
-from ..operators import hidden
+from ..operators import discover, hidden
 from ..tables import settled
 from .catalogue import table
 
@@ -138,3 +138,115 @@ def hidden_ids(spark, sf, batch: int = 16):
     found = hidden.scan_hidden_ids(scans, hidden.captured(settled(shop_answers(spark, sf))), existing, limits=LIMITS, batch=batch, settle=settled)
     log = found.probes.select("domain", "phase", "kind", "id", "evidence", "duplicate", F.col("added").cast("bigint"), F.col("candidates").cast("bigint"))
     return log.join(found.stops, ["domain", "kind"]).withColumn("reason", F.when(F.col("phase").isin(2, 5), F.col("reason")))
+
+
+# --- links -------------------------------------------------------------------
+
+#: (href, what it leads to on site {s} or null, score): addresses of all kinds.
+LINK_KINDS = [
+    ("/store/vps", "https://{s}/store/vps", 2), ("/store/vps/plan-{k}", None, 0), ("cart.php?gid={k}", "https://{s}/cart.php?gid={k}", 2), ("https://{s}/index.php?rp=/store/kvm", "https://{s}/index.php?rp=/store/kvm", 2), ("/index.php?rp=/store/kvm/p{k}", None, 0),
+    ("index.php?/cart/nodes/", "https://{s}/index.php?/cart/nodes/", 2), ("/index.php?/cart/nodes/kvm/a{k}/b", None, 0), ("/cart/shared", "https://{s}/cart/shared", 2), ("/cart?fid={k}", "https://{s}/cart?fid={k}", 0), ("/cart", None, 0),
+    ("products/cloud", "https://{s}/products/cloud", 2), ("/products/cloud/one", None, 0), ("/cart.php", "https://{s}/cart.php", 1), ("/cart.php?a=view", None, 0), ("/pricing", "https://{s}/pricing", 1), ("/pages/pricing?x={k}", "https://{s}/pages/pricing?x={k}", 1),
+    ("//{s}/store/ssd", "https://{s}/store/ssd", 2), ("https://other.test/store/vps", None, 0), ("#top", None, 0), ("javascript:void(0)", None, 0), ("mailto:x@y.test", None, 0), ("/login?to=/store/vps", None, 0), ("/About", None, 0), ("cloud-vps.php", None, 0), ("/store/vps", "https://{s}/store/vps", 2),
+]
+CLICKS = [("location.href='/products/metal'", "https://{s}/products/metal", 2), ("go('x', \"cart.php?gid=9{k}\")", "https://{s}/cart.php?gid=9{k}", 2), ("go('about us')", None, 0)]
+
+
+def _kinds_sql() -> str:
+    told = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+    return ", ".join(f"({i}, {told(link)}, {score})" for i, (_, link, score) in enumerate([*LINK_KINDS, *CLICKS]))
+
+
+@query(f"""WITH k(i, link, score) AS (VALUES {_kinds_sql()}), p AS (SELECT page_id, 's' || (page_id % 9) || '.test' AS s FROM pages),
+l AS (SELECT page_id, replace(replace(link, '{{s}}', s), '{{k}}', page_id::VARCHAR) AS link, score, i FROM p JOIN k ON (i + page_id) % 4 < 2 WHERE page_id % 11 <> 5 AND link IS NOT NULL
+  UNION ALL SELECT page_id, 'https://' || s || x.link, CASE WHEN x.i = 2 THEN 0 WHEN x.i = 1 THEN 2 ELSE 1 END, 1000 + x.i FROM p, (VALUES (0, '/cart.php'), (1, '/index.php?rp=/store'), (2, '/store')) x(i, link) WHERE page_id % 22 = 5),
+d AS (SELECT page_id, link, any_value(score) AS score, min(i) AS i FROM l GROUP BY 1, 2)
+SELECT page_id, link, score::INTEGER AS score, (row_number() OVER (PARTITION BY page_id ORDER BY score DESC, i))::INTEGER AS place FROM d QUALIFY place <= 8""")
+def candidate_links(spark, sf):
+    """The eight best listings that each page links to, by anchors and click handlers of 28 kinds; some pages have none but those of their platform."""
+    c = F.col
+    k, s = c("page_id").cast("string"), F.concat(F.lit("s"), (c("page_id") % 9).cast("string"), F.lit(".test"))
+    tag = lambda i, a: F.when(((F.lit(i) + c("page_id")) % 4 < 2) & (c("page_id") % 11 != 5), F.replace(F.replace(F.lit(a), F.lit("{s}"), s), F.lit("{k}"), k)).otherwise("")
+    tags = [tag(i, f'<a href="{h}">x</a>') for i, (h, _, _) in enumerate(LINK_KINDS)]
+    clicks = [tag(len(LINK_KINDS) + i, f"<button onclick='{h}'>x</button>" if '"' in h and "'" not in h else '<button onclick="' + h.replace('"', "&quot;") + '">x</button>') for i, (h, _, _) in enumerate(CLICKS)]
+    pages = table(spark, sf, "pages").withColumn("text", F.concat(F.coalesce("html", F.lit("")), *clicks, *tags, F.when(c("page_id") % 22 == 5, "<p>Powered by WHMCS</p>").otherwise("")))
+    pages = pages.select("page_id", F.concat(F.lit("https://"), s, F.lit("/x/"), k, F.lit(".html")).alias("url"), "text")
+    found = discover.candidate_pages(pages, most=8)
+    return found.select(F.regexp_extract("url", r"/x/(\d+)\.html", 1).cast("bigint").alias("page_id"), "link", "score", "place")
+
+
+# --- crawls ------------------------------------------------------------------
+
+CRAWL_SITE = 30
+_CRAWL_SQL = f"""
+WITH RECURSIVE p AS (
+  SELECT page_id // {CRAWL_SITE} AS t, page_id % {CRAWL_SITE} AS n, (page_id % {CRAWL_SITE} * 7 + page_id // {CRAWL_SITE}) % 5 <> 0 AS ok FROM pages
+), a AS (
+  SELECT *, list_filter(CASE WHEN n % 2 = 1 THEN [2 * n + 2, 2 * n + 1, n // 2] ELSE [2 * n + 1, 2 * n + 2] END, lambda x: x < 34) AS links, [n // 2, n % 3 + 20, n // 2] AS products FROM p
+), st AS (
+  SELECT DISTINCT t, [2, 1, 3]::BIGINT[] AS queue, 1::BIGINT AS pos, [0, 2, 1, 3]::BIGINT[] AS seen, [0, 7]::BIGINT[] AS known, 0::BIGINT AS es, 0::BIGINT AS ns, 0::BIGINT AS pages, 0::BIGINT AS errors, 0::BIGINT AS new_pages, NULL::VARCHAR AS reason, NULL::BIGINT AS n, NULL::BOOLEAN AS ok, 0::BIGINT AS fresh FROM p
+  UNION ALL
+  SELECT t, queue || more, pos + 1, seen || more, known || news, e1, s1, pages + go::BIGINT, errors + (go AND NOT good)::BIGINT, new_pages + len(more),
+    CASE WHEN NOT go THEN CASE WHEN pos > len(queue) THEN 'queue_exhausted' ELSE 'max_pages' END
+      WHEN NOT good THEN CASE WHEN stop_errors > 0 AND e1 >= stop_errors AND here % 4 = 0 AND (strict OR pos >= len(queue)) THEN 'fetch_error_streak' END
+      WHEN len(known) + len(news) >= max_products THEN 'max_products' WHEN stop_no_new > 0 AND s1 >= stop_no_new AND here % 4 = 0 THEN 'no_new_pages_streak' END,
+    CASE WHEN go THEN here END, CASE WHEN go THEN good END, len(news)
+  FROM (
+    SELECT *, CASE WHEN NOT go THEN es WHEN good THEN 0 ELSE es + 1 END AS e1, CASE WHEN NOT go OR NOT good THEN ns WHEN len(news) > 0 THEN 0 ELSE ns + 1 END AS s1 FROM (
+      SELECT b.*, coalesce(a.ok, false) AS good, CASE WHEN go AND coalesce(a.ok, false) THEN list_filter(a.links, lambda x: NOT list_contains(seen, x)) ELSE []::BIGINT[] END AS more,
+        CASE WHEN go AND coalesce(a.ok, false) THEN list_distinct(list_filter(a.products, lambda x: NOT list_contains(known, x))) ELSE []::BIGINT[] END AS news
+      FROM (
+        SELECT st.* EXCLUDE (reason, n, ok, fresh), queue[pos] AS here, pos <= len(queue) AND pages < max_pages AS go, max_pages, max_products, stop_no_new, stop_errors, strict
+        FROM st, LATERAL (SELECT ([12, 40, 6, 40])[t % 4 + 1] AS max_pages, CASE WHEN t % 3 = 0 THEN 9 ELSE 2000 END AS max_products, ([0, 3, 2])[t % 3 + 1] AS stop_no_new, ([2, 0, 2])[t % 3 + 1] AS stop_errors, t % 2 = 0 AS strict) WHERE reason IS NULL
+      ) b LEFT JOIN a ON a.t = b.t AND a.n = b.here
+    )
+  )
+), ends AS (SELECT t, pages, errors, len(known)::BIGINT AS found, new_pages, reason FROM st WHERE reason IS NOT NULL)"""
+
+
+def _crawl(spark, sf) -> discover.Crawl:
+    """Thirty pages a site: each links to two further ones and every second one back; some don't answer, and some addresses lead nowhere."""
+    c = F.col
+    p = table(spark, sf, "pages").select("html", F.floor(c("page_id") / CRAWL_SITE).alias("t"), (c("page_id") % CRAWL_SITE).alias("n"))
+    domain = F.concat(F.lit("crawl"), c("t").cast("string"), F.lit(".test"))
+    at = lambda n: F.concat(F.lit("https://"), domain, F.when(n % 4 == 0, F.lit("/cart.php?gid=")).otherwise("/store/c"), n.cast("string"))
+    n = c("n")
+    links = F.filter(F.when(n % 2 == 1, F.array(2 * n + 2, 2 * n + 1, F.floor(n / 2))).otherwise(F.array(2 * n + 1, 2 * n + 2)), lambda x: x < 34)
+    text = F.concat(F.coalesce("html", F.lit("")), F.array_join(F.transform(links, lambda x: F.concat(F.lit("<a href='"), at(x), F.lit("'>x</a>"))), ""))
+    stock = lambda i: F.when((n + i) % 3 == 0, True).when((n + i) % 3 == 1, False)
+    shown = F.array(*(F.struct(k.cast("string").alias("id"), stock(i).alias("available"), F.when((n + i) % 2 == 0, F.concat(F.lit("n"), n.cast("string"))).otherwise("").alias("name")) for i, k in enumerate((F.floor(n / 2), n % 3 + 20, F.floor(n / 2)))))
+    answers = settled(p.select(domain.alias("domain"), at(n).alias("url"), ((n * 7 + c("t")) % 5 != 0).alias("ok"), text.alias("text"), shown.alias("products")))
+
+    def source(wanted: DataFrame) -> DataFrame:
+        asked = answers.join(wanted, ["domain", "url"], "left_semi")
+        led = discover.candidate_pages(asked.where("ok")).groupBy("url").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "link"))), lambda x: x.link).alias("links"))
+        return asked.select("domain", "url", "ok", F.col("url").alias("final_url"), "products").join(led, "url", "left")
+
+    t = c("t")
+    sites = p.select("t").distinct()
+    pick = lambda values, k: F.get(F.array(*map(F.lit, values)), (t % k).cast("int"))
+    targets = sites.select(
+        domain.alias("domain"), at(F.lit(0)).alias("base_url"), F.array(at(F.lit(2)), at(F.lit(0)), at(F.lit(1)), at(F.lit(2)), at(F.lit(3))).alias("queue"), pick((12, 40, 6, 40), 4).alias("max_pages"), F.when(t % 3 == 0, 9).otherwise(2000).alias("max_products"),
+        pick((0, 3, 2), 3).alias("stop_no_new"), pick((2, 0, 2), 3).alias("stop_errors"), (t % 2 == 0).alias("strict"),
+    )
+    known = sites.select(domain.alias("domain"), F.explode(F.array(F.lit("0"), F.lit("7"))).alias("id"), F.lit(None).cast("boolean").alias("available"), F.lit("old").alias("name"))
+    return discover.budgeted_crawl(targets, source, known, settle=settled)
+
+
+@query(f"""{_CRAWL_SQL}
+SELECT 'crawl' || st.t || '.test' AS domain, st.pages AS place, 'https://crawl' || st.t || '.test' || CASE WHEN n % 4 = 0 THEN '/cart.php?gid=' ELSE '/store/c' END || n AS url, ok, fresh AS new, e.pages, e.errors, e.found, e.new_pages, e.reason
+FROM st JOIN ends e ON e.t = st.t WHERE n IS NOT NULL""")
+def crawl_budgets(spark, sf):
+    """Every visit of the sites' crawls, what they found, and why they stop."""
+    found = _crawl(spark, sf)
+    return found.visits.join(found.targets, "domain")
+
+
+@query(f"""{_CRAWL_SQL}, s AS (
+  SELECT st.t, st.pages AS place, i, ([st.n // 2, st.n % 3 + 20, st.n // 2])[i + 1] AS id, CASE (st.n + i) % 3 WHEN 0 THEN true WHEN 1 THEN false END AS available, CASE WHEN (st.n + i) % 2 = 0 THEN 'n' || st.n ELSE '' END AS name FROM st, range(3) r(i) WHERE ok
+  UNION ALL SELECT t, 0, -1, unnest([0, 7]), NULL, 'old' FROM ends
+)
+SELECT 'crawl' || t || '.test' AS domain, id::VARCHAR AS id, CASE WHEN bool_or(NOT available) THEN false WHEN bool_or(available) THEN true END AS available, arg_max(name, place * 10 + i) FILTER (name <> '') AS name FROM s GROUP BY t, id""")
+def crawl_products(spark, sf):
+    """The products of the visited pages, all sights of each in one row."""
+    return _crawl(spark, sf).products
