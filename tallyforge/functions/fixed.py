@@ -225,3 +225,13 @@ SPEC_PAIRS = r"(?U)([A-Za-z0-9\u4e00-\u9fff ]{1,24})\s*[:：]\s*([^:：]{1,40})(
 SPEC_LINE_CLASSES = ["cart-product-section"]
 #: Cards of a page, of one with so many characters or more, and links that are looked at.
 MOST_CARDS, MOST_CARDS_LARGE, LARGE_PAGE, MOST_CARD_LINKS, MOST_SPEC_LINES, MOST_PLAIN_LINES = 900, 400, 600_000, 300, 24, 8
+
+# --- listings by id, and tables of plans --------------------------------
+
+LISTING_ITEM, LISTING_BOX, LISTING_SOLD, LISTING_TITLE, LISTING_PRICE = "cart-products-item", "cart-products-box", "none-stock", "cart-products-title", "cart-products-price"
+#: Features: of the first class, entries of lists of the second, of the third class.
+LISTING_FEATURES = ["cart-products-feature", "cart-products-features", "product-feature"]
+PLAN_ROW, PLAN_LINK = "table-row", "/billing/store/"
+PLAN_CELLS = ["Disk", "CPU", "RAM", "Traffic", "Port", "OS"]
+PRICE_MARKS = ["$", "€", "£", "USD", "EUR", "GBP", "CNY", "HK$", "¥", "￥", "CN¥"]
+PLAN_BUTTONS = ["order", "buy", "buy now", "checkout", "select"]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import url
 from ..operators import discover, hidden
+from ..sources import listing
 from ..tables import settled
 from .catalogue import table
 
@@ -250,3 +251,66 @@ SELECT 'crawl' || t || '.test' AS domain, id::VARCHAR AS id, CASE WHEN bool_or(N
 def crawl_products(spark, sf):
     """The products of the visited pages, all sights of each in one row."""
     return _crawl(spark, sf).products
+
+
+# --- listings ----------------------------------------------------------------
+
+
+def _brand_pages(spark, sf, body, page: str = "/cart.php", wrap: str = "{}") -> DataFrame:
+    """Forty parts a page on the site of their brand: ``body`` of each, in order."""
+    c = F.col
+    p = table(spark, sf, "part").select("p_brand", F.floor(c("p_partkey") / 40).alias("nr"), "p_partkey", body.alias("item"))
+    p = p.groupBy("p_brand", "nr").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "item"))), lambda x: x["item"]), "\n").alias("body"))
+    site = F.concat(F.lit("https://"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("-"))), F.lit(".test"))
+    head, tail = wrap.split("{}")
+    return p.select(F.concat(site, F.lit(page)).alias("url"), c("nr").alias("seq"), F.concat(F.lit(head), c("body"), F.lit(tail)).alias("text"), F.lit(True).alias("ok"))
+
+
+def _filled(pattern: str, **values) -> F.Column:
+    out = F.lit(pattern)
+    for k, v in values.items():
+        out = F.replace(out, F.lit("{" + k + "}"), v.cast("string"))
+    return out
+
+
+def _item() -> F.Column:
+    c = F.col
+    sold = F.when(c("p_partkey") % 3 == 0, " none-stock").otherwise("")
+    features = F.when(c("p_partkey") % 4 == 0, F.lit("")).otherwise(_filled("<ul class='cart-products-features'><li>RAM: {s}GB</li><li>Port: {s}Mbps</li></ul>", s=c("p_size")))
+    item = F.concat(_filled("<div class='cart-products-item'><div class='cart-products-box{sold}' pid='{k}'><h4 class='cart-products-title'> LAX.{s}.{n} </h4><p class='cart-products-price'>$ {p} USD</p>", sold=sold, k=c("p_partkey"), s=c("p_size"), n=c("p_name"), p=F.format_string("%.2f", "p_retailprice")), features, F.lit("</div></div>"))
+    return F.when(c("p_partkey") % 7 == 0, F.replace(item, F.lit("pid='"), F.lit("pid='x"))).otherwise(item)
+
+
+@query("""SELECT 'brand-' || lower(split_part(p_brand, '#', 2)) || '.test' AS domain, p_partkey AS pid, 'brand-' || lower(split_part(p_brand, '#', 2)) || '.test::https://brand-' || lower(split_part(p_brand, '#', 2)) || '.test/cart.php?a=add&pid=' || p_partkey AS id,
+  'LAX.' || p_size || '.' || p_name AS name, printf('%.2f USD', p_retailprice) AS price, 'USD' AS currency, p_partkey % 3 <> 0 AS available, CASE WHEN p_partkey % 4 <> 0 THEN p_size || 'GB' END AS ram, CASE WHEN p_partkey % 4 <> 0 THEN p_size || 'Mbps' END AS port FROM part WHERE p_partkey % 7 <> 0""")
+def listing_map(spark, sf):
+    """Parts listed by id on their brand's page, read as a map and as product rows; every seventh has no id."""
+    pages = _brand_pages(spark, sf, _item())
+    found = settled(listing.listing_map(pages))
+    rows = listing.listing_products(found).select("id", F.col("specs").alias("own"), "domain", url.param_int(F.col("url"), "pid").alias("pid"))
+    spec = lambda k: F.try_element_at("specs", F.lit(k))
+    return found.join(rows, ["domain", "pid"]).select("domain", "pid", "id", "name", "price", "currency", "available", F.regexp_extract(spec("RAM"), r"\d+\s*GB", 0).alias("ram"), F.regexp_extract(spec("Port"), r"\d+\s*Mbps", 0).alias("port"))
+
+
+def _plan() -> F.Column:
+    """A row of a plan table: a dialog of two places, store links of its own, no store link, or too few cells."""
+    c = F.col
+    cells = _filled("<td> {n} </td><td>{s}0 GB SSD</td><td>{s} vCPU</td><td>{s} GB</td><td></td><td>{s} Gbps</td><td>$ {p} / mo</td>", n=c("p_name"), s=c("p_size"), p=F.format_string("%.2f", "p_retailprice"))
+    link = lambda place: _filled("<a href='/billing/store/x/{w}-{k}?utm_source=a'>{w}</a>", w=F.lit(place), k=c("p_partkey"))
+    dialog = F.concat(_filled("</tr></table><div id='m{k}'>", k=c("p_partkey")), link("Lyon"), F.lit("<a href='/help'>Help</a>"), link("Graz"), link("Graz"), F.lit("</div><table>"))
+    button = _filled("<td><button data-bs-target='#m{k}'>Order</button><a href='/billing/store/x/own-{k}'>Own</a></td>", k=c("p_partkey"))
+    own = _filled("<td><a href='billing/store/x/own-{k}'> Buy  now </a></td>", k=c("p_partkey"))
+    row = lambda inside: F.concat(F.lit("<tr class='a table-row'>"), inside)
+    shapes = [row(F.concat(cells, button, dialog)), row(F.concat(cells, own, F.lit("</tr>"))), row(F.concat(cells, F.lit("<td><a href='/about'>Order</a></td></tr>"))), row(F.concat(_filled("<td>{n}</td><td>x</td>", n=c("p_name")), own, F.lit("</tr>")))]
+    return F.get(F.array(*shapes), (c("p_partkey") % 4).cast("int"))
+
+
+@query("""WITH p AS (SELECT *, 'brand-' || split_part(p_brand, '#', 2) || '.test' AS domain FROM part WHERE p_partkey % 4 < 2), l AS (SELECT *, unnest(CASE p_partkey % 4 WHEN 0 THEN ['Lyon', 'Graz'] ELSE [NULL] END) AS location FROM p)
+SELECT domain || '::https://' || domain || '/billing/store/x/' || coalesce(location, 'own') || '-' || p_partkey AS id, domain, p_name || coalesce(' / ' || location, '') AS name, p_name AS variant_of, location, printf('%.2f USD', p_retailprice) AS price, NULL::BOOLEAN AS available,
+  'Disk=' || p_size || '0 GB SSD,CPU=' || p_size || ' vCPU,RAM=' || p_size || ' GB,Port=' || p_size || ' Gbps,OS=$ ' || printf('%.2f', p_retailprice) || ' / mo' || coalesce(',Location=' || location, '') AS specs FROM l""")
+def plan_table(spark, sf):
+    """Parts as rows of their brand's plan tables: a product per place of a row's dialog, or per store link of its own."""
+    pages = _brand_pages(spark, sf, _plan(), "/vps.php", "<html><body><table>{}</table></body></html>")
+    c = F.col
+    found = listing.plan_tables(pages, settle=settled)
+    return found.select("id", "domain", "name", "variant_of", "location", "price", "available", F.array_join(F.transform(F.map_entries("specs"), lambda e: F.concat(e.key, F.lit("="), e.value)), ",").alias("specs"))
