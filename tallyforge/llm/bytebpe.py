@@ -30,7 +30,7 @@ from .shared import table
 #: Log of the fewest bits that a word of the bitmap has: 2 ** (2 * WORD) ranks fit two levels of such words.
 WORD = 8
 #: Pre-tokens whose ids a worker keeps (some 200 bytes each; beyond that it forgets all and starts anew), and the longest of them.
-CACHE, LONGEST = 1_000_000, 64
+CACHE, LONGEST = 500_000, 64
 #: Pre-tokens of a text that are encoded at once.
 SLICE = 1 << 16
 
