@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import url
-from ..operators import discover, hidden
+from ..operators import discover, enrich, hidden
 from ..sources import listing
 from ..tables import settled
 from .catalogue import table
@@ -314,3 +314,63 @@ def plan_table(spark, sf):
     c = F.col
     found = listing.plan_tables(pages, settle=settled)
     return found.select("id", "domain", "name", "variant_of", "location", "price", "available", F.array_join(F.transform(F.map_entries("specs"), lambda e: F.concat(e.key, F.lit("="), e.value)), ",").alias("specs"))
+
+
+# --- enrichment --------------------------------------------------------------
+
+_STOCKS = ["<p>5 available</p>", "<p>Sold out</p>", "<p>nothing told</p>"]
+_ENRICH_MOST = 60
+
+
+def _rows_to_enrich(spark, sf) -> DataFrame:
+    """Parts as product rows, in pairs of one address: some lack stock, some a location, some a price; the page of every eleventh pair sells nothing."""
+    c = F.col
+    k = c("p_partkey")
+    pair = F.floor(k / 2)
+    domain = F.concat(F.lit("brand-"), F.split_part("p_brand", F.lit("#"), F.lit(2)), F.lit(".test"))
+    p = table(spark, sf, "part").withColumns({"domain": domain, "pair": pair})
+    return listing.typed(
+        p.select(
+            F.concat("domain", F.lit("::"), k.cast("string")).alias("id"), "domain", F.concat(F.lit("https://"), "domain", F.when(c("pair") % 11 == 0, F.lit("/cart?x=")).otherwise("/store/vps/p"), F.floor(c("pair") / 20).cast("string")).alias("url"), c("p_name").alias("name"),
+            F.when(k % 3 > 0, F.concat("p_size", F.lit(".00 USD"))).alias("price"), F.when(k % 4 == 0, True).when(k % 4 == 1, False).alias("available"), F.when(k % 5 == 0, "lyon").when(k % 5 == 1, "Oslo").alias("location"),
+            F.when(k % 2 == 0, F.array(F.lit("Yearly"))).alias("billing_cycles"), F.when(k % 2 == 0, F.create_map(F.lit("Yearly"), F.lit("90.00 USD"))).alias("cycle_prices"), k.alias("seq"),
+        )
+    )
+
+
+def _detail(wanted: DataFrame) -> DataFrame:
+    """A detail page for each wanted address, by its number: stock, cycles, locations; some don't answer."""
+    c = F.col
+    nr = F.regexp_extract("url", r"(\d+)$", 1).cast("bigint")
+    cycle = F.when(nr % 2 == 0, "<select name='cycle'><option value='m'>$9.00 Monthly</option></select>").otherwise("")
+    place = F.when(nr % 3 == 0, "<div class='form-group'><label>Location</label><select name='configoption[1]'><option>Lyon</option><option>Graz</option><option>Oslo - Out of Stock</option></select></div>").when(nr % 3 == 1, "<div class='form-group'><label>Location</label><select name='configoption[1]'><option>Bern</option></select></div>").otherwise("")
+    text = F.when(nr % 7 != 6, F.concat(F.get(F.array(*map(F.lit, _STOCKS)), (nr % 3).cast("int")), cycle, place))
+    return wanted.select("url", text.alias("text"))
+
+
+@query(f"""WITH r AS (
+  SELECT p_partkey AS k, 'brand-' || split_part(p_brand, '#', 2) || '.test' AS d, (p_partkey // 2) // 20 AS nr, 'https://' || d || CASE WHEN p_partkey // 2 % 11 = 0 THEN '/cart?x=' ELSE '/store/vps/p' END || nr AS url, p_name AS name, CASE WHEN p_partkey % 3 > 0 THEN p_size || '.00 USD' END AS price,
+    CASE p_partkey % 4 WHEN 0 THEN true WHEN 1 THEN false END AS av, CASE p_partkey % 5 WHEN 0 THEN 'lyon' WHEN 1 THEN 'Oslo' END AS loc, p_partkey % 2 = 0 AS yearly, CASE WHEN av IS NULL OR NOT av THEN 0 WHEN loc IS NULL THEN 2 END AS pr FROM part
+), w AS (
+  SELECT d, url, count(*) AS n, min(pr) AS pr, min(k) AS f FROM r WHERE pr IS NOT NULL GROUP BY d, url QUALIFY row_number() OVER (PARTITION BY d ORDER BY min(pr), min(k), url) <= {_ENRICH_MOST}
+), j AS (
+  SELECT r.*, w.n IS NOT NULL AND r.pr IS NOT NULL AND nr % 7 <> 6 AS seen, coalesce(w.n > 1 AND contains(r.url, '/cart?'), false) AS shared,
+    CASE WHEN NOT seen THEN av ELSE coalesce((nr % 3 = 0) OR (CASE WHEN nr % 3 = 1 THEN false END), av) END AS st, seen AND NOT shared AND nr % 2 = 0 AS monthly, CASE WHEN NOT seen OR shared THEN 9 ELSE nr % 3 END AS kind FROM r LEFT JOIN w ON w.d = r.d AND w.url = r.url
+), t AS (
+  SELECT *, CASE WHEN nr % 3 = 2 OR NOT seen THEN av WHEN nr % 3 = 0 THEN true ELSE false END AS st2,
+    CASE WHEN kind = 0 THEN coalesce(CASE loc WHEN 'lyon' THEN 'Lyon' WHEN 'Oslo' THEN 'Oslo' END, 'Lyon') WHEN kind = 1 THEN coalesce(loc, 'Bern') ELSE loc END AS place FROM j
+), b AS (
+  SELECT d || '::' || k AS id, url, name, CASE WHEN price IS NOT NULL OR NOT seen THEN price WHEN monthly THEN '9.00 USD' WHEN yearly THEN '90.00 USD' END AS price, CASE WHEN kind = 0 AND loc = 'Oslo' THEN false ELSE st2 END AS available, place AS location,
+    CASE WHEN seen THEN place END AS locations, CASE WHEN monthly THEN 'Monthly' WHEN yearly THEN 'Yearly' END AS cycles, concat_ws(',', CASE WHEN monthly THEN 'Monthly=9.00 USD' END, CASE WHEN yearly THEN 'Yearly=90.00 USD' END) AS prices, NULL AS variant_of FROM t
+  UNION ALL
+  SELECT d || '::' || k || '::loc-' || lower(x), url, name, price, CASE WHEN x = 'Oslo' THEN false ELSE st2 END, x, x, CASE WHEN monthly THEN 'Monthly' WHEN yearly THEN 'Yearly' END, concat_ws(',', CASE WHEN monthly THEN 'Monthly=9.00 USD' END, CASE WHEN yearly THEN 'Yearly=90.00 USD' END), name
+  FROM t, (SELECT unnest(['Graz', 'Oslo']) AS x) WHERE kind = 0 AND loc IS NULL
+)
+SELECT id, name, price, available, location, locations, CASE WHEN locations IS NOT NULL THEN locations || '=' || url END AS links, cycles, prices, variant_of FROM b""")
+def enriched_products(spark, sf):
+    """Product rows completed from the sixty detail pages of each domain that are worth most."""
+    c = F.col
+    rows = settled(_rows_to_enrich(spark, sf))
+    got = enrich.enrich_products(rows, _detail, _ENRICH_MOST, settle=settled, recheck_out=True)
+    pairs = lambda m: F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat(e.key, F.lit("="), e.value))), ",")
+    return got.select("id", "name", "price", "available", "location", F.array_join("locations", ",").alias("locations"), pairs("location_links").alias("links"), F.array_join("billing_cycles", ",").alias("cycles"), F.coalesce(pairs("cycle_prices"), F.lit("")).alias("prices"), "variant_of")

@@ -14,7 +14,7 @@ from ..functions.text import compact_ws, has_any
 from . import cards, html
 
 
-def _typed(products: DataFrame) -> DataFrame:
+def typed(products: DataFrame) -> DataFrame:
     """The columns of ``schemas.PRODUCT``; those that ``products`` lacks are null."""
     fields = [f.split(" ", 1) for f in schemas.PRODUCT.split(", ")]
     return products.select(*((F.col(n) if n in products.columns else F.lit(None)).cast(t).alias(n) for n, t in fields))
@@ -69,7 +69,7 @@ def listing_products(listing: DataFrame) -> DataFrame:
     """Product rows of a listing map: each id under its address in the cart."""
     c = F.col
     link = F.concat("root", F.lit("/cart.php?a=add&pid="), c("pid").cast("string"))
-    return _typed(listing.withColumns({"url": link, "id": F.concat("domain", F.lit("::"), url.normalize_for_id(link)), "is_special": text.special_offer(c("name"), link)}))
+    return typed(listing.withColumns({"url": link, "id": F.concat("domain", F.lit("::"), url.normalize_for_id(link)), "is_special": text.special_offer(c("name"), link)}))
 
 
 def with_listing(products: DataFrame, listed: DataFrame) -> DataFrame:
@@ -118,7 +118,7 @@ def plan_rows(pages: DataFrame, *, text_: str = "text") -> DataFrame:
     pairs = F.filter(F.concat(named, F.array(F.struct(F.lit("Location").alias("key"), c("place").alias("value")))), lambda p: F.coalesce(p["value"], F.lit("")) != "")
     rows = rows.withColumns({"name": F.concat_ws(" / ", "plan", "place"), "specs": F.map_from_entries(pairs), "id": F.concat("domain", F.lit("::"), url.normalize_for_id(c("url")))})
     first = rows.groupBy("page", "base", "id").agg(F.min_by(F.struct("domain", "url", "name", "price", "specs", "plan", "place", "row", "pos"), F.struct("row", "pos")).alias("r")).select("page", "id", "r.*")
-    return _typed(
+    return typed(
         first.select(
             "id", "domain", "url", "name", "price.price", "price.currency", F.when(F.size("specs") > 0, c("specs")).alias("specs"), c("plan").alias("variant_of"), c("place").alias("location"), text.special_offer(c("name"), c("url")).alias("is_special"),
             (c("page") * (1 << 27) + F.row_number().over(Window.partitionBy("page", "domain").orderBy("row", "pos")) - 1).alias("seq"),
@@ -139,4 +139,4 @@ def plan_tables(pages: DataFrame, *, text_: str = "text", settle=lambda df: df)
     rest = with_page.withColumn("domain", url.domain(F.col("url"))).join(told, ["domain", "_page"], "left_anti")
     table = F.lower(F.col(text_)).rlike(rf"<tr\b[^>]*\bclass\s*=[^>]*\b{fixed.PLAN_ROW}\b")
     leads = F.lower(url.path(F.col("url"))).endswith(".php") & ~F.contains(F.lower("url"), F.lit("/billing/"))
-    return found.unionByName(_typed(cards.card_products(rest.where(F.coalesce(table, F.lit(False)) | ~leads).drop("domain", "_page"), text_=text_)))
+    return found.unionByName(typed(cards.card_products(rest.where(F.coalesce(table, F.lit(False)) | ~leads).drop("domain", "_page"), text_=text_)))
