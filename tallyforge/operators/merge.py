@@ -31,6 +31,23 @@ def top_per_key(df: DataFrame, key: list[str], order: list[Column], n: int = 1)
     return df.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= n).drop("_place")
 
 
+def unite(products: DataFrame, *others: DataFrame) -> DataFrame:
+    """One row per id of several lists, later ones counting more: the last row's fields, out of stock if any list says so, and a name if any has one.
+
+    Lists are told apart by their place here, rows of a list by ``seq``. Rows of
+    one id combine before they are shuffled.
+    """
+    c = F.col
+    every = products.withColumn("_at", F.lit(0))
+    for i, other in enumerate(others, 1):
+        every = every.unionByName(other.withColumn("_at", F.lit(i)))
+    at = F.struct("_at", "seq")
+    named = F.when(F.coalesce("name", F.lit("")) != "", at)
+    per = every.groupBy("id").agg(F.max_by(F.struct(*products.columns), at).alias("r"), availability.any_out(c("available")).alias("stock"), F.max_by("name", named).alias("known"), F.min(at).alias("first"))
+    fresh = {"available": c("stock"), "name": F.coalesce(F.nullif("r.name", F.lit("")), c("known"), c("r.name")), "seq": F.when(c("first._at") == 0, c("first.seq")).otherwise(c("r.seq"))}
+    return per.select(*(fresh.get(x, c(f"r.{x}")).alias(x) for x in products.columns))
+
+
 def mode_per_key(df: DataFrame, key: list[str], value: str, seq: str = "seq") -> DataFrame:
     """The commonest value of each key; of equals the one seen first."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*key, value).agg(F.count("*").alias("_n"), F.min(seq).alias("_first"))

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import specs, text
-from ..operators import alerts, filters, merge, report, state
-from ..sources import cards, state_json, store_json, targets
+from ..operators import alerts, enrich, filters, merge, report, state
+from ..sources import listing as listing_source
+from ..sources import state_json, targets
+from ..sources.registry import Binding, Registry
 from ..tables import settled
 
 
@@ -32,14 +35,23 @@ class Rules:
     card_domains: list[str] = field(default_factory=list)
 
 
-def cleaned(products: DataFrame, rules: Rules, listing: DataFrame | None = None) -> DataFrame:
-    """Site rules and clean specifications; ``listing`` (domain, pid, name, available) overrides names and stock of its products."""
+def diagnosed(products: DataFrame, dropped: Column, renamed: Column, into: Observation) -> DataFrame:
+    """``products`` as they are; the job that runs over them tells ``into`` how many are dropped, renamed and special, without a pass of its own."""
+    stays = ~F.coalesce(dropped, F.lit(False))
+    return products.observe(into, F.count_if(~stays).alias("dropped_noise"), F.count_if(stays & renamed).alias("renamed"), F.count_if(stays & F.coalesce("is_special", F.lit(False))).alias("special"))
+
+
+def cleaned(products: DataFrame, rules: Rules, listing: DataFrame | None = None, diagnostics: Observation | None = None) -> DataFrame:
+    """Site rules and clean specifications; ``listing`` (domain, pid, name, available) overrides names and stock of its products.
+
+    ``diagnostics`` is told by the job that uses the result: rows dropped,
+    names changed and special offers kept.
+    """
     from ..functions import url
 
     c = F.col
-    for domain, pattern in rules.drop:
-        products = products.where(~((F.lower("domain") == domain) & F.lower("url").rlike(pattern)))
-    p = products.withColumn("specs", specs.clean_specs(c("specs")))
+    drop = reduce(lambda a, b: a | b, ((F.lower("domain") == domain) & F.coalesce(F.lower("url").rlike(pattern), F.lit(False)) for domain, pattern in rules.drop), F.lit(False))
+    p = products.withColumns({"_drop": F.coalesce(drop, F.lit(False)), "_old": c("name"), "specs": specs.clean_specs(c("specs"))})
     for domain, word in rules.no_location:
         here = F.lower("domain") == domain
         has = lambda x, w=word: F.contains(F.lower(x), F.lit(w))
@@ -61,7 +73,9 @@ def cleaned(products: DataFrame, rules: Rules, listing: DataFrame | None = None)
         p = p.withColumn("name", F.coalesce(F.nullif("_name", F.lit("")), F.when(coded, code), "name")).withColumn("available", F.coalesce("_available", "available"))
     else:
         p = p.withColumn("name", F.when(F.lower("domain").isin(rules.codes) & code.isNotNull() & short, code).otherwise(c("name")))
-    return p.select(*products.columns)
+    if diagnostics is not None:
+        p = diagnosed(p, c("_drop"), F.lower(text.compact_ws(c("_old"))) != F.lower(text.compact_ws(c("name"))), diagnostics)
+    return p.where(~c("_drop")).select(*products.columns)
 
 
 def assumed_stock(products: DataFrame, rules: Rules) -> DataFrame:
@@ -72,7 +86,7 @@ def assumed_stock(products: DataFrame, rules: Rules) -> DataFrame:
     return products.withColumn("available", F.when(known, True).otherwise(F.col("available")))
 
 
-def post_process(products: DataFrame, rules: Rules | None = None, listing: DataFrame | None = None, settle: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+def post_process(products: DataFrame, rules: Rules | None = None, listing: DataFrame | None = None, settle: Callable[[DataFrame], DataFrame] = lambda df: df, diagnostics: Observation | None = None) -> DataFrame:
     """In this order, which matters: last row per id, noise, site rules, plans merged, cycles filled, stock assumed, noise, site rules again.
 
     ``settle`` keeps the cleaned and the merged rows, so that later filters
@@ -80,17 +94,38 @@ def post_process(products: DataFrame, rules: Rules | None = None, listing: DataF
     """
     rules = rules or Rules()
     p = filters.without_noise(merge.last_per_key(products, ["id"]))
-    p = settle(merge.merge_plans(settle(cleaned(p, rules, listing))))
+    p = settle(merge.merge_plans(settle(cleaned(p, rules, listing, diagnostics))))
     p = assumed_stock(merge.fill_cycle_defaults(p), rules)
     return cleaned(filters.without_noise(p), rules, listing)
 
 
+def parsers(rules: Rules) -> Registry:
+    """The registry that rules ask for: pages of card domains hold cards, all others answer with JSON, if any domain is named."""
+    own = Registry(general=Binding("json"))
+    return own.bind("cards", *rules.card_domains) if rules.card_domains else own
+
+
 def listed(pages: DataFrame, rules: Rules) -> DataFrame:
     """The product rows of pages, by the parser of their domain."""
-    marked = F.lower(F.regexp_extract("url", "://([^/?#]*)", 1)).isin(rules.card_domains)
-    if not rules.card_domains:
-        return store_json.store_products(pages)
-    return store_json.store_products(pages.where(~marked)).unionByName(cards.card_products(pages.where(marked)))
+    return parsers(rules).products(pages)
+
+
+@dataclass
+class Sources:
+    """What a run asks beyond its pages; each is optional.
+
+    registry: the parsers; listings: domains whose pages list products by id,
+    which names and stock are then taken from; hidden: products found by probes
+    (see ``operators.hidden``); details: captured detail pages (url, text) of
+    (domain, url, rows, place), and how many a domain may ask for.
+    """
+
+    registry: Registry | None = None
+    listings: list[str] = field(default_factory=list)
+    hidden: DataFrame | None = None
+    details: Callable[[DataFrame], DataFrame] | None = None
+    most_details: int = 60
+    recheck_out: bool = True
 
 
 @dataclass
@@ -100,16 +135,33 @@ class Outcome:
     messages: DataFrame
     summary: DataFrame
     dashboard: DataFrame
-
-
-def run(spark: SparkSession, pages: DataFrame, state_path: str, now: str, *, mode: str = "full", all_targets: DataFrame | None = None, rules: Rules | None = None, prune: bool = True) -> Outcome:
+    diagnostics: Observation
+
+
+def gathered(pages: DataFrame, rules: Rules, sources: Sources) -> tuple[DataFrame, DataFrame | None]:
+    """(products, listing map): what pages show, with the products of listings, of probes and of detail pages."""
+    registry = sources.registry or parsers(rules)
+    found, known = settled(registry.products(pages)), None
+    if sources.listings:
+        own = F.lower(F.regexp_extract("url", "://([^/?#]*)", 1)).isin([d.lower() for d in sources.listings])
+        known = settled(listing_source.listing_map(pages.where(own)))
+        found = listing_source.with_listing(found, listing_source.listing_products(known))
+    if sources.hidden is not None:
+        found = merge.unite(found, listing_source.typed(sources.hidden.withColumn("is_special", text.special_offer(F.col("name"), F.col("url")))))
+    if sources.details is not None:
+        found = settled(found)
+        found = enrich.enrich_products(found, sources.details, sources.most_details, settle=settled, recheck_out=sources.recheck_out)
+    return settled(found), known
+
+
+def run(spark: SparkSession, pages: DataFrame, state_path: str, now: str, *, mode: str = "full", all_targets: DataFrame | None = None, rules: Rules | None = None, sources: Sources | None = None, prune: bool = True) -> Outcome:
     """Captured storefront answers (see ``schemas.PAGE``) folded into the state.
 
     full: all targets. lite: only targets of known domains. In both, domains
     that are no target any more leave the state, and products that a successful
     run no longer shows are pruned, unless ``prune`` is off (for runs over
     hand-picked pages). Pages without a ``seq`` are in the order of their URLs'
-    hashes.
+    hashes. ``sources`` has the run's parsers and what it asks beyond its pages.
     """
     if mode not in ("full", "lite"):
         raise ValueError(f"mode: {mode}")
@@ -123,7 +175,9 @@ def run(spark: SparkSession, pages: DataFrame, state_path: str, now: str, *, mod
     fetched = pages.select(F.lower(F.regexp_extract("url", "://([^/?#]*)", 1)).alias("domain"), "ok", "error", F.col("elapsed_ms").cast("bigint").alias("duration_ms"), meta.alias("meta"), "seq")
     merged = merge.merge_runs(fetched)
     runs = merged.select("domain", "ok", "error", "duration_ms", F.struct("may_be_incomplete", "deadline_exceeded", "discovery_stop_reason", F.col("discovery_fetch_errors").cast("int").alias("discovery_fetch_errors")).alias("meta"), F.lit(0).cast("bigint").alias("seq"))
-    found = post_process(settled(listed(pages.where("ok"), rules or Rules())), rules, settle=settled)
+    found, known = gathered(pages.where("ok"), rules or Rules(), sources or Sources())
+    diagnostics = Observation()
+    found = post_process(found, rules, known, settle=settled, diagnostics=diagnostics)
     active = targets.with_domain(all_targets).select("domain") if prune and all_targets is not None else None
     done = state.update_state(old_products, old_domains, found, runs, now, prune=prune, active=active, settle=settled)
-    return Outcome(done.products, done.domains, alerts.messages(done.alerts, now), done.summary, report.dashboard_rows(done.products))
+    return Outcome(done.products, done.domains, alerts.messages(done.alerts, now), done.summary, report.dashboard_rows(done.products), diagnostics)

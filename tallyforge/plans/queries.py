@@ -15,10 +15,10 @@ from ..functions import availability, cycles, money, specs, text, url
 from ..operators import alerts, crawl, filters, merge, report, state
 from ..sources import html, store_json, targets
 from ..tables import settled
-from . import discovery, storefront
+from . import discovery, storefront, upkeep
 from .catalogue import flag_available, listings, observations, runs, table
 
-QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {**storefront.QUERIES, **discovery.QUERIES}
+QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {**storefront.QUERIES, **discovery.QUERIES, **upkeep.QUERIES}
 
 #: The listings of ``catalogue.listings`` in SQL.
 LISTINGS = """
