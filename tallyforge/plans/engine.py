@@ -147,7 +147,8 @@ def gathered(pages: DataFrame, rules: Rules, sources: Sources) -> tuple[DataFram
         known = settled(listing_source.listing_map(pages.where(own)))
         found = listing_source.with_listing(found, listing_source.listing_products(known))
     if sources.hidden is not None:
-        found = merge.unite(found, listing_source.typed(sources.hidden.withColumn("is_special", text.special_offer(F.col("name"), F.col("url")))))
+        late = F.lit(1 << 62) + F.pmod(F.xxhash64("id"), F.lit(1 << 31))  # behind all pages
+        found = merge.unite(found, listing_source.typed(sources.hidden.withColumns({"is_special": text.special_offer(F.col("name"), F.col("url")), "seq": late})))
     if sources.details is not None:
         found = settled(found)
         found = enrich.enrich_products(found, sources.details, sources.most_details, settle=settled, recheck_out=sources.recheck_out)

@@ -23,7 +23,7 @@ def typed(products: DataFrame) -> DataFrame:
 def _paged(pages: DataFrame, text_: str) -> DataFrame:
     """(base, page, els): parsed pages; ``page`` is their seq, or 0. A null or empty page has no elements and is left out."""
     page = F.coalesce(F.col("seq"), F.lit(0)).cast("bigint") if "seq" in pages.columns else F.lit(0).cast("bigint")
-    return pages.select(F.col("url").alias("base"), page.alias("page"), html.elements(F.col(text_)).alias("els")).where(F.size("els") > 0)
+    return pages.select(F.col("url").alias("base"), page.alias("page"), html.elements(F.col(text_)).alias("els")).where((F.size("els") > 0) & F.col("base").isNotNull())
 
 
 def _first(els: Column, test) -> Column:

@@ -61,7 +61,7 @@ class Registry:
 
         Pages are split by binding, each part parsed once, and the parts
         united: there is one branch per parser and options, however many
-        domains there are. A page with a null address goes to the general parser.
+        domains there are. A page without an address goes to the general parser.
         """
         groups: dict[Binding, list[str]] = {}
         for d, b in self.domains.items():
