@@ -1,6 +1,8 @@
 """Words, tables and patterns that results depend on.
 
-Their wording and order are part of the semantics; nothing here is logic.
+Their wording and order are part of the semantics; nothing here is logic. Some
+are garbled on purpose: pages hold them so. Only characters that don't print are
+written as escapes.
 """
 
 # --- money -------------------------------------------------------------
@@ -8,13 +10,13 @@ AMOUNT = r"\d{1,3}(?:,\d{3})+(?:\.\d{1,2})?|\d{1,6}(?:[.,]\d{1,2})?"
 CURRENCY_TOKENS = [
     "HK$", "US$", "NT$", "$", "€", "£", "¥", "￥", "元",
     "USD", "EUR", "GBP", "HKD", "CNY", "RMB", "JPY", "TWD",
-    "\u9227?", "\u62e2", "\u697c", "\u951f?", "\u934f?",
+    "鈧?", "拢", "楼", "锟?", "鍏?",
 ]
 CURRENCY_CODES = {
     "$": "USD", "US$": "USD",
-    "€": "EUR", "\u9227?": "EUR",
-    "£": "GBP", "\u62e2": "GBP",
-    "¥": "CNY", "￥": "CNY", "元": "CNY", "\u697c": "CNY", "\u951f?": "CNY", "\u934f?": "CNY", "RMB": "CNY",
+    "€": "EUR", "鈧?": "EUR",
+    "£": "GBP", "拢": "GBP",
+    "¥": "CNY", "￥": "CNY", "元": "CNY", "楼": "CNY", "锟?": "CNY", "鍏?": "CNY", "RMB": "CNY",
     "HK$": "HKD",
     "NT$": "TWD",
 }
@@ -29,12 +31,12 @@ MONTHS = {1: "Monthly", 3: "Quarterly", 6: "Semiannual", 12: "Yearly", 24: "Bien
 OUT_WORDS = [
     "out of stock", "sold out", "unavailable", "no stock", "stockout", "out-of-stock", "sold-out", "not available", "unavailable for order",
     "已售罄", "售罄", "缺货", "無庫存", "无库存", "暂时缺货", "暫時缺貨",
-    "不可用", "不可购买", "不可購買", "库存不足", "庫存不足", "\u7f02\u9e3f\u63e3",
+    "不可用", "不可购买", "不可購買", "库存不足", "庫存不足", "缂鸿揣",
 ]
 IN_WORDS_STRONG = ["in stock", "instock", "available now", "有库存", "有庫存", "库存充足", "庫存充足"]
 IN_WORDS_WEAK = [
     "add to cart", "order now", "buy now", "加入购物车", "加入購物車", "立即购买", "立即購買",
-    "立即订购", "立即訂購", "可购买", "可購買", "\u7ed4\u5b2a\u5d46\u7481\u3223\u5598", "\u7ed4\u5b2a\u5d46\u7490\ue15d\u62f1",
+    "立即订购", "立即訂購", "可购买", "可購買", "绔嬪嵆璁㈣喘", "绔嬪嵆璐\ue15d拱",
 ]
 COUNT_THEN_WORD = r"(?iuU)(\d+)\s*(?:available|left|in\s*stock|库存|庫存|可用|鍙敤)\b"
 WORD_THEN_COUNT = r"(?iuU)(?:stock|inventory|available|left|库存|庫存|可用|鍙敤)\s*[:：]?\s*(-?\d+)\b"
@@ -51,12 +53,12 @@ CYCLE_LABELS = {
     "onetime": "One-Time", "one time": "One-Time", "one-time": "One-Time",
 }
 CYCLE_CHARACTERS = [
-    ("月", "Monthly"), ("\u59e3\u5fd4\u6e40", "Monthly"), ("季", "Quarterly"), ("半年", "Semiannual"), ("三年", "Triennial"),
+    ("月", "Monthly"), ("姣忔湀", "Monthly"), ("季", "Quarterly"), ("半年", "Semiannual"), ("三年", "Triennial"),
     ("兩年", "Biennial"), ("两年", "Biennial"), ("二年", "Biennial"), ("年", "Yearly"), ("一次", "One-Time"),
 ]
 CYCLE_TOKENS = (
     r"(?iuU)(monthly|quarterly|semi-annual(?:ly)?|semiannually|annually|yearly|biennially|triennially|quadrennially|quinquennially|one-?time|onetime"
-    r"|月付|月繳|季付|季繳|半年|年付|年繳|一次性|一次|\u59e3\u5fd4\u6e40)"
+    r"|月付|月繳|季付|季繳|半年|年付|年繳|一次性|一次|姣忔湀)"
 )
 
 # --- locations ---------------------------------------------------------
@@ -190,7 +192,7 @@ ACTION_NAME = "get started"
 NON_NAME_PHRASES = ["total due today", "subtotal", "proceed to checkout", "your cart is empty", "get started", "not transferable"]
 NON_NAMES = ["cart", "products", "store"]
 NON_NAME_MARKS = ["默认配置", "請下單時自行加配", "请下单时自行加配"]
-GENERIC_NAME_MARKS = ["标价为实际价格", "鏍囦环涓哄疄闄呬环鏍", "套餐与价格", "濂楅涓庝环鏍", "product price", "pricing"]
+GENERIC_NAME_MARKS = ["标价为实际价格", "鏍囦环涓哄疄闄呬环鏍", "套餐与价格", "濂楅\ue635涓庝环鏍", "product price", "pricing"]
 LEAD_NO_NAMES = ["CPU", "KVM", "IPV4", "IPV6", "SSD", "HDD", "CNY", "USD", "GB", "TB"]
 NAME_PRICE = r"(?iU)(?:HK\$|US\$|NT\$|\$|€|£|¥|￥|元|USD|EUR|GBP|HKD|CNY|RMB|JPY|TWD)\s*\d"
 NAME_TAIL = r"(?iuU)(?:\b\d+\s*(?:available|left|in\s*stock)\b|\bavailable\b|可用|库存|庫存)\s*$"

@@ -176,14 +176,24 @@ MERGED = f"""WITH {LISTINGS}, firsts AS (SELECT *, 'pid' AS k FROM listings),
 b AS (SELECT *, row_number() OVER (PARTITION BY domain, l_partkey ORDER BY CASE WHEN available THEN 0 WHEN NOT available THEN 1 ELSE 2 END, id, seq, price_value) AS place FROM listings)"""
 
 
-@query(f"""{MERGED}, locs AS (SELECT domain, l_partkey, location, min(seq) AS seq FROM listings GROUP BY ALL),
-ol AS (SELECT domain, l_partkey, string_agg(location, '|' ORDER BY seq, location) AS locations FROM locs GROUP BY ALL),
-g AS (SELECT domain, l_partkey, count(*) AS n, CASE WHEN bool_or(available) THEN true WHEN count(*) FILTER (NOT available) = count(*) THEN false END AS available, count(DISTINCT cycle) AS n_cycles, count(DISTINCT location) AS n_locations FROM listings GROUP BY ALL)
-SELECT b.id, b.domain, b.name, g.available, n_cycles, n_locations FROM b JOIN g USING (domain, l_partkey) WHERE place = 1""")
+@query(f"""{MERGED}, e AS (SELECT domain, l_partkey, 'loc' AS kind, lower(location) AS entry, location AS value, seq FROM listings UNION ALL SELECT domain, l_partkey, 'cycle', cycle, price, seq FROM listings),
+f AS (SELECT domain, l_partkey, kind, entry, arg_min(value, (seq, value)) AS value, min((seq, value)) AS first FROM e GROUP BY ALL),
+l AS (SELECT domain, l_partkey, list(value ORDER BY first, entry) FILTER (kind = 'loc') AS locations, list(entry ORDER BY first, entry) FILTER (kind = 'cycle') AS cycles, list(entry || '=' || value ORDER BY entry) FILTER (kind = 'cycle') AS prices FROM f GROUP BY ALL),
+g AS (SELECT domain, l_partkey, count(*) AS n, CASE WHEN bool_or(available) THEN true WHEN count(*) FILTER (NOT available) = count(*) THEN false END AS available, min(variant_of) AS variant_of FROM listings GROUP BY ALL),
+u AS (SELECT domain, l_partkey, location, arg_min(url, (seq, url)) AS url FROM listings GROUP BY ALL),
+k AS (SELECT domain, l_partkey, list(location || '=' || url ORDER BY location) AS links FROM u GROUP BY ALL)
+SELECT b.id, b.domain, b.name, b.price, g.available, g.variant_of, locations[1] AS location, array_to_string(locations, '|') AS locations, array_to_string(links, '|') AS links, array_to_string(cycles, '|') AS cycles, array_to_string(prices, '|') AS prices,
+  'RAM=' || b.p_size || 'GB' || CASE WHEN n > 1 THEN '|Location=' || array_to_string(locations[1:4], ', ') ELSE '' END AS specs
+FROM b JOIN g USING (domain, l_partkey) JOIN l USING (domain, l_partkey) JOIN k USING (domain, l_partkey) WHERE place = 1""")
 def merge_plans(spark, sf):
-    """All listings of a plan as one product."""
+    """All listings of a plan as one product, with all that is merged."""
     merged = merge.merge_plans(listings(spark, sf))
-    return merged.select("id", "domain", "name", "available", F.size("billing_cycles").cast("bigint").alias("n_cycles"), F.size("locations").cast("bigint").alias("n_locations"))
+    told = lambda m: F.transform(F.map_entries(m), lambda e: F.concat(e.key, F.lit("="), e.value))
+    joined = lambda x: F.array_join(x, "|")
+    return merged.select(
+        "id", "domain", "name", "price", "available", "variant_of", "location", joined("locations").alias("locations"), joined(F.array_sort(told("location_links"))).alias("links"), joined("billing_cycles").alias("cycles"),
+        joined(F.array_sort(told("cycle_prices"))).alias("prices"), joined(told("specs")).alias("specs"),
+    )
 
 
 @query(f"""WITH {LISTINGS}, c AS (SELECT domain, location, count(*) AS n, min(seq) AS first FROM listings GROUP BY ALL)
@@ -445,9 +455,10 @@ def dashboard_page(spark, sf):
     return report.page(rows, [report.column_order("price_value", False), F.col("seq").asc(), F.col("id").asc()], 3).select("id", "seq", "price_value")
 
 
-@query(f"""WITH {LISTINGS} SELECT domain, count(*) AS total, count(*) FILTER (available) AS in_stock, count(*) FILTER (NOT available) AS out_of_stock, count(*) FILTER (available IS NULL) AS unknown, 0::BIGINT AS special FROM listings GROUP BY 1""")
+@query(f"""WITH {LISTINGS} SELECT domain, count(*) AS total, count(*) FILTER (available) AS in_stock, count(*) FILTER (NOT available) AS out_of_stock, count(*) FILTER (available IS NULL) AS unknown, count(*) FILTER (l_partkey % 7 = 0) AS special FROM listings GROUP BY 1""")
 def stock_counters(spark, sf):
-    return listings(spark, sf).groupBy("domain").agg(*report.stock_counters())
+    rows = listings(spark, sf).withColumn("is_special", url.param_int(F.col("url"), "pid") % 7 == 0)
+    return rows.groupBy("domain").agg(*report.stock_counters())
 
 
 @query("""WITH b AS (SELECT DISTINCT lower(p_name || '::' || p_brand) AS item FROM part WHERE p_size < 30), s AS (SELECT DISTINCT lower(p_name || '::' || p_brand) AS item FROM part WHERE p_size > 20), m AS (SELECT DISTINCT lower(p_name || '::' || p_brand) AS item FROM part WHERE p_size > 10)
@@ -458,18 +469,42 @@ def diff_report(spark, sf):
     return report.diff_report(p.where("p_size < 30"), p.where("p_size > 20"), p.where("p_size > 10"))
 
 
-@query(f"""WITH {LISTINGS} SELECT DISTINCT domain, '#' || replace(domain, '-', '') AS tag FROM listings""")
+@query(f"""WITH {LISTINGS}, m AS (
+  SELECT *, (['restock', 'new', 'new_location'])[seq % 3 + 1] AS kind, CASE WHEN l_suppkey % 5 = 0 THEN repeat('a&b ', 1200) WHEN l_suppkey % 5 = 1 THEN 'Fast & small' END AS description FROM listings
+), t AS (
+  SELECT *, (['🔄', '🆕', '📍'])[seq % 3 + 1] || ' <b>' || (['RESTOCK ALERT', 'NEW PRODUCT', 'NEW LOCATION'])[seq % 3 + 1] || '</b>  ·  <b>#' || replace(domain, '-', '') || '</b>' || chr(10)
+    || '<b>' || CASE WHEN l_partkey % 7 = 0 THEN '⭐ ' ELSE '' END || CASE WHEN contains(lower(name), lower(variant_of)) THEN name ELSE variant_of || ' - ' || name END || '</b>' || chr(10)
+    || CASE WHEN available THEN '🟢 In Stock' WHEN NOT available THEN '🔴 Out of Stock' ELSE '🟡 Unknown' END || '  ·  💵 ' || price || '  ·  📍 ' || location || chr(10) || '<pre>' || cycle || ': ' || price || '</pre>' || chr(10) || '<b>Specs:</b>' || chr(10) || '<pre>RAM: ' || p_size || 'GB</pre>' || chr(10) AS head,
+    '🔗 <a href="' || replace(url, '&', '&amp;') || '">Open Product Page</a>' || chr(10) || '<code>2024-01-01</code>' AS tail FROM m
+), s AS (
+  SELECT *, trim(description) AS d, 4096 - length(head) - length(tail) - 25 - 1 AS room FROM t
+), q AS (
+  SELECT *, CASE WHEN d IS NULL THEN '' WHEN length(replace(d, '&', '&amp;')) <= room THEN replace(d, '&', '&amp;') ELSE replace(rtrim(d[:(SELECT max(n) FROM range(0, 4096) r(n) WHERE n <= length(d) AND n + 4 * ((n + 2) // 4) + 3 <= room)]), '&', '&amp;') || '...' END AS quote FROM s
+)
+SELECT id, seq, length(message) AS size, md5(message) AS digest FROM (SELECT id, seq, head || CASE WHEN quote <> '' THEN '<blockquote>' || quote || '</blockquote>' || chr(10) ELSE '' END || tail AS message FROM q)""")
 def alert_messages(spark, sf):
-    """Every listing in stock as a message; all are within the limit, and their tags are those of their domains."""
-    rows = listings(spark, sf).withColumn("kind", F.lit("restock"))
-    m = alerts.messages(rows, "2024-01-01T00:00:00+00:00").where(F.char_length("message") <= alerts.LIMIT)
-    return m.select("domain", F.regexp_extract("message", r"<b>(#[a-z0-9]+)</b>", 1).alias("tag")).distinct()
+    """Every listing as a message of one of the kinds, whole; the descriptions of some are too long and are cut."""
+    c = F.col
+    key, supplier = url.param_int(c("url"), "pid"), F.split_part("id", F.lit("::"), F.lit(3)).cast("int")
+    rows = listings(spark, sf).withColumns(
+        {"kind": F.get(F.array(*map(F.lit, ("restock", "new", "new_location"))), (c("seq") % 3).cast("int")), "is_special": key % 7 == 0, "description": F.when(supplier % 5 == 0, F.repeat(F.lit("a&b "), F.lit(1200))).when(supplier % 5 == 1, "Fast & small")}
+    )
+    m = alerts.messages(rows, "2024-01-01")
+    return m.select("id", "seq", F.char_length("message").cast("bigint").alias("size"), F.md5("message").alias("digest"))
 
 
-@query(f"""WITH {LISTINGS}, d AS (SELECT domain, count(*) AS n, count(*) FILTER (regexp_matches(url, 'zzz')) AS odd FROM listings GROUP BY 1) SELECT domain, false AS needs_discovery FROM d""")
+@query("""WITH p AS (SELECT p_partkey // 5 AS d, p_partkey % 5 AS n, p_partkey // 5 % 7 AS kind FROM part), r AS (SELECT d, kind, n FROM p WHERE CASE kind WHEN 0 THEN false WHEN 5 THEN n = 0 WHEN 6 THEN n = 0 ELSE true END)
+SELECT 'd' || s.d || '.test' AS domain, count(r.n) = 0 OR s.kind IN (1, 2, 5) AS needs_discovery FROM (SELECT DISTINCT d, kind FROM p) s LEFT JOIN r ON r.d = s.d GROUP BY s.d, s.kind""")
 def needs_discovery(spark, sf):
-    rows = listings(spark, sf)
-    bases = rows.select("domain").distinct().withColumn("base_url", F.concat(F.lit("https://"), F.col("domain"), F.lit("/")))
+    """Sites of seven kinds: nothing found, nothing useful, mostly pages that sell nothing, two fine ones, a landing page only, one product."""
+    c = F.col
+    k = c("p_partkey")
+    p = table(spark, sf, "part").select(F.floor(k / 5).alias("d"), (k % 5).alias("n")).withColumn("kind", c("d") % 7)
+    domain = F.concat(F.lit("d"), c("d").cast("string"), F.lit(".test"))
+    link = F.concat(F.lit("https://"), domain, F.when(c("kind") == 5, "/").when((c("kind") == 2) & (c("n") < 4), F.concat(F.lit("/knowledgebase/"), c("n").cast("string"))).otherwise(F.concat(F.lit("/store/a/p"), c("n").cast("string"))))
+    found = (c("kind") != 0) & (~c("kind").isin(5, 6) | (c("n") == 0))
+    rows = p.where(found).select(domain.alias("domain"), link.alias("url"), F.when(c("kind") != 1, "5.00 USD").alias("price"), F.lit(None).cast("map<string,string>").alias("specs"))
+    bases = p.select(domain.alias("domain"), F.concat(F.lit("https://"), domain, F.lit("/")).alias("base_url")).distinct()
     return filters.needs_discovery(rows, bases)
 
 

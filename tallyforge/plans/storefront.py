@@ -99,11 +99,11 @@ TEXT_SHAPES = ["Sold out  {n} 3 available $5.00", "{n}", "Save 10% now", "In sto
 
 @query("""SELECT p_partkey, CASE p_partkey % 10 WHEN 0 THEN p_name WHEN 1 THEN p_name WHEN 3 THEN p_name WHEN 4 THEN 'CPU node' || p_partkey || '.pro.tiny has it all' WHEN 5 THEN 'your cart is empty' WHEN 6 THEN '2 Cores' WHEN 7 THEN 'a | b | c | d' WHEN 8 THEN 'Order ' || p_name || ' now' WHEN 9 THEN 'one two three four five six seven eight nine ten eleven' END AS of_text,
   CASE p_partkey % 10 WHEN 0 THEN 'Sold' WHEN 1 THEN nullif(regexp_extract(regexp_extract(p_name, '[A-Za-z][A-Za-z0-9._-]{2,63}'), '^.{4,}$'), '') WHEN 2 THEN 'Save' WHEN 3 THEN 'stock' WHEN 5 THEN 'your' WHEN 6 THEN 'Cores' WHEN 8 THEN 'Order' END AS of_lead,
-  p_partkey % 10 IN (5, 7, 9) AS no_name, p_partkey % 10 IN (5, 8) AS action, p_partkey % 10 = 6 AS generic FROM part WHERE p_partkey % 10 NOT IN (3, 4, 7, 9)""")
+  p_partkey % 10 IN (5, 7, 9) AS no_name, p_partkey % 10 IN (5, 8) AS action, p_partkey % 10 = 6 AS generic FROM part""")
 def text_names(spark, sf):
     """Names read from the texts of cards, and what is none."""
     c = F.col
-    t = table(spark, sf, "part").where(~(c("p_partkey") % 10).isin(3, 4, 7, 9)).select("p_partkey", _turn(c("p_partkey"), [_fill(s, n=c("p_name"), k=c("p_partkey")) for s in TEXT_SHAPES]).alias("t"))
+    t = table(spark, sf, "part").select("p_partkey", _turn(c("p_partkey"), [_fill(s, n=c("p_name"), k=c("p_partkey")) for s in TEXT_SHAPES]).alias("t"))
     return t.select("p_partkey", names.name_from_text(c("t")).alias("of_text"), names.name_from_lead(c("t")).alias("of_lead"), names.non_name(c("t")).alias("no_name"), names.action_label(c("t")).alias("action"), names.generic_name(c("t")).alias("generic"))
 
 
@@ -145,13 +145,11 @@ STOCK_SHAPES = [
 ]
 
 
-@query("SELECT event_id, ([false, true, false, true, NULL, true, false, true, NULL, true])[event_id % 10 + 1] AS available FROM events")
+@query("SELECT page_id, ([false, true, false, true, NULL, true, false, true, NULL, true])[page_id % 10 + 1] AS available FROM pages")
 def detail_availability(spark, sf):
-    """Stock as detail pages of ten shapes tell it."""
-    shapes = spark.createDataFrame([(i, s) for i, s in enumerate(STOCK_SHAPES)], "shape bigint, h string").withColumn("els", html.elements(F.col("h")))
-    told = shapes.select("shape", html.availability_in_page(F.col("els"), F.col("h")).alias("available"))
-    events = table(spark, sf, "events").select("event_id", (F.col("event_id") % len(STOCK_SHAPES)).alias("shape"))
-    return events.join(F.broadcast(told), "shape").select("event_id", "available")
+    """Stock as detail pages of ten shapes tell it, behind the pages' own markup."""
+    pages = table(spark, sf, "pages").select("page_id", F.concat(F.coalesce("html", F.lit("")), _turn(F.col("page_id"), [F.lit(s) for s in STOCK_SHAPES])).alias("h"))
+    return pages.withColumn("els", html.elements(F.col("h"))).select("page_id", html.availability_in_page(F.col("els"), F.col("h")).alias("available"))
 
 
 PAGE_SHAPES = [
@@ -160,14 +158,15 @@ PAGE_SHAPES = [
 ]
 
 
-@query("""SELECT event_id, (event_id % 12)::BIGINT AS shape, event_id % 12 IN (1, 2) AS whmcs_product, event_id % 12 IN (3, 4) AS whmcs_group, event_id % 12 IN (2, 4, 10) AS hostbill_product, event_id % 12 IN (6, 7, 8) AS hostbill_group FROM events""")
+@query("""SELECT page_id, page_id % 12 IN (1, 2) AS whmcs_product, page_id % 12 IN (3, 4) AS whmcs_group, page_id % 12 IN (2, 4, 10) AS hostbill_product, page_id % 12 IN (6, 7, 8) AS hostbill_group FROM pages""")
 def probe_pages(spark, sf):
-    """Which answers to a probe show a product or a group, by platform."""
-    h = F.col("h")
+    """Which answers to a probe show a product or a group, by platform: the pages' own markup before twelve shapes, alone where it must be empty."""
+    c = F.col
+    n = c("page_id")
+    h = F.concat(F.when(n % 12 == 9, "").otherwise(F.coalesce("html", F.lit(""))), _turn(n, [F.lit(s) for s in PAGE_SHAPES]))
     tests = {"whmcs_product": filters.whmcs_product_page, "whmcs_group": filters.whmcs_group_page, "hostbill_product": filters.hostbill_product_page, "hostbill_group": filters.hostbill_group_page}
-    told = spark.createDataFrame([(i, s) for i, s in enumerate(PAGE_SHAPES)], "shape bigint, h string").select("shape", *(f(h).alias(k) for k, f in tests.items()))
-    events = table(spark, sf, "events").select("event_id", (F.col("event_id") % len(PAGE_SHAPES)).alias("shape"))
-    return events.join(F.broadcast(told), "shape").select("event_id", "shape", *tests)
+    pages = table(spark, sf, "pages").select("page_id", h.alias("h"))
+    return pages.select("page_id", *(f(c("h")).alias(k) for k, f in tests.items()))
 
 
 KIND_SHAPES = [

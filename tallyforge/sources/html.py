@@ -204,14 +204,6 @@ def form_ids(els: Column, keys: list[str]) -> Column:
     return F.array_sort(F.array_distinct(F.transform(found, lambda e: F.trim(attr(e, "value")).cast("long"))))
 
 
-def add_form(els: Column, form: Column) -> Column:
-    """Forms that put a product into a cart: an id with a value, and an action to add, order, configure or check out (or none)."""
-    own = inside(els, form)
-    id_ = F.exists(own, lambda e: (e["tag"] == "input") & F.coalesce(attr(e, "name"), F.lit("")).isin("id", "pid", "product") & (F.coalesce(attr(e, "value"), F.lit("")) != ""))
-    action = F.get(F.filter(own, lambda e: (e["tag"] == "input") & (attr(e, "name") == "action")), F.lit(0))
-    return (form["tag"] == "form") & id_ & (action.isNull() | F.lower(F.coalesce(attr(action, "value"), F.lit(""))).isin("add", "order", "configure", "checkout", ""))
-
-
 def definition_pairs(els: Column) -> Column:
     """Terms and descriptions of lists, paired by position; a longer side is cut."""
     terms = F.transform(F.filter(els, lambda e: e["tag"] == "dt"), lambda e: e["text"])

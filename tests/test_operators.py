@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyforge import schemas
 from tallyforge.operators import alerts, crawl, filters, merge, report, state
-from tallyforge.sources import html, state_json, store_json, targets
+from tallyforge.sources import cards, html, state_json, store_json, targets
 
 DEFAULT = {"currency": None, "description": None, "specs": None, "available": None, "variant_of": None, "location": None, "locations": None, "location_links": None, "billing_cycles": None, "cycle_prices": None, "is_special": False, "price": "10.00 USD"}
 
@@ -304,7 +304,7 @@ def test_modals_and_forms(spark):
     p = page(spark, source)
     links = html.modal_links(p.select(F.lit("u").alias("url"), F.col("e").alias("els"))).collect()
     assert {(r.href, r.text) for r in links} == {("/buy?pid=1", "LA"), ("/buy?pid=2", "NY")}
-    r = p.select(html.form_ids(F.col("e"), ["pid"]).alias("ids"), F.exists("e", lambda x: html.add_form(F.col("e"), x)).alias("add"), html.definition_pairs(F.col("e")).alias("d"), html.page_links(F.col("e")).alias("links")).first()
+    r = p.select(html.form_ids(F.col("e"), ["pid"]).alias("ids"), F.exists("e", lambda x: cards.add_form(cards.inner(F.col("e"), x), x)).alias("add"), html.definition_pairs(F.col("e")).alias("d"), html.page_links(F.col("e")).alias("links")).first()
     assert r.ids == [7] and r.add and [(x.key, x.value) for x in r.d] == [("k", "v")] and [x.href for x in r.links] == ["/buy?pid=1", "/buy?pid=2"]
 
 
