@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,7 +73,7 @@ def override(products: DataFrame, **values: Column) -> DataFrame:
     return products.withColumns({k: v if k == "available" else F.coalesce(v, F.col(k)) for k, v in values.items()})
 
 
-def merge_plans(products: DataFrame) -> DataFrame:
+def merge_plans(products: DataFrame, settle: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """One row per plan (see ``url.canonical_key``), sorted by domain, stock, name and id.
 
     The best row gives id, URL, name, price and specifications: in stock
@@ -85,6 +87,7 @@ def merge_plans(products: DataFrame) -> DataFrame:
     c = F.col
     p = products.withColumn("key", url.canonical_key(c("domain"), c("url"), c("name"), c("variant_of")))
     p = p.withColumn("locs", product_locations(c("locations"), c("location"))).withColumn("links", location_links(c("location_links"), c("locations"), c("location"), c("url")))
+    p = settle(p)
     size = lambda x: F.coalesce(F.size(F.coalesce(c(x), F.create_map().cast("map<string,string>"))), F.lit(0))
     order = F.struct(availability.availability_rank(c("available")).alias("a"), (-text.name_quality(c("name"))).alias("b"), (-size("specs")).alias("c"), (-size("cycle_prices")).alias("d"), c("id").alias("e"), c("seq").alias("f"))
     base = p.groupBy("key").agg(

@@ -94,7 +94,7 @@ def post_process(products: DataFrame, rules: Rules | None = None, listing: DataF
     """
     rules = rules or Rules()
     p = filters.without_noise(merge.last_per_key(products, ["id"]))
-    p = settle(merge.merge_plans(settle(cleaned(p, rules, listing, diagnostics))))
+    p = settle(merge.merge_plans(cleaned(p, rules, listing, diagnostics), settle))
     p = assumed_stock(merge.fill_cycle_defaults(p), rules)
     return cleaned(filters.without_noise(p), rules, listing)
 

@@ -181,13 +181,14 @@ f AS (SELECT domain, l_partkey, kind, entry, arg_min(value, (seq, value)) AS val
 l AS (SELECT domain, l_partkey, list(value ORDER BY first, entry) FILTER (kind = 'loc') AS locations, list(entry ORDER BY first, entry) FILTER (kind = 'cycle') AS cycles, list(entry || '=' || value ORDER BY entry) FILTER (kind = 'cycle') AS prices FROM f GROUP BY ALL),
 g AS (SELECT domain, l_partkey, count(*) AS n, CASE WHEN bool_or(available) THEN true WHEN count(*) FILTER (NOT available) = count(*) THEN false END AS available, min(variant_of) AS variant_of FROM listings GROUP BY ALL),
 u AS (SELECT domain, l_partkey, location, arg_min(url, (seq, url)) AS url FROM listings GROUP BY ALL),
-k AS (SELECT domain, l_partkey, list(location || '=' || url ORDER BY location) AS links FROM u GROUP BY ALL)
+k AS (SELECT domain, l_partkey, list(location || '=' || url ORDER BY location || '=' || url) AS links FROM u GROUP BY ALL)
 SELECT b.id, b.domain, b.name, b.price, g.available, g.variant_of, locations[1] AS location, array_to_string(locations, '|') AS locations, array_to_string(links, '|') AS links, array_to_string(cycles, '|') AS cycles, array_to_string(prices, '|') AS prices,
   'RAM=' || b.p_size || 'GB' || CASE WHEN n > 1 THEN '|Location=' || array_to_string(locations[1:4], ', ') ELSE '' END AS specs
 FROM b JOIN g USING (domain, l_partkey) JOIN l USING (domain, l_partkey) JOIN k USING (domain, l_partkey) WHERE place = 1""")
 def merge_plans(spark, sf):
     """All listings of a plan as one product, with all that is merged."""
-    merged = merge.merge_plans(listings(spark, sf))
+    # The given tables are one row group each: dealt out first, so that not one task computes all keys.
+    merged = merge.merge_plans(listings(spark, sf).repartition("id"), settled)
     told = lambda m: F.transform(F.map_entries(m), lambda e: F.concat(e.key, F.lit("="), e.value))
     joined = lambda x: F.array_join(x, "|")
     return merged.select(
