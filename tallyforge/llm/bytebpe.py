@@ -30,7 +30,8 @@ from .shared import table
 #: Log of the fewest bits that a word of the bitmap has: 2 ** (2 * WORD) ranks fit two levels of such words.
 WORD = 8
 #: Pre-tokens whose ids a worker keeps (some 200 bytes each; beyond that it forgets all and starts anew), and the longest of them.
-CACHE, LONGEST = 500_000, 64
+#: Where nothing else runs beside encoding, twice as many.
+CACHE, ALONE, LONGEST = 500_000, 1_000_000, 64
 #: Pre-tokens of a text that are encoded at once.
 SLICE = 1 << 16
 
@@ -144,10 +145,10 @@ class ByteBPE:
 
 
 @functools.lru_cache(4)
-def load(path: str, pattern: str) -> ByteBPE:
+def load(path: str, pattern: str, cache: int = CACHE) -> ByteBPE:
     """From a file of lines "base64 rank"; each worker reads it once."""
     with open(path, "rb") as lines:
-        return ByteBPE({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}, pattern)
+        return ByteBPE({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}, pattern, cache)
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str, *, text: str = "text", into: str = "ids") -> DataFrame:
@@ -193,7 +194,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, *, text: str = "text",
 
     @F.arrow_udf(ROUND_TRIP)
     def trip(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        bpe = load(path, pattern)
+        bpe = load(path, pattern, ALONE)
         names = [str(i) for i in range(len(bpe.bytes_of))]
         for texts in batches:
             counts, ids_hex, text_hex = [], [], []
