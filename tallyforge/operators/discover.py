@@ -106,6 +106,26 @@ def platform_budgets(platform: Column) -> dict[str, Column]:
     }
 
 
+def crawl_targets(targets: DataFrame, extra: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Targets (domain, base_url, platform) with their queue and the usual budgets of their platform.
+
+    A queue holds a domain's given pages (``extra``: domain, url, seq), then the
+    listings that its first page links to (``candidates``: url, link, place),
+    then the usual entry points; each address once, at its first place, and not
+    the first page itself.
+    """
+    c = F.col
+    base = targets.select("domain", "base_url", "platform")
+    given = extra.select("domain", F.lit(0).alias("kind"), c("seq").cast("bigint").alias("nr"), "url")
+    led = candidates.join(base.select("domain", c("base_url").alias("url")), "url").select("domain", F.lit(1).alias("kind"), c("place").cast("bigint").alias("nr"), c("link").alias("url"))
+    usual = base.select("domain", F.posexplode(url.entry_points(c("base_url"))).alias("nr", "url")).select("domain", F.lit(2).alias("kind"), c("nr").cast("bigint").alias("nr"), "url")
+    every = given.unionByName(led).unionByName(usual).where(F.coalesce("url", F.lit("")) != "")
+    first = every.groupBy("domain", "url").agg(F.min(F.struct("kind", "nr")).alias("at"))
+    queues = first.groupBy("domain").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "url"))), lambda x: x.url).alias("queue"))
+    out = base.join(queues, "domain", "left").withColumn("queue", F.filter(F.coalesce("queue", F.array().cast("array<string>")), lambda u: u != c("base_url")))
+    return out.select("domain", "base_url", "queue", *(v.alias(k) for k, v in platform_budgets(F.coalesce("platform", F.lit(""))).items()))
+
+
 @dataclass
 class Crawl:
     """targets: (domain, pages, errors, found, new_pages, reason); visits: (domain, place, url, ok, new); products: (domain, id, available, name)."""

@@ -115,6 +115,25 @@ def captured(answers: DataFrame) -> Callable[[DataFrame], DataFrame]:
     return lambda wanted: judge(answers.join(wanted.select("domain", "kind", "id"), ["domain", "kind", "id"], "left_semi"))
 
 
+def scan_targets(targets: DataFrame, products: DataFrame) -> DataFrame:
+    """Scans of targets (domain, base_url, platform, seeds: addresses known of them): the addresses that a product may have, and ids known beforehand.
+
+    Known are the ids in the addresses of the domain's ``products`` and of its
+    seeds, of each address the first key that has one. Targets of no platform
+    have no scan.
+    """
+    c = F.col
+    t = targets.where(c("platform").isin("whmcs", "hostbill")).select("domain", "base_url", "platform", F.coalesce("seeds", F.array().cast("array<string>")).alias("seeds"))
+    seeds = F.transform("seeds", lambda u: url.resolve(c("base_url"), u))
+    ids = lambda keys: lambda p: F.array_compact(F.transform("seeds", lambda u: url.first_param_int(u, keys[p])))
+    whmcs = F.transform(url.pid_templates(c("base_url")), lambda x: F.replace(x, F.lit("{pid}"), F.lit("{id}")))
+    t = t.withColumn("seeds", seeds).withColumns({"templates": F.when(c("platform") == "hostbill", url.hostbill_product_templates(c("base_url"), c("seeds"))).otherwise(whmcs), "of_seeds": _by_platform(ids(MARKUP_KEYS)), "seed_groups": F.array_distinct(_by_platform(ids(GROUP_KEYS)))})
+    own = products.join(t.select("domain", "platform"), "domain").select("domain", _by_platform(lambda p: url.first_param_int(c("url"), MARKUP_KEYS[p])).alias("k")).where("k is not null")
+    own = own.groupBy("domain").agg(F.collect_set("k").alias("of_products"))
+    none = F.array().cast("array<bigint>")
+    return t.join(own, "domain", "left").select("domain", "platform", "templates", F.array_sort(F.array_distinct(F.concat("of_seeds", F.coalesce("of_products", none)))).alias("seed_products"), "seed_groups")
+
+
 @dataclass
 class Scan:
     """probes: one row per probe (domain, phase, kind, id, evidence, duplicate, added, candidates, products); stops: (domain, kind, reason) of the two long scans."""

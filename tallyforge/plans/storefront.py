@@ -85,11 +85,11 @@ def link_names(spark, sf):
     return link.select("p_partkey", names.name_from_url(F.col("link")).alias("name"), names.category_label(F.col("link")).alias("category"), url.non_product_link(F.col("link")).alias("no_product"))
 
 
-@query("""SELECT p_partkey, ([7, 10, 6])[p_partkey % 10 + 1]::INT AS score, CASE p_partkey % 10 WHEN 1 THEN 'https://e.test/cart.php?a=add&pid=' || p_partkey WHEN 0 THEN 'https://e.test/index.php?rp=%2Fstore%2Fvps-' || p_size || '%2Fplan-' || p_partkey WHEN 2 THEN 'https://e.test/products/cloud-vps/lax.an5/TINY' END AS same FROM part WHERE p_partkey % 10 IN (0, 1, 2)""")
+@query("""SELECT p_partkey, ([7, 10, 6, 3, 2, 3, 3, 3, 2, 3])[p_partkey % 10 + 1]::INT AS score, CASE p_partkey % 10 WHEN 1 THEN 'https://e.test/cart.php?a=add&pid=' || p_partkey WHEN 0 THEN 'https://e.test/index.php?rp=%2Fstore%2Fvps-' || p_size || '%2Fplan-' || p_partkey WHEN 2 THEN 'https://e.test/products/cloud-vps/lax.an5/TINY' END AS same FROM part""")
 def link_scores(spark, sf):
     """How likely links buy, and which are one product's."""
     c = F.col
-    link = table(spark, sf, "part").select("p_partkey", _links().alias("link")).where(c("p_partkey") % 10 < 3)
+    link = table(spark, sf, "part").select("p_partkey", _links().alias("link"))
     label = F.when(c("p_partkey") % 10 == 0, "Order").otherwise(F.when(c("p_partkey") % 10 == 1, "立即购买").otherwise("Buy it"))
     return link.select("p_partkey", url.buy_score(c("link"), label, ~url.non_product_link(c("link"))).alias("score"), url.product_link_key(c("link"), ~url.non_product_link(c("link"))).alias("same"))
 

@@ -291,3 +291,16 @@ def test_crawl_of_targets_without_queue(spark):
 def test_hidden_query_for_any_batch(spark):
     want = sorted(map(tuple, discovery.hidden_ids(spark, "/root/testdata/sf0.001", 5).collect()))
     assert want == sorted(map(tuple, discovery.hidden_ids(spark, "/root/testdata/sf0.001", 40).collect()))
+
+
+def test_targets_of_crawls_and_scans(spark):
+    targets = spark.createDataFrame([("w.test", "https://w.test/billing/", "whmcs", ["/cart.php?gid=4", "https://w.test/cart.php?a=add&pid=9", "/x"]), ("h.test", "https://h.test/", "hostbill", None), ("o.test", "https://o.test/store", None, ["/cart.php?pid=3"])], "domain string, base_url string, platform string, seeds array<string>")
+    extra = spark.createDataFrame([("o.test", "https://o.test/cart", 0), ("o.test", "https://o.test/api", 1), ("o.test", "", 2)], "domain string, url string, seq int")
+    led = spark.createDataFrame([("https://o.test/store", "https://o.test/store/a", 1), ("https://o.test/store", "https://o.test/api", 2), ("https://other.test/", "https://x.test", 1)], "url string, link string, place int")
+    got = {r.domain: r for r in discover.crawl_targets(targets, extra, led).collect()}
+    assert got["o.test"].queue[:4] == ["https://o.test/cart", "https://o.test/api", "https://o.test/store/a", "https://o.test/cart.php"] and "https://o.test/store" not in got["o.test"].queue and len(set(got["o.test"].queue)) == len(got["o.test"].queue)
+    assert [(got[d].max_pages, got[d].stop_errors, got[d].strict) for d in ("w.test", "h.test", "o.test")] == [(128, 0, False), (96, 0, False), (40, 12, True)]
+    rows = rows_of(spark, {"id": "a", "url": "https://w.test/cart.php?a=add&pid=30"}, {"id": "b", "url": "https://w.test/store/x"}).withColumn("domain", F.lit("w.test"))
+    scans = {r.domain: r for r in hidden.scan_targets(targets, rows).collect()}
+    assert set(scans) == {"w.test", "h.test"} and scans["w.test"].seed_products == [9, 30] and scans["w.test"].seed_groups == [4] and scans["h.test"].seed_products == []
+    assert scans["w.test"].templates == ["https://w.test/cart.php?a=add&pid={id}", "https://w.test/billing/cart.php?a=add&pid={id}"] and all("{id}" in x for x in scans["h.test"].templates)
