@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..functions import cycles, locations, money, text, url
 from ..operators import merge
 from ..sources import debug_json, delivery, listing
 from ..tables import settled, shared_folder
@@ -126,3 +127,87 @@ def debug_differences(spark, sf):
     part = table(spark, sf, "part").select(c("p_name").alias("name"), F.concat(F.lit(" HTTPS://x.test/"), c("p_partkey").cast("string")).alias("url"), c("p_partkey").alias("k"))
     rows = settled(debug_json.parse_products(_artifacts(spark, sf)))
     return debug_json.differences(part.where(c("k") % 2 == 0), simple=rows.where(c("url").isNotNull()), monitor=part.where(c("k") % 3 == 0))
+
+
+# --- small expressions -------------------------------------------------------
+
+
+def _turn(key: F.Column, values: list) -> F.Column:
+    """One of the values, by the key."""
+    return F.get(F.array(*(v if isinstance(v, F.Column) else F.lit(v) for v in values)), F.pmod(key, F.lit(len(values))).cast("int"))
+
+
+@query("""WITH e AS (SELECT event_id AS k, ([200, 403, 429, 503, 521, 404, 408, 425, NULL, 599, 600])[event_id % 11 + 1] AS s, (['', 'Blocked by us', 'timed out', NULL, 'CLOUDFLARE 1020', 'a challenge', 'x'])[event_id % 7 + 1] AS m FROM events)
+SELECT k AS event_id, coalesce(regexp_matches(lower(m), 'blocked|cloudflare|challenge'), false) OR coalesce(s IN (429, 521), false) AS blocked, coalesce(s IN (408, 425, 429) OR s BETWEEN 500 AND 599, false) AS again FROM e""")
+def fetch_verdicts(spark, sf):
+    """Which answers were blocked, and which are worth another try."""
+    c = F.col
+    k = c("event_id")
+    e = table(spark, sf, "events").select("event_id", _turn(k, [F.lit(x).cast("int") for x in (200, 403, 429, 503, 521, 404, 408, 425, None, 599, 600)]).alias("s"), _turn(k, [F.lit(x).cast("string") for x in ("", "Blocked by us", "timed out", None, "CLOUDFLARE 1020", "a challenge", "x")]).alias("m"))
+    return e.select("event_id", url.blocked_fetch(c("m"), c("s")).alias("blocked"), url.should_retry(c("s")).alias("again"))
+
+
+@query("""WITH s AS (SELECT s_suppkey AS k, 'https://s' || s_suppkey || '.test' AS r, (['', '/billing', '/clients'])[s_suppkey % 3 + 1] AS p, '/x' AS tail FROM supplier), f AS (SELECT *, unnest(CASE WHEN p = '' THEN [''] ELSE ['', p] END) AS pre, generate_subscripts(CASE WHEN p = '' THEN [''] ELSE ['', p] END, 1) AS n FROM s)
+SELECT k AS s_suppkey, string_agg(r || pre || '/cart.php?a=add&pid={pid}', ' ' ORDER BY n) AS pids, string_agg(r || pre || '/cart.php?gid={gid}', ' ' ORDER BY n) AS gids,
+  string_agg(r || pre || '/cart.php?action=add&id={id} ' || r || pre || '/cart?action=add&id={id} ' || r || pre || '/index.php?/cart/&action=add&id={id}', ' ' ORDER BY n) || ' ' || string_agg(r || pre || '/cart/?action=add&id={id}', ' ' ORDER BY n)
+    || ' ' || r || '/index.php?/cart/vps&action=add&id={id} ' || r || '/index.php?/cart/vps&cat_id=3&action=add&id={id} ' || r || '/cart?action=add&id={id}&cycle=m' AS ids FROM f GROUP BY k, r""")
+def probe_templates(spark, sf):
+    """The addresses by which products and groups of shops are probed: under each prefix, and as seeds show them."""
+    c = F.col
+    k = c("s_suppkey").cast("string")
+    root = F.concat(F.lit("https://s"), k, F.lit(".test"))
+    base = F.concat(root, _turn(c("s_suppkey"), ["", "/billing", "/clients"]), F.lit("/x"))
+    seeds = F.array(F.concat(root, F.lit("/index.php?/cart/vps&cat_id=3")), F.concat(root, F.lit("/cart?action=add&id=77&cycle=m")), F.lit("https://other.test/index.php?/cart/no"))
+    s = table(spark, sf, "supplier").select("s_suppkey", base.alias("base"), seeds.alias("seeds"))
+    return s.select("s_suppkey", F.array_join(url.pid_templates(c("base")), " ").alias("pids"), F.array_join(url.gid_templates(c("base")), " ").alias("gids"), F.array_join(url.hostbill_product_templates(c("base"), c("seeds")), " ").alias("ids"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, (['Lyon', ' Graz ', '', NULL])[p_partkey % 4 + 1] AS one, p_partkey % 3 AS m, 'https://x.test/' || p_partkey AS url FROM part)
+SELECT k AS p_partkey, CASE WHEN m = 0 THEN 'Lyon,Graz' WHEN m = 1 THEN 'Oslo' || CASE WHEN coalesce(trim(one), '') <> '' THEN ',' || trim(one) ELSE '' END ELSE coalesce(trim(one), '') END AS places,
+  CASE WHEN m = 0 THEN 'Graz=own,Lyon=' || url WHEN m = 1 THEN CASE k % 4 WHEN 0 THEN 'Graz=own,Lyon=' || url || ',Oslo=' || url ELSE 'Graz=own,Oslo=' || url END ELSE 'Graz=own' || CASE WHEN k % 4 = 0 THEN ',Lyon=' || url ELSE '' END END AS links FROM p""")
+def product_places(spark, sf):
+    """The locations of products, from a list and a single one, and a link for each."""
+    c = F.col
+    k = c("p_partkey")
+    none = F.lit(None).cast("array<string>")
+    p = table(spark, sf, "part").select("p_partkey", _turn(k, [F.lit(x).cast("string") for x in ("Lyon", " Graz ", "", None)]).alias("one"), _turn(k, [F.array(F.lit("Lyon"), F.lit(" graz"), F.lit("LYON"), F.lit("")), F.array(F.lit("Oslo")), none]).alias("many"), F.concat(F.lit("https://x.test/"), k.cast("string")).alias("url"))
+    p = p.withColumn("many", F.when(k % 3 == 0, F.array(F.lit("Lyon"), F.lit(" Graz"), F.lit("LYON"), F.lit(""))).otherwise(c("many")))
+    links = locations.location_links(F.create_map(F.lit(" Graz "), F.lit("own")), c("many"), c("one"), c("url"))
+    return p.select("p_partkey", F.array_join(locations.product_locations(c("many"), c("one")), ",").alias("places"), F.array_join(F.array_sort(F.transform(F.map_entries(links), lambda e: F.concat(e.key, F.lit("="), e.value))), ",").alias("links"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_name AS n, p_partkey % 4 AS a, p_partkey % 3 AS b, printf('%.2f USD', p_retailprice) AS price FROM part)
+SELECT k AS p_partkey, CASE a WHEN 0 THEN CASE b WHEN 1 THEN 'Yearly' WHEN 2 THEN NULL ELSE 'Monthly' END WHEN 1 THEN CASE b WHEN 2 THEN NULL ELSE 'Monthly' END WHEN 2 THEN 'Quarterly' ELSE 'Yearly,Monthly' END AS cycles,
+  CASE a WHEN 0 THEN CASE b WHEN 1 THEN 'Yearly=80 USD' WHEN 2 THEN NULL ELSE 'Monthly=' || price END WHEN 1 THEN CASE b WHEN 0 THEN 'Monthly=' || price WHEN 1 THEN 'Monthly=' || price END WHEN 2 THEN CASE b WHEN 0 THEN 'Quarterly=' || price WHEN 1 THEN 'Yearly=80 USD' END
+    ELSE CASE b WHEN 0 THEN 'Monthly=' || price WHEN 1 THEN CASE WHEN a = 3 THEN 'Yearly=80 USD' END END END AS prices, CASE b WHEN 1 THEN CASE a WHEN 1 THEN NULL ELSE '80 USD' END END AS preferred FROM p""")
+def cycle_defaults(spark, sf):
+    """What prices, cycles and their prices say about each other."""
+    c = F.col
+    k = c("p_partkey")
+    a, b = k % 4, k % 3
+    none, nothing = F.lit(None).cast("array<string>"), F.lit(None).cast("map<string,string>")
+    listed = F.when(a == 2, F.array(F.lit("Quarterly"))).when(a == 3, F.array(F.lit("Yearly"), F.lit("Monthly"))).otherwise(none)
+    prices = F.when((b == 1) & (a != 1), F.create_map(F.lit("Yearly"), F.lit("80 USD"))).otherwise(nothing)
+    price = F.when((b == 0) | ((b == 1) & (a == 1)), F.format_string("%.2f USD", "p_retailprice")).otherwise("")
+    p = table(spark, sf, "part").select("p_partkey", cycles.fill_defaults(price, listed, prices).alias("f"), money.preferred_price(prices).alias("preferred"))
+    return p.select("p_partkey", F.array_join("f.billing_cycles", ",").alias("cycles"), F.array_join(F.transform(F.map_entries("f.cycle_prices"), lambda e: F.concat(e.key, F.lit("="), e.value)), ",").alias("prices"), "preferred")
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_name AS n, p_size AS s FROM part)
+SELECT k AS p_partkey, '&lt;b&gt;' || n || '&lt;/b&gt; &amp; &quot;x&quot; &#x27;' || k AS escaped, '{"a":"\\u003c' || n || '\\u003e \\u0026"}' AS script, CASE k % 4 WHEN 0 THEN 'Lyon' WHEN 1 THEN 'New York' WHEN 2 THEN 'Area ' || s ELSE '' END AS place, k % 5 IN (0, 2) AS label,
+  CASE k % 4 WHEN 0 THEN '/cart.php?a=add&pid=' || k WHEN 1 THEN 'https://x.test/p/' || k WHEN 2 THEN NULL ELSE 'index.php?rp=' || k END AS clicked, CASE k % 3 WHEN 0 THEN 'https://x.test/a?x=1&id=' || k WHEN 1 THEN 'https://x.test/a?id=' || k ELSE 'https://x.test/?/cart/&id=' || k END AS longer,
+  k % 3 < 2 AS http, k % 4 = 0 AS tier FROM p""")
+def small_texts(spark, sf):
+    """Escapes, cleaned locations and their labels, addresses from handlers, longer queries, and kinds of texts."""
+    c = F.col
+    k, n = c("p_partkey"), c("p_name")
+    key, size = k.cast("string"), c("p_size").cast("string")
+    place = _turn(k, ["Lyon (Test IP: 1.2.3.4)", " New  York - In Stock ", F.concat(F.lit("Area "), size, F.lit("- sold out")), "-"])
+    label = _turn(k, ["Location", "Operating OS location", "Pick a 机房", "Plan", "Node password"])
+    click = _turn(k, [F.concat(F.lit("go('/cart.php?a=add&pid="), key, F.lit("')")), F.concat(F.lit("open('x', \"https://x.test/p/"), key, F.lit('")')), "hide('menu')", F.concat(F.lit("to('index.php?rp="), key, F.lit("')"))])
+    longer = url.append_query(_turn(k, ["https://x.test/a?x=1#top", "https://x.test/a", "https://x.test/?/cart/&"]), F.concat(F.lit("id="), key))
+    link = _turn(k, [" HTTPS://x.test", "http://x", "ftp://x.test"])
+    return table(spark, sf, "part").select(
+        "p_partkey", text.html_escape(F.concat(F.lit("<b>"), n, F.lit("</b> & \"x\" '"), key)).alias("escaped"), text.script_safe_json(F.to_json(F.struct(F.concat(F.lit("<"), n, F.lit("> &")).alias("a")))).alias("script"), text.clean_location(place).alias("place"),
+        text.location_label(label).alias("label"), url.onclick_url(click).alias("clicked"), longer.alias("longer"), url.is_http(link).alias("http"), text.generic_tier(_turn(k, [" Pro", "Pro 2", n, "basic"])).alias("tier"),
+    )
