@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import cycles, locations, money, text, url
-from ..operators import merge
+from ..operators import alerts, merge, report
 from ..sources import debug_json, delivery, listing
 from ..tables import settled, shared_folder
 from . import engine
@@ -211,3 +211,40 @@ def small_texts(spark, sf):
         "p_partkey", text.html_escape(F.concat(F.lit("<b>"), n, F.lit("</b> & \"x\" '"), key)).alias("escaped"), text.script_safe_json(F.to_json(F.struct(F.concat(F.lit("<"), n, F.lit("> &")).alias("a")))).alias("script"), text.clean_location(place).alias("place"),
         text.location_label(label).alias("label"), url.onclick_url(click).alias("clicked"), longer.alias("longer"), url.is_http(link).alias("http"), text.generic_tier(_turn(k, [" Pro", "Pro 2", n, "basic"])).alias("tier"),
     )
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_name AS name, 'site' || (p_partkey % 4) || '.test' AS domain, CASE WHEN p_partkey % 6 < 3 THEN p_partkey % 6 = 0 END AS available, p_partkey % 5 > 0 AS priced, p_partkey % 3 AS places, p_retailprice AS own FROM part)
+SELECT domain, name, 'https://x.test/' || k AS url, available, CASE WHEN priced THEN printf('%.2f USD', own) WHEN k % 2 = 0 THEN '9.50 USD' ELSE '' END AS price, CASE WHEN priced THEN CASE WHEN own < 1000 THEN round(own, 2) ELSE floor(own / 10) END WHEN k % 2 = 0 THEN 9.5 END::DOUBLE AS price_value,
+  CASE places WHEN 0 THEN 'Graz' WHEN 1 THEN 'Lyon' ELSE '' END AS location, CASE places WHEN 0 THEN 'Graz,Oslo' WHEN 1 THEN 'Lyon' ELSE '' END AS locations, 'RAM' AS specs, CASE WHEN k % 2 = 0 THEN 'Monthly,Yearly' ELSE '' END AS cycles, '' AS first_seen, k % 9 = 0 AS is_special
+FROM p ORDER BY CASE WHEN available THEN 0 WHEN NOT available THEN 1 ELSE 2 END, domain, name, url LIMIT 100""")
+def dashboard_view(spark, sf):
+    """The first page of the dashboard in its default order: state rows without nulls, with prices of cycles where there is no own."""
+    c = F.col
+    k = c("p_partkey")
+    none, nothing = F.lit(None).cast("array<string>"), F.lit(None).cast("map<string,string>")
+    rows = table(spark, sf, "part").select(
+        F.concat(F.lit("site"), (k % 4).cast("string"), F.lit(".test")).alias("domain"), c("p_name").alias("name"), F.concat(F.lit("https://x.test/"), k.cast("string")).alias("url"), F.when(k % 5 > 0, F.format_string("%.2f USD", "p_retailprice")).alias("price"),
+        F.when(k % 6 < 3, k % 6 == 0).alias("available"), F.create_map(F.lit("RAM"), F.lit("1GB"), F.lit(" Cycles"), F.lit("x")).alias("specs"), F.lit(None).cast("string").alias("description"), F.lit(None).cast("string").alias("first_seen"), F.lit("t").alias("last_seen"),
+        F.when(k % 2 == 0, F.array(F.lit("Monthly"), F.lit("Yearly"))).otherwise(none).alias("billing_cycles"), F.when(k % 2 == 0, F.create_map(F.lit("Yearly"), F.lit("80 USD"), F.lit("Monthly"), F.lit("9.50 USD"))).otherwise(nothing).alias("cycle_prices"),
+        F.when(k % 3 == 1, "Lyon").alias("location"), F.when(k % 3 == 0, F.array(F.lit("Graz"), F.lit(""), F.lit("Oslo"))).otherwise(none).alias("locations"), nothing.alias("location_links"), F.lit(None).cast("string").alias("variant_of"), F.when(k % 9 == 0, True).alias("is_special"),
+    )
+    shown = report.page(report.dashboard_rows(rows), [*report.default_order(), c("url").asc()], 1)
+    return shown.select("domain", "name", "url", "available", "price", "price_value", "location", F.array_join("locations", ",").alias("locations"), F.array_join(F.map_keys("specs"), ",").alias("specs"), F.array_join("billing_cycles", ",").alias("cycles"), "first_seen", "is_special")
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_name AS n, upper(split_part(p_name, ' ', 1)) AS w FROM part), s AS (
+  SELECT *, CASE k % 4 WHEN 0 THEN 'Tokyo VPS - ' || n WHEN 1 THEN 'Tokyo Pro - Pro' WHEN 2 THEN 'Solo' ELSE 'd.test' END AS shown, CASE k % 3 WHEN 0 THEN 'Lyon' WHEN 1 THEN '' ELSE w END AS loc FROM p
+)
+SELECT k AS p_partkey, CASE WHEN k % 5 = 0 THEN '⭐ ' ELSE '' END || shown || CASE WHEN loc <> '' AND NOT contains(lower(shown), lower(loc)) THEN ' (' || loc || ')' ELSE '' END AS shown,
+  CASE k % 4 WHEN 0 THEN 'LAX.AS3.' || w WHEN 1 THEN 'TYO.X.' || w WHEN 3 THEN 'a.b.c' END AS code FROM s""")
+def product_names(spark, sf):
+    """Names as messages show them, and the dotted codes that stand for short ones."""
+    c = F.col
+    k = c("p_partkey")
+    word = F.upper(F.split_part("p_name", F.lit(" "), F.lit(1)))
+    name, variant = _turn(k, [c("p_name"), "Pro", "", " "]), _turn(k, ["Tokyo VPS", "Tokyo  Pro", "Solo", ""])
+    link = _turn(k, [F.concat(F.lit("https://xtest/LAX.AS3."), word), "https://xtest/a.b.c", "https://xtest/a.b", "https://xtest/?q=a.b.c"])
+    told = _turn(k, ["see Q.R.S", F.concat(F.lit("code TYO.X."), word), F.lit(None).cast("string"), ""])
+    return table(spark, sf, "part").select(
+        "p_partkey", alerts.display_name(name, variant, _turn(k, ["Lyon", "", word]), F.lit("d.test"), k % 5 == 0).alias("shown"), text.dotted_code(word, link, told).alias("code"),
+    )
