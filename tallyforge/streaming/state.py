@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -62,6 +62,62 @@ def fold_batches(path: str, initial: DataFrame | None = None, keep: int = 2):
     return fold
 
 
+#: Parts of a state table: a batch rewrites only those that hold one of its keys.
+PARTS = 256
+
+
+def _versions(spark: SparkSession, path: str) -> dict[int, list[int]]:
+    """The versions (batch ids) of each part that is there, in order: at most parts times versions kept."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/part=*/v=*")
+    found: dict[int, list[int]] = {}
+    for status in at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []:
+        part, v = (int(x.split("=")[1]) for x in status.getPath().toString().split("/")[-2:])
+        found.setdefault(part, []).append(v)
+    return {k: sorted(v) for k, v in found.items()}
+
+
+def _read(spark: SparkSession, path: str, chosen: dict[int, int]) -> DataFrame | None:
+    paths = [f"{path}/part={k}/v={v}" for k, v in chosen.items()]
+    return spark.read.schema("key bigint, available boolean").parquet(*paths) if paths else None
+
+
+def parted_state(spark: SparkSession, path: str) -> DataFrame:
+    """(key, available): the last version of every part that ``fold_parts`` has written under ``path``."""
+    last = {k: v[-1] for k, v in _versions(spark, f"{path}/state").items()}
+    return _read(spark, f"{path}/state", last) if last else spark.createDataFrame([], "key bigint, available boolean")
+
+
+def fold_parts(path: str, parts: int = PARTS, keep: int = 2):
+    """As ``fold_batches``, for states much larger than a batch: the state is dealt to parts by key, and a batch reads and writes only those of its keys.
+
+    A part's version is named by the batch that wrote it; a repeated batch
+    starts from the versions before it and overwrites its own. The last
+    ``keep`` versions of a part stay, two at least. Each part is one of the
+    batch's groups, whatever the number of its keys; rows of a key combine
+    before they are shuffled.
+    """
+
+    def fold(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        part = F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")
+        rows = batch.select("key", "ts", "seq", "available")
+        touched = sorted(r.part for r in rows.select(part.alias("part")).distinct().collect())  # at most ``parts``
+        before = {k: [v for v in vs if v < batch_id] for k, vs in _versions(spark, f"{path}/state").items() if k in set(touched)}
+        old = _read(spark, f"{path}/state", {k: vs[-1] for k, vs in before.items() if vs})
+        known = rows if old is None else rows.unionByName(old.select("key", F.lit(None).cast("timestamp").alias("ts"), F.lit(None).cast("bigint").alias("seq"), "available"))
+        last = known.groupBy("key").agg(F.max_by("available", F.struct("ts", "seq")).alias("available"))
+        last.withColumns({"part": part, "v": F.lit(batch_id)}).write.partitionBy("part", "v").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{path}/state")
+        keys = rows.select("key").distinct()
+        seen = rows if old is None else rows.unionByName(known.where("seq is null").join(keys, "key", "left_semi"))
+        transitions(seen, ["key"], ["ts", "seq"]).where("is_restock").select("key", "ts", "seq", F.lit(batch_id).alias("batch")).write.mode("overwrite").parquet(f"{path}/alerts/{batch_id}")
+        for k, vs in before.items():
+            for v in vs[: -(max(keep, 2) - 1)]:
+                gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/state/part={k}/v={v}")
+                gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+
+    return fold
+
+
 def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Observations and restocks by event-time window, late rows dropped behind a watermark."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))

@@ -43,6 +43,30 @@ def test_folded_batches(spark, tmp_path):
     assert sorted(alerts) == sorted(r.seq for r in state.transitions(o, ["key"], ["ts", "seq"]).where("is_restock").collect())
 
 
+def test_folded_parts(spark, tmp_path):
+    o, reader = _source(spark, tmp_path)
+    path = f"{tmp_path}/parted"
+    fold, done = streaming.fold_parts(path, parts=8), []
+
+    def twice(batch, batch_id):
+        done.append({r.part for r in batch.select(F.pmod(F.xxhash64("key"), F.lit(8)).cast("int").alias("part")).collect()})
+        fold(batch, batch_id)
+        fold(batch, batch_id)  # a batch that is given again changes nothing
+
+    q = reader.parquet(f"{tmp_path}/in").writeStream.foreachBatch(twice).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination()
+    last = o.groupBy("key").agg(F.max_by("available", F.struct("ts", "seq")).alias("available"))
+    assert sorted(map(str, streaming.parted_state(spark, path).collect())) == sorted(map(str, last.select("key", "available").collect()))
+    alerts = [r.seq for i in range(len(done)) for r in spark.read.parquet(f"{path}/alerts/{i}").collect()]
+    assert sorted(alerts) == sorted(r.seq for r in state.transitions(o, ["key"], ["ts", "seq"]).where("is_restock").collect())
+    one = o.limit(1)
+    before = streaming._versions(spark, f"{path}/state")
+    fold(one, len(done))
+    after = streaming._versions(spark, f"{path}/state")
+    assert sum(after[k] != before.get(k) for k in after) == 1, "other parts aren't written"
+    assert all(len(v) <= 2 for v in after.values()) and streaming.parted_state(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_windows_with_late_rows(spark, tmp_path):
     t = lambda h, m=0: datetime.datetime(2024, 1, 1, h, m)
     spark.createDataFrame([(t(1), "view", 1.0), (t(1, 30), "view", 2.0), (t(9), "view", 1.0)], "ts timestamp, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/a/0")
