@@ -50,7 +50,9 @@ CARD_SHAPES = [
 SELECT CASE shape WHEN 0 THEN site || '/cart.php?a=add&pid=' || k WHEN 1 THEN site || '/store/vps-' || size || '/plan-' || k || '?utm_source=x' WHEN 2 THEN site || '/index.php?/cart/vps/&action=add&id=' || k || '&cycle=q' ELSE site || '/index.php?/cart/hk--nodes/kvm-' || k END AS url,
   CASE shape WHEN 3 THEN 'kvm-' || k ELSE name END AS name, price || ' ' || (['USD', 'EUR', 'HKD', 'GBP'])[shape + 1] AS price, CASE shape WHEN 0 THEN true WHEN 2 THEN true ELSE false END AS available,
   CASE shape WHEN 0 THEN 'RAM=' || size || 'GB' WHEN 1 THEN 'RAM=' || size || ' GB' WHEN 3 THEN 'CPU=' || size || ' cores' END AS spec, CASE shape WHEN 1 THEN 'Area ' || size END AS location,
-  CASE shape WHEN 1 THEN 'Vps ' || size WHEN 2 THEN 'Vps' WHEN 3 THEN 'Hk Nodes' END AS variant_of, CASE shape WHEN 0 THEN 'Monthly' WHEN 2 THEN 'Quarterly' END AS cycle
+  CASE shape WHEN 1 THEN 'Vps ' || size WHEN 2 THEN 'Vps' WHEN 3 THEN 'Hk Nodes' END AS variant_of, CASE shape WHEN 0 THEN 'Monthly' WHEN 2 THEN 'Quarterly' END AS cycle,
+  CASE shape WHEN 0 THEN '$' || price || ' USD Monthly' WHEN 1 THEN name || ' € ' || price || ' none Memory ' || size || ' GB Zone Area ' || size || ' Details' WHEN 2 THEN name || ' starts at HK$' || price || ' a month HK$' || price || ' Quarterly Buy now' ELSE 'Get started £' || price || ' CPU ' || size || ' cores Order Out of stock' END AS description,
+  CASE shape WHEN 2 THEN 'Quarterly=' || price || ' HKD' END AS cycle_prices
 FROM p WHERE shape < 4""")
 def card_products(spark, sf):
     """Parts as cards of five templates on the pages of their brand, parsed back; the last shape sells nothing."""
@@ -60,7 +62,7 @@ def card_products(spark, sf):
     pages = page.select(F.concat(F.lit("https://"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("-"))), F.lit(".test/deals?page="), c("nr").cast("string")).alias("url"), F.concat(F.lit('<html><body><h1>All plans</h1><a href="/store/vps/small">Small</a> <a href="/store/vps/large">Large</a>'), "body", F.lit("</body></html>")).alias("text"), c("nr").alias("seq"))
     found = cards.card_products(pages)
     spec = lambda k: F.concat(F.lit(f"{k}="), F.try_element_at("specs", F.lit(k)))
-    return found.select("url", "name", "price", "available", F.coalesce(spec("RAM"), spec("CPU")).alias("spec"), "location", "variant_of", F.get("billing_cycles", F.lit(0)).alias("cycle"))
+    return found.select("url", "name", "price", "available", F.coalesce(spec("RAM"), spec("CPU")).alias("spec"), "location", "variant_of", F.get("billing_cycles", F.lit(0)).alias("cycle"), "description", F.array_join(F.transform(F.map_entries("cycle_prices"), lambda e: F.concat(e.key, F.lit("="), e.value)), ",").alias("cycle_prices"))
 
 
 def _fill_card() -> Column:
