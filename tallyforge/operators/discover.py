@@ -29,7 +29,7 @@ LATE = 1 << 30
 
 
 def hrefs(els: Column) -> Column:
-    """The addresses in a page's elements: of anchors in order, then quoted ones of click handlers that look like pages of a shop."""
+    """The addresses in a page's elements (see ``html.linked``): of anchors in order, then quoted ones of click handlers that look like pages of a shop."""
     anchors = F.transform(F.filter(els, lambda e: (e["tag"] == "a") & (F.coalesce(html.attr(e, "href"), F.lit("")) != "")), lambda e: html.attr(e, "href"))
     handlers = F.transform(F.filter(els, lambda e: html.attr(e, "onclick").isNotNull()), lambda e: F.regexp_extract_all(html.attr(e, "onclick"), F.lit("['\"]([^'\"]+)['\"]"), 1))
     tokens = F.transform(F.flatten(handlers), F.trim)
@@ -78,7 +78,7 @@ def candidate_pages(pages: DataFrame, *, most: int = MOST_LINKS, most_of: dict[s
     low = F.lower("text")
     shop = F.contains(low, F.lit("whmcs")) | has_any(F.lower("url"), ["rp=/login", "/login"])
     depth = F.when(filters.hostbill_shop(c("domain"), c("text"), hostbill_domains), 2).otherwise(1)
-    seen = given.withColumns({"els": html.elements(c("text")), "depth": depth, "shop": shop}).select("url", "domain", "depth", "shop", hrefs(c("els")).alias("hrefs"))
+    seen = given.withColumns({"els": html.linked(c("text")), "depth": depth, "shop": shop}).select("url", "domain", "depth", "shop", hrefs(c("els")).alias("hrefs"))
     usual = F.array(*(F.struct(F.lit(i + LATE).alias("seq"), F.lit(p).alias("href")) for i, p in enumerate(fixed.WHMCS_ENTRIES)))
     told = F.concat(F.transform("hrefs", lambda h, i: F.struct(i.alias("seq"), F.trim(h).alias("href"))), F.when(c("shop"), usual).otherwise(F.array().cast("array<struct<seq:int,href:string>>")))
     rows = seen.select("url", "domain", "depth", F.explode(told).alias("h")).select("url", "domain", "depth", "h.*")

@@ -88,6 +88,38 @@ def elements(html: Column) -> Column:
     return _elements(html)
 
 
+class _Links(HTMLParser):
+    """Only elements that lead somewhere: anchors with an address, and handlers of clicks; no text is kept."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.found: list[tuple[str, list]] = []
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if attrs:
+            kept = {k: v or "" for k, v in attrs if k == "onclick" or (k == "href" and tag == "a")}
+            if kept:
+                self.found.append((tag, list(kept.items())))
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([f for f in ELEMENT if f.name in ("tag", "attrs")])))
+def _linked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    kind = pa.list_(pa.struct([("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string()))]))
+    for pages in batches:
+        out = []
+        for page in pages:
+            parser = _Links()
+            parser.feed(page.as_py() or "")
+            parser.close()
+            out.append([{"tag": t, "attrs": a} for t, a in parser.found])
+        yield pa.array(out, kind)
+
+
+def linked(html: Column) -> Column:
+    """The elements of a page that have an address or a click handler, with these only, in order; null has none."""
+    return _linked(html)
+
+
 def has_class(e: Column, name: str) -> Column:
     return F.array_contains(F.split(F.coalesce(F.try_element_at(e["attrs"], F.lit("class")), F.lit("")), r"\s+"), name)
 
