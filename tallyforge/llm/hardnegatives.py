@@ -224,13 +224,18 @@ def prepare(vectors: DataFrame, *, id_: str, vector: str, label: str) -> DataFra
 
 
 def _dealt(of: Column, salt: int) -> Column:
-    return F.pmod(F.xxhash64("id", F.lit(salt)), of)
+    return F.pmod(F.xxhash64("id", F.lit(salt)), of.cast("long"))
+
+
+def _all(of: Column) -> Column:
+    """Each block's number: a long as ``_dealt`` gives, since equal keys of other types hash to other partitions."""
+    return F.explode(F.sequence(F.lit(0).cast("long"), of.cast("long") - 1))
 
 
 def _met(anchors: DataFrame, rows: DataFrame, keys: list[str], func, schema: str) -> DataFrame:
     """Each block of anchors with each block of rows; both have the numbers of blocks, a_n and g_n."""
-    left = anchors.withColumn("a", _dealt(F.col("a_n"), 1)).withColumn("g", F.explode(F.sequence(F.lit(0), F.col("g_n") - 1))).drop("a_n", "g_n")
-    right = rows.withColumn("g", _dealt(F.col("g_n"), 2)).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("a_n") - 1))).drop("a_n", "g_n")
+    left = anchors.withColumn("a", _dealt(F.col("a_n"), 1)).withColumn("g", _all(F.col("g_n"))).drop("a_n", "g_n")
+    right = rows.withColumn("g", _dealt(F.col("g_n"), 2)).withColumn("a", _all(F.col("a_n"))).drop("a_n", "g_n")
     right = right.select(*(F.col(c).alias(c) for c in right.columns))  # both sides may come from one table
     keys = [*keys, "a", "g"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(func, schema)

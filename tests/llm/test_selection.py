@@ -128,6 +128,16 @@ def test_negatives(spark, monkeypatch, seed, d, labels, block):
     assert mined(spark, rows, 10) == brute_negatives(rows, lambda i: i % 10 == 0, 5, 3, 50, 95)
 
 
+def test_negatives_over_many_partitions(spark, monkeypatch):
+    monkeypatch.setattr(hardnegatives, "BLOCK_BYTES", 4096)
+    rows = vectors(6, 300, 16, 3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as large shuffles: blocks stay in partitions of their own
+    try:
+        assert mined(spark, rows, 10) == brute_negatives(rows, lambda i: i % 10 == 0, 5, 3, 50, 95)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_negatives_of_odd_rows(spark):
     rows = vectors(9, 60, 8, 2)
     odd = [(None, 1, [1.0]), (100, None, [1.0]), (110, 1, None), (120, 1, [None, 1.0]), (130, 0, [float("nan")]), (140, 0, [float("inf"), 1.0]), (150, 1, []), (160, 1, [2.0]), (170, 0, [1.0] * 11), (10, 0, [0.0]), (-20, 1, [1.0, 2.0])]
