@@ -14,7 +14,7 @@ import base64
 import functools
 import hashlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from heapq import heappop, heappush
 from itertools import islice
 
@@ -29,24 +29,49 @@ from .shared import table
 
 #: Log of the fewest bits that a word of the bitmap has: 2 ** (2 * WORD) ranks fit two levels of such words.
 WORD = 8
-#: Pre-tokens whose ids a worker keeps (some 200 bytes each; beyond that it forgets all and starts anew), and the longest of them.
-#: Where nothing else runs beside encoding, twice as many.
-CACHE, ALONE, LONGEST = 500_000, 1_000_000, 64
+#: Pre-tokens whose ids a worker keeps (some 200 bytes each), and the longest of them.
+#: Where nothing else runs beside encoding, three times as many.
+CACHE, ALONE, LONGEST = 500_000, 1_500_000, 64
 #: Pre-tokens of a text that are encoded at once.
 SLICE = 1 << 16
 
 
+class Known(dict):
+    """Packed ids (int32) by pre-token, of at most ``most`` pre-tokens and a slice's: what isn't there is encoded when it is asked for.
+
+    There are two generations. Once the young one holds half of ``most``, it
+    becomes the old one, and what the old one held since its last use is forgotten.
+    """
+
+    def __init__(self, merge: Callable[[bytes], tuple[int, ...]], most: int, old: Known | None = None):
+        self.merge, self.most, self.old, self.long = merge, most, {} if old is None else old, {}
+        if old is not None:
+            old.old, old.long = {}, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        packed = self.old.pop(piece, None) or self.long.get(piece)
+        if packed is None:
+            packed = array("i", self.merge(piece.encode())).tobytes()
+        (self if len(piece) <= LONGEST else self.long)[piece] = packed
+        return packed
+
+    def ready(self) -> Known:
+        """For the next slice: long pre-tokens are kept within one only."""
+        self.long.clear()
+        return self if 2 * len(self) <= self.most else Known(self.merge, self.most, self)
+
+
 class ByteBPE:
     """Encoder and decoder for a table of token bytes to ranks."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = CACHE):
-        self.ranks, self.pattern, self.most = ranks, regex.compile(pattern), cache
+        self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.word = max(WORD, -(-max(ranks.values(), default=0).bit_length() // 2))
         self.bit = [1 << i for i in range(1 << self.word)]
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
-        self.known: dict[str, bytes] = {}  # ids as int32, packed
+        self.known = Known(self.merge, cache)
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """The ids of one pre-token."""
@@ -123,19 +148,9 @@ class ByteBPE:
         else:
             found = self.pattern.finditer(text)
             parts = iter(lambda: [m[0] for m in islice(found, SLICE)], [])
-        known = self.known
         for part in parts:
-            try:
-                packed = b"".join(map(known.__getitem__, part))
-            except KeyError:
-                if len(known) > self.most:
-                    known.clear()
-                long: dict[str, bytes] = {}
-                for p in part:
-                    if p not in known and p not in long:
-                        (known if len(p) <= LONGEST else long)[p] = array("i", self.merge(p.encode())).tobytes()
-                packed = b"".join(known[p] if p in known else long[p] for p in part)
-            yield np.frombuffer(packed, np.int32)
+            self.known = self.known.ready()
+            yield np.frombuffer(b"".join(map(self.known.__getitem__, part)), np.int32)
 
     def encode(self, text: str) -> list[int]:
         return np.concatenate([np.zeros(0, np.int32), *self.slices(text)]).tolist()
@@ -195,14 +210,14 @@ def round_trip(docs: DataFrame, path: str, pattern: str, *, text: str = "text",
     @F.arrow_udf(ROUND_TRIP)
     def trip(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = load(path, pattern, ALONE)
-        names = [str(i) for i in range(len(bpe.bytes_of))]
+        names = [b"%d" % i for i in range(len(bpe.bytes_of))]
         for texts in batches:
             counts, ids_hex, text_hex = [], [], []
             for t in texts:
                 n, of_ids, of_text = 0, hashlib.sha256(), hashlib.sha256()
                 for packed in bpe.slices(t.as_py() or ""):
                     ids = packed.tolist()
-                    of_ids.update(((" " if n and ids else "") + " ".join(map(names.__getitem__, ids))).encode())
+                    of_ids.update((b" " if n and ids else b"") + b" ".join(map(names.__getitem__, ids)))
                     of_text.update(bpe.decode(ids))
                     n += len(ids)
                 counts.append(n)

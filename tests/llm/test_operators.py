@@ -655,3 +655,18 @@ def test_vocabularies_of_any_size(gap):
     large = bytebpe.ByteBPE({t: r * gap for t, r in small.ranks.items()}, pattern)
     text = prose(8, 300) + " Überraschung, 日本語! " + "ab" * 400
     assert large.encode(text) == [r * gap for r in small.encode(text)] and large.decode(large.encode(text)) == text.encode()
+
+
+def test_frequent_pretokens_are_encoded_once(monkeypatch):
+    """Forgetting rare pre-tokens keeps those in use; the number kept stays bounded, and long ones only within a text."""
+    path, pattern = bytebpe.vocabulary()
+    plain = bytebpe.load(path, pattern)
+    merge, asked = bytebpe.ByteBPE.merge, []
+    monkeypatch.setattr(bytebpe.ByteBPE, "merge", lambda self, piece: asked.append(piece) or merge(self, piece))
+    bpe = bytebpe.ByteBPE(plain.ranks, pattern, cache=60)
+    long = "é" * (bytebpe.LONGEST + 1)
+    texts = [f"frequentish {long} x{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i // 100]} {long}" for i in range(500)]
+    for text in texts:
+        assert bpe.encode(text) == [i for p in bpe.pattern.findall(text) for i in merge(plain, p.encode())]
+        assert len(bpe.known) + len(getattr(bpe.known, "old", ())) <= 60 + 2 * 4
+    assert asked.count(b"frequentish") == 1 and asked.count((" " + long).encode()) == len(texts)
