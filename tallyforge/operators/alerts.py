@@ -46,7 +46,6 @@ def messages(alerts: DataFrame, now: str) -> DataFrame:
     count = lambda x: F.coalesce(F.size(x), F.lit(0))
     pre = lambda lines: F.concat(F.lit("<pre>"), html_escape(F.array_join(lines, "\n")), F.lit("</pre>"))
     bold = lambda x: F.concat(F.lit("<b>"), html_escape(x), F.lit("</b>"))
-    quote = lambda d: F.concat(F.lit("<blockquote>"), html_escape(d), F.lit("</blockquote>"))
     d = alerts.withColumns({"_full": F.trim(F.coalesce("name", F.lit(""))), "_variant": compact_ws(c("variant_of")), "_desc": F.trim(F.coalesce("description", F.lit(""))), "_lines": specs.ordered_specs(c("specs"))})
     d = d.withColumn("_named", F.when(c("_full") == "", display_name(c("name"), c("variant_of"), c("location"), c("domain"), F.lit(False))).when((c("_variant") != "") & ~F.contains(F.lower("_full"), F.lower("_variant")), F.concat("variant_of", F.lit(" - "), "_full")).otherwise(c("_full")))
     d = d.withColumn("_plain", F.when(c("is_special") & ~c("_named").startswith(STAR), F.concat(F.lit(STAR), "_named")).otherwise(c("_named")))
@@ -59,16 +58,14 @@ def messages(alerts: DataFrame, now: str) -> DataFrame:
             "_info": F.concat_ws("  ·  ", F.concat(icon, F.lit(" "), status_label(c("available"))), F.when(filled(c("price")), F.concat(F.lit("💵 "), html_escape(c("price")))), F.when(filled(c("_place")), F.concat(F.lit("📍 "), html_escape(c("_place"))))),
             "_cycle": F.when(count(c("cycle_prices")) > 0, pre(cycles.ordered_cycles(c("cycle_prices")))).when(count(c("billing_cycles")) > 0, F.concat(F.lit("🔁 "), html_escape(F.array_join("billing_cycles", ", ")))),
             "_spec": F.when(count(c("_lines")) > 0, F.concat(F.lit("<b>Specs:</b>\n"), pre(c("_lines")))),
-            "_quote": F.when(c("_desc") != "", quote(c("_desc"))),
             "_link": F.concat(F.lit('🔗 <a href="'), html_escape(c("url")), F.lit('">Open Product Page</a>')),
             "_now": F.lit(f"<code>{now}</code>"),
         }
     )
     join = lambda *names: F.concat_ws("\n", *names)
     d = d.withColumn("_rest", F.lit(LIMIT) - F.char_length(join("_head", "_name", "_info", "_cycle", "_spec", "_link", "_now")) - len("<blockquote></blockquote>") - 1)
-    short = c("_quote").isNull() | (F.char_length("_quote") - len("<blockquote></blockquote>") <= c("_rest"))
-    d = d.withColumn("_cut", F.when(~short, text.trim_to_escaped(c("_desc"), c("_rest"))))
-    d = d.withColumn("_quote", F.when(short, c("_quote")).otherwise(F.when(c("_cut") != "", quote(c("_cut")))))
+    d = d.withColumn("_told", F.when(c("_desc") != "", text.escaped_start(c("_desc"), c("_rest"))))
+    d = d.withColumn("_quote", F.when(c("_told") != "", F.concat(F.lit("<blockquote>"), "_told", F.lit("</blockquote>"))))
     d = d.withColumns({"_1": join("_head", "_name", "_info", "_cycle", "_spec", "_quote", "_link", "_now"), "_2": join("_head", "_name", "_info", "_cycle", "_quote", "_link", "_now"), "_3": join("_head", "_name", "_info", "_quote", "_link", "_now")})
     fits = F.coalesce(*(F.when(F.char_length(x) <= LIMIT, c(x)) for x in ("_1", "_2", "_3")))
     least = join(c("_head"), bold(text.trim_to_escaped(c("_plain"), 320)), F.when(filled(c("price")), F.concat(F.lit("💵 "), html_escape(text.trim_to_escaped(c("price"), 120)))))

@@ -1,8 +1,12 @@
 """Tables of cases for the scalar expressions."""
 
+import html
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from tallyforge import schemas
 from tallyforge.functions import availability, cycles, locations, money, specs, text, url
 from tallyforge.operators import filters
 
@@ -109,6 +113,31 @@ def test_text(run):
     run([(n, sorted(names, key=lambda x: (x.lower() != "a9", x.lower() != "a9b", x.lower() != "a10")).index(n)) for n in names], lambda c: F.array_position(F.array_sort(F.array(*(text.natural_key(F.lit(n)) for n in names))), text.natural_key(c)).cast("int") - 1)
 
 
+def test_white_space_of_any_kind(run):
+    old = re.compile(r"[\s\x1c-\x1f]+")
+    ends = [chr(i) for i in (*range(1, 0x300), 0x1680, 0x180E, *range(0x2000, 0x2070), 0x3000, 0xFEFF)]
+    texts = [f"a{x}{y}{z}b {x}" for x in ends for y in ("", " ", "x", "\t", "\xa0") for z in ("", " ", "\u3000")] + ["", " ", "  a  b ", "\u3000 a"]
+    run([(t, old.sub(" ", t).strip(" ")) for t in texts], text.compact_ws)
+
+
+def test_trimming_takes_no_character_by_itself(run, spark):
+    from tallyforge.operators import alerts
+
+    raws = ["", "abc", "&", "a&b " * 9, "&amp;" * 4, "<'\">&" * 3, "ab &quot; ", "𝄞&" * 8, "x" * 30, "a    &    b     ", "&\n&\n&"]
+    for most in (-1, 0, 1, 2, 3, 4, 5, 8, 9, 13, 14, 15, 16, 17, 30):
+
+        def told(t, most=most):
+            if len(html.escape(t)) <= max(most, 0):
+                return t
+            fits = [n for n in range(len(t) + 1) if len(html.escape(t[:n])) + 3 <= most]
+            return t[: fits[-1]].rstrip(" ") + "..." if fits else ""
+
+        run([(t, told(t)) for t in raws], lambda c: text.trim_to_escaped(c, F.lit(most)))  # noqa: B023
+        run([(t, html.escape(told(t))) for t in raws], lambda c: text.escaped_start(c, F.lit(most)))  # noqa: B023
+    rows = spark.createDataFrame([], f"{schemas.PRODUCT}, kind string")
+    assert "regexp_extract_all" not in alerts.messages(rows, "now")._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_generated_addresses(run):
     run([("https://e.test/billing/clients/x", ["", "/billing", "/clients"]), ("https://e.test/", [""])], url.scan_prefixes)
     run([("https://e.test/a", ["https://e.test/cart.php?a=add&pid={pid}"])], url.pid_templates)
