@@ -138,6 +138,19 @@ def test_trimming_takes_no_character_by_itself(run, spark):
     assert "regexp_extract_all" not in alerts.messages(rows, "now")._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_values_of_many_elements_are_computed_once(spark):
+    from tallyforge.sources import cards
+
+    rows = spark.createDataFrame([("RAM: 2GB CPU: 3 | x", {"1": "y"})], "s string, m map<string,string>")
+    plan = lambda c: rows.select(c.alias("x"))._jdf.queryExecution().analyzed().toString()
+    entry = F.struct(F.reverse("s").alias("key"), F.col("s").alias("value"))
+    assert plan(specs.first_entries(F.array(entry))).count("reverse(") == 1
+    for f in (specs.extract_specs, specs.multi_pairs, specs.named_bar_pairs, cycles.normalize_cycle, cycles.cycles_in_text, availability.extract_availability, lambda c: cards.all_specs(F.col("m"), c)):
+        assert plan(f(F.reverse("s"))).count("reverse(") <= 3, f
+    kinds = [r"(?=[a\.])(?:a\.b|\.c)", r"(?=[\-\[])(?:\[x|\-)"]
+    assert [text.begins(w) + f"(?:{text.either(w)})" for w in (["a.b", ".c"], ["[x", "-"])] == [k.replace("[a\\.]", "[\\.a]") for k in kinds]
+
+
 def test_generated_addresses(run):
     run([("https://e.test/billing/clients/x", ["", "/billing", "/clients"]), ("https://e.test/", [""])], url.scan_prefixes)
     run([("https://e.test/a", ["https://e.test/cart.php?a=add&pid={pid}"])], url.pid_templates)
