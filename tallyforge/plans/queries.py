@@ -188,7 +188,7 @@ FROM b JOIN g USING (domain, l_partkey) JOIN l USING (domain, l_partkey) JOIN k
 def merge_plans(spark, sf):
     """All listings of a plan as one product, with all that is merged."""
     # The given tables are one row group each: dealt out first, so that not one task computes all keys.
-    merged = merge.merge_plans(listings(spark, sf).repartition("id"), settled)
+    merged = merge.merge_plans(listings(spark, sf, by_plan=True), settled)
     told = lambda m: F.transform(F.map_entries(m), lambda e: F.concat(e.key, F.lit("="), e.value))
     joined = lambda x: F.array_join(x, "|")
     return merged.select(

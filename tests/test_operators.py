@@ -61,6 +61,26 @@ def test_merge_gathers_combined_entries(spark):
         assert 0 < gathered(df) <= most
 
 
+def test_listings_of_a_plan_are_settled_together(spark, monkeypatch):
+    """So they combine before they are shuffled: else each is shuffled whole, and its entries again."""
+    from tallyforge.plans import queries
+
+    seen = []
+
+    def watched(df):
+        if "key" in df.columns:
+            seen.append(df.select("key", F.spark_partition_id().alias("at")).distinct().groupBy("key").count().agg(F.max("count"), F.count("*")).first())
+        return df
+
+    monkeypatch.setattr(queries, "settled", watched)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        queries.merge_plans(spark, "/root/testdata/sf0.001")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [tuple(x) for x in seen] == [(1, 200)]
+
+
 def gathered(df):
     """The rows that come to the first aggregate that collects a list."""
     df.collect()
